@@ -43,7 +43,7 @@ def epoch_millis(s: str, clock: str, zone: str) -> str:
     instant = (
         f"CASE WHEN length({s}) = 10 THEN {midnight} "
         f"WHEN {matches(clock, END_OF_DAY_FORM)} THEN {midnight} + 86400000L "
-        f"ELSE unix_millis(try_cast(concat(left({s}, 10), 'T', {clock}, 'Z') AS TIMESTAMP)) END"
+        f"ELSE unix_millis(try_cast(concat(left({s}, 10), 'T', {clock}, IF(length({clock}) = 5, ':00Z', 'Z')) AS TIMESTAMP)) END"
     )
     offset = (
         f"IF(length({zone}) < 5, 0L, IF({zone} LIKE '-%', -60000L, 60000L) * "
