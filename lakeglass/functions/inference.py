@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .text import literal
+from .text import BLANKS, literal
 
 # The forms a trimmed, non-empty text is tested against, in this order.
 INTEGER_FORM = r"^[+-]?(0|[1-9]\d*)\z"
@@ -12,6 +12,9 @@ BOOLEAN_WORDS = ("true", "false")
 # What a filter accepts as a number, and as a cell that starts with a day.
 NUMBER_FORM = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DAY_PREFIX_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]|\z)"
+# The same with the blanks around a cell, and a cell of blanks alone.
+BLANK_FORM = rf"^[{BLANKS}]*\z"
+PADDED_NUMBER_FORM = rf"^[{BLANKS}]*({NUMBER_FORM[1:-2]})[{BLANKS}]*\z"
 # Fixed value: doubles hold every integer below this.
 SAFE_INTEGER = 2**53 - 1
 

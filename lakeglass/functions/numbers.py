@@ -13,9 +13,25 @@ def grouped_integer(c: str) -> str:
     return f"format_number({c}, 0)"
 
 
+def _settled(x: str, half_up: str, exact: str, decimals: str) -> str:
+    """The rounding of ``x`` by its exact binary value, where true halves go up.
+
+    ``half_up`` rounds the printed decimal, ``exact`` the binary value but true halves to even.
+    They differ only when the printed decimal is a half; it is a true one if it is a binary fraction.
+    """
+    scaled = f"{x} * pow(2, {decimals} + 1)"
+    return f"CASE WHEN {half_up} = {exact} OR {scaled} = floor({scaled}) THEN {half_up} ELSE {exact} END"
+
+
+def _exact(x: str, decimals: str) -> str:
+    return f"CAST(replace(format_number({x}, {decimals}), ',', '') AS DOUBLE)"
+
+
 def significant(x: str) -> str:
     """``x`` rounded to six significant digits."""
-    return f"CAST(format_string('%.{SIGNIFICANT_DIGITS - 1}e', {x}) AS DOUBLE)"
+    half_up = f"CAST(format_string('%.{SIGNIFICANT_DIGITS - 1}e', {x}) AS DOUBLE)"
+    decimals = f"CAST({SIGNIFICANT_DIGITS - 1} - floor(log10(abs({x}))) AS INT)"
+    return f"CASE WHEN abs({x}) BETWEEN 1e-9 AND 1e6 THEN {_settled(x, half_up, _exact(x, decimals), decimals)} ELSE {half_up} END"
 
 
 def number_text(x: str) -> str:
@@ -28,7 +44,8 @@ def number_text(x: str) -> str:
 
 def percent_text(p: str) -> str:
     """A percentage with at most one decimal; tiny shares print as ``<0.1``."""
-    return f"CASE WHEN {p} > 0 AND {p} < 0.1 THEN '<0.1' ELSE {double_text(f'round({p}, 1)')} END"
+    rounded = _settled(p, f"round({p}, 1)", _exact(p, "1"), "1")
+    return f"CASE WHEN {p} > 0 AND {p} < 0.1 THEN '<0.1' ELSE {double_text(f'({rounded})')} END"
 
 
 def delta_text(before: str, after: str) -> str:

@@ -134,7 +134,7 @@ def _number_flow(df: DataFrame, fields: list[Field], bins: int, exact: bool, ts_
         for group in scan_groups(df, members):
             stack = ", ".join(f"{f.ordinal}, {_key(f)}" for f in group)
             pair = "CAST(NULL AS BIGINT) AS l, v AS x" if family == "double" else "v AS l, CAST(NULL AS DOUBLE) AS x"
-            cells.append(f"SELECT ordinal, {pair} FROM (SELECT stack({len(group)}, {stack}) AS (ordinal, v) FROM {{df}})")
+            cells.append(f"SELECT ordinal, {pair} FROM (SELECT stack({len(group)}, {stack}) AS (ordinal, v) FROM {{df}}) WHERE ordinal IS NOT NULL")
     number = f"coalesce(CAST(l AS DOUBLE), {finite('x')})"
     if exact:
         distinct = "count(l) + count(x)"
@@ -142,8 +142,9 @@ def _number_flow(df: DataFrame, fields: list[Field], bins: int, exact: bool, ts_
         distinct = "approx_count_distinct(IF(l IS NULL AND x IS NULL, NULL, xxhash64(l, x)))"
     numeric = _ordinals(fields, lambda f: kinds.is_numeric(f.dtype))
     is_integer = _ordinals(fields, lambda f: kinds.kind_of(f.dtype) == kinds.INTEGER)
-    # ``rows > nulls`` keeps the counts part of both uses of the cells, so their exchange is shared.
-    ranges = f"SELECT ordinal, {is_integer} AS is_integer, lo, hi FROM stats WHERE rows > nulls AND {numeric}"
+    # The two uses of the cells must stay one exchange: ``rows > nulls`` keeps the counts in both,
+    # and no condition on a cell is left that would be pushed below the grouping in only one.
+    ranges = f"SELECT ordinal, {is_integer} AS is_integer, IF({numeric}, lo, NULL) AS lo, hi FROM stats WHERE rows > nulls"
     return runtime.query(
         f"""
         WITH cells AS ({_counted(cells, exact)}),
@@ -251,12 +252,13 @@ def _profile_tagged(df: DataFrame, bins: int, distinct_cap: int | None, given_ki
                                IF(length(t) > {STAT_CHARS}, {inference.text_shape('t')}, NULL) AS tag
                         FROM (SELECT ordinal, {trim_blanks('raw')} AS t
                               FROM (SELECT stack({n}, {rows}) AS (ordinal, raw) FROM {{df}}))"""
-        scans.append(f"SELECT ordinal, {head} AS s, {digest} AS digest, tag FROM ({cells})")
+        scans.append(f"SELECT ordinal, {head} AS s, {digest} AS digest, tag FROM ({cells}) WHERE ordinal IS NOT NULL")
     shape = "tag" if given_kind else f"coalesce(tag, {inference.text_shape('s')})"
+    # ``n > 0`` keeps the counts in every use of the cells, so that all uses share one exchange.
     # Each LATERAL VIEW evaluates its expressions once, where a plain projection would be copied
     # into every condition that reads it.
     values = f"""
-        SELECT ordinal, s, n, ms, kind, x FROM ({_counted(scans, True)})
+        SELECT ordinal, s, n, ms, kind, x FROM (SELECT * FROM ({_counted(scans, True)}) WHERE n > 0)
         LATERAL VIEW inline(array(struct({shape}))) AS shape
         LATERAL VIEW inline(array(struct(IF(shape = 'date', {inference.clock_of('s')}, NULL),
                                          IF(shape = 'date', {inference.zone_of('s')}, NULL)))) AS clock, zone
@@ -347,13 +349,13 @@ def _finish(columns: DataFrame, stats: DataFrame, distinct_cap: int | None) -> D
                    coalesce(rows, 0L) AS rows, coalesce(nulls, 0L) AS nulls, coalesce(`distinct`, 0L) AS d,
                    min, max, mean, histogram
             FROM {{columns}} AS c LEFT JOIN {{stats}} AS s ON c.ordinal = s.ordinal)
-        SELECT ordinal, column, kind, native_type, rows, nulls,
+        SELECT /*+ COALESCE(1) */ ordinal, column, kind, native_type, rows, nulls,
                IF(kind = 'other', NULL, least(d, {cap}L)) AS `distinct`, d > {cap}L AS distinct_is_lower_bound,
                IF(kind IN ('integer', 'float', 'date', 'text'), min, NULL) AS min,
                IF(kind IN ('integer', 'float', 'date', 'text'), max, NULL) AS max,
                IF(kind IN ('integer', 'float'), mean, NULL) AS mean,
                IF(kind IN ('integer', 'float'), histogram, NULL) AS histogram
-        FROM joined ORDER BY ordinal""",
+        FROM joined SORT BY ordinal""",
         columns=columns, stats=stats,
     )
 
@@ -361,9 +363,9 @@ def _finish(columns: DataFrame, stats: DataFrame, distinct_cap: int | None) -> D
 def report(profile_df: DataFrame) -> DataFrame:
     """A profile with the derived facts a report shows: shares, ratios, tags and ranges."""
     null_percent = "IF(rows > 0, 100D * nulls / rows, 0D)"
-    return profile_df.selectExpr(
-        "*", "rows - nulls AS non_null",
-        f"IF(nulls > 0, concat({grouped_integer('nulls')}, ' (', {percent_text(null_percent)}, '%)'), '0') AS nulls_text",
+    return profile_df.selectExpr("*", f"{null_percent} AS __percent").selectExpr(
+        "* EXCEPT (__percent)", "rows - nulls AS non_null",
+        f"IF(nulls > 0, concat({grouped_integer('nulls')}, ' (', {percent_text('__percent')}, '%)'), '0') AS nulls_text",
         f"IF(`distinct` IS NULL, '—', concat(IF(distinct_is_lower_bound, '≥ ', ''), {grouped_integer('`distinct`')})) AS distinct_text",
         "IF(rows > nulls, least(1D, `distinct` / (rows - nulls)), NULL) AS distinct_ratio",
         "CASE WHEN distinct_is_lower_bound OR rows - nulls <= 1 THEN NULL WHEN `distinct` = 1 THEN 'constant' "

@@ -113,7 +113,7 @@ register("profile_remembered", _stored, profile_sql("part", columns_of("part")))
 
 # --- report facts -------------------------------------------------------------------------------
 
-_PERCENT = "CASE WHEN {p} > 0 AND {p} < 0.1 THEN '<0.1' ELSE regexp_replace(CAST(round({p}, 1) AS VARCHAR), '\\.0$', '') END"
+_PERCENT = "CASE WHEN {p} > 0 AND {p} < 0.1 THEN '<0.1' ELSE regexp_replace(CAST(CASE WHEN {p} * 4 = floor({p} * 4) THEN round({p}, 1) ELSE CAST(format('{{:.1f}}', CAST({p} AS DOUBLE)) AS DOUBLE) END AS VARCHAR), '\\.0$', '') END"
 
 
 def _report_sql(source: str, columns: list[tuple[str, str]]) -> str:

@@ -226,10 +226,10 @@ register("description_coverage", lambda t: dbt.coverage(_described(t)), "SELECT
 # --- refresh -------------------------------------------------------------------------------------------
 _LOG = "SELECT concat('t', CAST(o_custkey AS STRING)) AS relation, timestampadd(SECOND, o_orderkey, CAST(o_orderdate AS TIMESTAMP)) AS at, CAST(o_totalprice AS BIGINT) AS rows FROM {orders}"
 register("snapshot_deltas", lambda t: snapshots.snapshot_deltas(t.sql(_LOG, "orders")).selectExpr("relation", "CAST(at AS STRING) AS at", "previous_rows", "rows", "delta", "summary"),
-         """SELECT relation, CAST(at AS VARCHAR) AS at, p AS previous_rows, rows, rows - p AS delta, CASE WHEN rows = p THEN format('{:,}', rows) || ' rows, count unchanged'
+         """SELECT relation, CAST("at" AS VARCHAR) AS "at", p AS previous_rows, rows, rows - p AS delta, CASE WHEN rows = p THEN format('{:,}', rows) || ' rows, count unchanged'
               WHEN p IS NOT NULL THEN 'rows ' || format('{:,}', p) || ' → ' || format('{:,}', rows) || ' (' || CASE WHEN rows > p THEN '+' ELSE '−' END || format('{:,}', abs(rows - p)) || ')' END AS summary
-            FROM (SELECT *, lag(rows) OVER (PARTITION BY relation ORDER BY at) AS p FROM (
-              SELECT 't' || o_custkey AS relation, o_orderdate + to_seconds(o_orderkey) AS at, CAST(trunc(o_totalprice) AS BIGINT) AS rows FROM orders))""")
+            FROM (SELECT *, lag(rows) OVER (PARTITION BY relation ORDER BY "at") AS p FROM (
+              SELECT 't' || o_custkey AS relation, o_orderdate + to_seconds(o_orderkey) AS "at", CAST(trunc(o_totalprice) AS BIGINT) AS rows FROM orders))""")
 _ISLANDS = """(SELECT user_id, us, sum(opening) OVER (PARTITION BY user_id ORDER BY us) AS burst FROM (
     SELECT user_id, us, CASE WHEN us <= lag(us) OVER (PARTITION BY user_id ORDER BY us) + 3600000000 THEN 0 ELSE 1 END AS opening FROM (SELECT user_id, epoch_us(ts) AS us FROM events)))"""
 register("bursts_of_events", lambda t: refresh.bursts(t.events, "user_id", "ts", 3600).selectExpr("user_id", "unix_micros(burst_start) AS first_us", "unix_micros(last_event) AS last_us", "events"),
