@@ -53,10 +53,12 @@ def double_text(x: str, printed: str | None = None) -> str:
     """
     printed = printed or f"CAST({x} AS STRING)"
     exponent = f"replace({printed}, '.0E', 'E')"
+    # Common sizes come first: there Spark prints no exponent.
     return f"""CASE
+        WHEN abs({x}) < 1e15 AND {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING)
+        WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e7 THEN {printed}
         WHEN isnan({x}) THEN 'NaN'
         WHEN abs({x}) = {INFINITY} THEN IF({x} > 0, 'Infinity', '-Infinity')
-        WHEN abs({x}) < 1e15 AND {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING)
         WHEN abs({x}) >= 1e21 THEN replace({exponent}, 'E', 'e+')
         WHEN abs({x}) >= 1e15 THEN CAST(try_cast({printed} AS DECIMAL(38,0)) AS STRING)
         WHEN abs({x}) < 1e-6 THEN replace({exponent}, 'E-', 'e-')

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from ..functions import inference
-from ..functions.text import display_text, is_finite, literal, trim_blanks
+from ..functions import inference, kinds
+from ..functions.text import display_text, is_finite, literal
 from .profile import by_ordinal
 
 # Rows shown by default and at most.
@@ -81,18 +81,29 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index")
 
 
 def sort_rows(df: DataFrame, column: str, tie_break: list[str], descending: bool = False) -> DataFrame:
-    """Sort by one column: numeric text as numbers, then other text; empty cells last either way."""
+    """Sort by one column: typed values as they are, numeric text as numbers before other text.
+
+    Empty cells come last in both directions.
+    """
     plain, fields = by_ordinal(df)
     field = next(f for f in fields if f.name == column)
-    text = display_text(field.ref, field.dtype)
-    number = f"IF({inference.matches(trim_blanks(text), inference.NUMBER_FORM)}, try_cast({trim_blanks(text)} AS DOUBLE), NULL)"
-    number = F.expr(f"IF({is_finite(number)}, {number}, NULL)")
-    cell = F.expr(f"nullif({trim_blanks(text)}, '')")
-    names = {f.name: f.ref for f in fields}
+    if kinds.kind_of(field.dtype) in (kinds.INTEGER, kinds.FLOAT, kinds.DATE, kinds.BOOLEAN):
+        keyed = plain.selectExpr("*", f"{field.ref} AS number", f"{field.ref} IS NOT NULL AS filled", "CAST(NULL AS STRING) AS other")
+    else:
+        # Lateral views evaluate the text and the number once per row.
+        found = f"try_cast(regexp_extract(t, {literal(inference.PADDED_NUMBER_FORM)}, 1) AS DOUBLE)"
+        keyed = runtime.query(
+            f"""SELECT * EXCEPT (t, x), IF({is_finite('x')}, x, NULL) AS number, NOT ({inference.matches('t', inference.BLANK_FORM)}) AS filled,
+                       IF({is_finite('x')}, NULL, t) AS other
+                FROM {{df}} LATERAL VIEW inline(array(struct({display_text(field.ref, field.dtype)}))) AS t
+                LATERAL VIEW inline(array(struct({found}))) AS x""",
+            df=plain,
+        )
     # One direction for the whole order, except that empty cells stay last.
-    value = [number.isNull(), number, F.when(number.isNull(), cell)]
-    order = [cell.isNull()] + [c.desc() if descending else c.asc() for c in value]
-    return plain.orderBy(*order, *[names[t] for t in tie_break]).toDF(*df.columns)
+    value = [F.col("number").isNull(), F.col("number"), F.col("other")]
+    order = [~F.col("filled")] + [c.desc() if descending else c.asc() for c in value]
+    names = {f.name: f.ref for f in fields}
+    return keyed.orderBy(*order, *[names[t] for t in tie_break]).drop("number", "filled", "other").toDF(*df.columns)
 
 
 def _cells_with(df: DataFrame, needle: str, row_id: str) -> DataFrame:
