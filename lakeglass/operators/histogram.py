@@ -41,10 +41,10 @@ def histograms_sql(values: str, x: str, layout: str, bins: int) -> str:
     """
     sums = ", ".join(f"sum(IF(bucket = {b}, n, 0L))" for b in range(bins))
     return f"""
-        SELECT ordinal, struct(lo, hi, slice(array({sums}), 1, bins) AS counts) AS histogram
+        SELECT ordinal, struct(max(lo) AS lo, max(hi) AS hi, slice(array({sums}), 1, max(bins)) AS counts) AS histogram
         FROM (SELECT /*+ BROADCAST(l) */ l.ordinal, lo, hi, bins, n, IF({is_finite(x)}, {bucket_sql(x)}, NULL) AS bucket
               FROM {values} AS v JOIN {layout} AS l ON v.ordinal = l.ordinal)
-        GROUP BY ordinal, lo, hi, bins"""
+        GROUP BY ordinal"""
 
 
 def _label_sql() -> str:
