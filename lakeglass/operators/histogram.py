@@ -52,18 +52,21 @@ def _label_sql() -> str:
     first = f"CAST(ceil({snap('lo + bucket * width')}) AS DOUBLE)"
     end = f"IF(is_last, hi, CAST(ceil({snap('lo + (bucket + 1) * width')}) AS DOUBLE) - 1)"
     stop = "IF(is_last, hi, lo + (bucket + 1) * width)"
+    # Each LATERAL VIEW evaluates its expressions once instead of wherever they are read.
     return f"""
-        SELECT *, CASE
-            WHEN is_integer AND a >= z THEN {number_text('a')}
-            WHEN is_integer THEN concat({number_text('a')}, '–', {number_text('z')})
-            ELSE concat('[', {number_text('a')}, ', ', {number_text('z')}, IF(is_last, ']', ')')) END AS label
-        FROM (SELECT *, IF(is_integer, {first}, lo + bucket * width) AS a, IF(is_integer, {end}, {stop}) AS z FROM edges)"""
+        SELECT *, CASE WHEN is_integer AND a >= z THEN a_text WHEN is_integer THEN concat(a_text, '–', z_text)
+                       ELSE concat('[', a_text, ', ', z_text, IF(is_last, ']', ')')) END AS label
+        FROM edges
+        LATERAL VIEW inline(array(struct(IF(is_integer, {first}, lo + bucket * width), IF(is_integer, {end}, {stop})))) AS a, z
+        LATERAL VIEW inline(array(struct({number_text('a')}, {number_text('z')}))) AS a_text, z_text"""
 
 
 def bins_of(profile: DataFrame) -> DataFrame:
     """One row per histogram bin of a profile: range label, count, share and peak flag.
 
     The windows run over the bins of one column, a handful of rows whatever the table size.
+    Columns without a histogram drop out after the OUTER view: a condition before it would be
+    pushed into one use of the profile's cells and cost a second scan.
     """
     share = "100D * `count` / sum(`count`) OVER (PARTITION BY ordinal)"
     return query(
@@ -71,10 +74,10 @@ def bins_of(profile: DataFrame) -> DataFrame:
         WITH drawn AS (
             SELECT ordinal, column, kind = 'integer' AS is_integer, histogram.lo AS lo, histogram.hi AS hi,
                    size(histogram.counts) AS bins, histogram.counts AS counts
-            FROM {{profile}} WHERE histogram IS NOT NULL),
+            FROM {{profile}}),
         edges AS (
             SELECT *, bucket = bins - 1 AS is_last, IF(is_integer, hi - lo + 1, hi - lo) / bins AS width
-            FROM drawn LATERAL VIEW posexplode(counts) AS bucket, `count`),
+            FROM (SELECT * FROM drawn LATERAL VIEW OUTER posexplode(counts) AS bucket, `count`) WHERE bucket IS NOT NULL),
         labelled AS ({_label_sql()}),
         shared AS (
             SELECT ordinal, column, bucket, label, `count`, {share} AS percent,
