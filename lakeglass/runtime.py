@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,19 +66,9 @@ def columns_per_scan(df: DataFrame, columns: int) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder of this machine.
-    """
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="lakeglass-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
