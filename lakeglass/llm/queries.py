@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import language_id, minhash_dedup, token_files
+from lakeglass.llm import decontaminate, language_id, minhash_dedup, token_files
 from lakeglass.llm.shared import learns
 from lakeglass.runtime import scratch_path
 
@@ -25,6 +25,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -38,5 +43,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
-BUILDERS = {f.__name__: f for f in (op3_minhash_near_dedup, op6_token_files, op9_language_id)}
-ORACLES: dict[str, str] = {}
+BUILDERS = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op6_token_files, op9_language_id)}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE}
