@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, language_id, minhash_dedup, token_files
-from lakeglass.llm.shared import learns
+from lakeglass.llm import decontaminate, language_id, minhash_dedup, quality, token_files
+from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).drop("ids")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    measured, _ = written(quality.with_statistics(documents).drop("text"), "statistics")
+    calibrates = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    model = quality.fit(measured.where(learns(F.col("doc_id"))).join(labels, "doc_id"), "label", calibrates)
+    scored = quality.score(measured, model)
+    return scored.select("doc_id", held_out(), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.fit(documents.where(learns(F.col("doc_id"))).select("text", "lang"))
@@ -43,5 +53,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
-BUILDERS = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op6_token_files, op9_language_id)}
+BUILDERS = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id)}
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE}
