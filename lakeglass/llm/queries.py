@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, language_id, minhash_dedup, quality, token_files
+from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, quality, token_files
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
@@ -21,6 +21,10 @@ def held_out() -> Column:
     return F.coalesce(~learns(F.col("doc_id")), F.lit(True)).alias("held_out")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
-BUILDERS = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id)}
-ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE}
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id)}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE}
