@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, quality, token_files
+from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, quality, token_files
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
@@ -57,5 +57,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id)}
+#: Shares of all tokens that the mixture should have per domain; here a domain is a language.
+TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text, domain``: the documents of the labelled table, with the domain that is known of them."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return table(spark, sf_dir, "documents").join(labels, "doc_id").select("text", F.col("lang").alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, domains, _ = mixing.mix(documents, labelled_domains(spark, sf_dir), TARGETS)
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    return mixed.select("doc_id", "source", "tokens", F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.array_max("posterior").alias("probability"),
+                        "rate", "copies")
+
+
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE}
