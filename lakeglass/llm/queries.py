@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, quality, token_files
+from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, quality, token_files, url_filter
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
@@ -34,10 +34,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures, events = (spark.sql(text.replace("FROM pages", "FROM {pages}"), pages=pages) for text in (url_filter.CAPTURES, url_filter.EVENTS))
+    found = url_filter.evaluate(captures, events)
+    return found.select("page_id", "host", "fetched_at", "n_entries", F.concat_ws(",", "lists").alias("lists"), "blocked")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
-    return token_files.read_tokens(spark, path).drop("ids")
+    return token_files.read_tokens(spark, path, with_ids=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +82,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE}
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
+                           "op5_url_filter": url_filter.ORACLE}

@@ -2,7 +2,8 @@
 
 A file is a Parquet table with one row per block of consecutive documents: ``part`` and ``block`` give the order,
 ``doc_ids`` and ``lengths`` (ids per document) the index, ``words`` the packed ids as little-endian 64-bit words, and
-``offsets`` the number of ids before every 1024th word, where a reader may start. The top four bits of a word are its
+``start`` the number of ids before the block in its part, ``offsets`` that before every 1024th word in
+its block, where a reader may start. The top four bits of a word are its
 selector, which says how many ids of how many bits the other sixty hold. Ids of 60 bits and more cannot be packed:
 an escape word (selector 15) counts the raw 64-bit words that follow it.
 
@@ -32,7 +33,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 STRIDE = 1024
 CACHED_WORDS = 500_000
-FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, words binary, offsets array<bigint>"
+FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, start bigint, n_ids bigint, words binary, offsets array<bigint>"
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -135,32 +136,55 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Latin letters and digits of the ranges below, lower-cased, and the tokenizer's pieces spelled out for them.
+_LATIN = re.compile("[\x00-\x7f¡-ĩĲ-ňŊ-ž]*")
+_LETTERS = "a-zªµºß-öø-ž"
+_DIGITS = "0-9²³¹¼-¾"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^ \t\n\r\x0b\x0c{_LETTERS}{_DIGITS}]+")
+_END = np.array([END_ID], "<u4").tobytes()
+
+
 class WordEncoder:
-    """Encodes texts through a cache of their words.
+    """Encodes texts through caches of their parts.
 
     The tokenizer splits at white space and normalises it away, so the ids of a text are those of its words in order.
-    The cache starts anew when it is full; its size does not depend on the input.
+    Latin texts are cut into the tokenizer's own pieces, which go to its model at once; all others are cut at white space
+    only. A cache starts anew when it is full; its size does not depend on the input.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_words(text) for text in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(of, words), _END]), "<u4") for words in split]
+        latin = [_is_latin(text) for text in texts]
+        split = [_PIECES.findall(text.lower()) if own else _words(text) for text, own in zip(texts, latin)]
+        self._learn(self.pieces, [x for x, own in zip(split, latin) if own], self._model_ids)
+        self._learn(self.words, [x for x, own in zip(split, latin) if not own], self._ids)
+        of = [self.words.__getitem__, self.pieces.__getitem__]
+        return [np.frombuffer(b"".join([*map(of[own], parts), _END]), "<u4") for parts, own in zip(split, latin)]
 
+    def _learn(self, known: dict[str, bytes], split: list[list[str]], ids_of) -> None:
+        wanted = set().union(*split)
+        new = [part for part in wanted if part not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = wanted
+        for part in new:
+            known[part] = np.array(ids_of(part), "<u4").tobytes()
 
-_END = np.array([END_ID], "<u4").tobytes()
+    def _ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _model_ids(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves in the vocabulary
+            return [token.id for token in self.tokenizer.model.tokenize(piece)]
+        return self._ids(piece)
+
+
+def _is_latin(text: str) -> bool:
+    return "<|" not in text and (text.isascii() or _LATIN.fullmatch(text) is not None)
 
 
 def _words(text: str) -> list[str]:
@@ -175,10 +199,10 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _block(part: int, number: int, keys: list, arrays: list[np.ndarray]) -> pd.DataFrame:
+def _block(part: int, number: int, start: int, keys: list, arrays: list[np.ndarray]) -> pd.DataFrame:
     lengths = np.array([len(a) for a in arrays], np.int64)
     words = pack(np.concatenate(arrays).astype(np.uint64))
-    return pd.DataFrame({"part": [part], "block": [number], "doc_ids": [keys], "lengths": [lengths], "n_ids": [int(lengths.sum())],
+    return pd.DataFrame({"part": [part], "block": [number], "doc_ids": [keys], "lengths": [lengths], "start": [start], "n_ids": [int(lengths.sum())],
                          "words": [words.astype("<u8").tobytes()], "offsets": [offsets_of(words)]})
 
 
@@ -186,7 +210,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     """Encode ``docs`` in ascending order of their ids into a new file at ``path``."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, keys, arrays, held, number, part = _encoder(tokenizer), [], [], 0, 0, 0
+        encoder, keys, arrays, held, start, number, part = _encoder(tokenizer), [], [], 0, 0, 0, 0
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
             for at in range(0, len(batch), 64):
@@ -196,20 +220,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
                     arrays.append(ids)
                     held += len(ids)
                     if held >= BLOCK_IDS:
-                        yield _block(part, number, keys, arrays)
-                        keys, arrays, held, number = [], [], 0, number + 1
+                        yield _block(part, number, start, keys, arrays)
+                        keys, arrays, held, start, number = [], [], 0, start + held, number + 1
         if keys:
-            yield _block(part, number, keys, arrays)
+            yield _block(part, number, start, keys, arrays)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.withColumn("part", F.spark_partition_id()).mapInPandas(encode, FORMAT).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a file: ``doc_id, start, n_tokens, ids_crc32, ids``, decoded block by block.
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of a file: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids``, decoded block by block.
 
-    ``start`` is the number of ids before the document. Only sizes of parts and blocks are summed up for it.
+    ``start`` is the number of ids before the document. Only the sizes of parts are summed up for it, one row for each
+    task that wrote.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,15 +243,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(np.frombuffer(row.words, "<u8"), row.n_ids).astype("<u4")
                 ends = np.cumsum(row.lengths)
                 cut = [ids[end - n:end] for end, n in zip(ends, row.lengths)]
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(k) else int(k) for k in row.doc_ids], "Int64"),
-                                    "start": row.before + ends - row.lengths, "n_tokens": row.lengths,
-                                    "ids_crc32": [zlib.crc32(x.tobytes()) for x in cut], "ids": cut})
+                made = {"doc_id": pd.array([None if pd.isna(k) else int(k) for k in row.doc_ids], "Int64"),
+                        "start": row.before + row.start + ends - row.lengths, "n_tokens": row.lengths, "ids_crc32": [zlib.crc32(x) for x in cut]}
+                yield pd.DataFrame(made | ({"ids": cut} if with_ids else {}))
 
     blocks = spark.read.schema(FORMAT).parquet(path)
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).toPandas().sort_values("part")  # one row per written part
-    before = spark.createDataFrame(
-        [(int(p), int(b)) for p, b in zip(parts["part"], parts["n"].cumsum() - parts["n"])], "part int, part_before bigint")
-    index = blocks.select("part", "block", "n_ids").join(before, "part").selectExpr(
-        "part", "block", "part_before + coalesce(sum(n_ids) OVER (PARTITION BY part ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
-    placed = blocks.select("part", "block", "doc_ids", "lengths", "n_ids", "words").join(index, ["part", "block"])
-    return placed.mapInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>")
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).toPandas().sort_values("part")
+    before = spark.createDataFrame([(int(p), int(b)) for p, b in zip(parts["part"], parts["n"].cumsum() - parts["n"])], "part int, before bigint")
+    placed = blocks.select("part", "doc_ids", "lengths", "start", "n_ids", "words").join(F.broadcast(before), "part")
+    return placed.mapInPandas(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else ""))
