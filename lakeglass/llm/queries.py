@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, quality, token_files, url_filter
+from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, token_files, url_filter
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
@@ -25,6 +25,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ranges = F.array_join(F.transform("deleted", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
+    return done.select("doc_id", "n_lines", "n_deleted", ranges.alias("deleted"), F.md5("text").alias("text_md5"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
                            "op5_url_filter": url_filter.ORACLE}
