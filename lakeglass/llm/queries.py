@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, token_files, url_filter
+from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
@@ -63,6 +63,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("perplexity", F.exp(-F.col("log_score")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.fit(documents.where(learns(F.col("doc_id"))).select("text", "lang"))
@@ -88,6 +93,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op9_language_id, op10_mixing)}
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score, op9_language_id, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
                            "op5_url_filter": url_filter.ORACLE}
