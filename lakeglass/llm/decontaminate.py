@@ -24,6 +24,8 @@ from lakeglass.llm.shared import ascii_lower, written
 WINDOW = 10
 #: Windows up to which their table is broadcast, about 100 MB of words.
 BROADCAST_WINDOWS = 200_000
+#: Documents with hits up to which their list is broadcast, about 20 MB.
+BROADCAST_DOCUMENTS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,11 +98,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                          (n_hit > 0).alias("contaminated"), "c.print")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+          item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window was found, with their own columns."""
-    hit = contamination(docs, benchmark, doc_id, text, **options).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    windows, _ = written(windows_of(benchmark, item_id, item_text, size), "windows")
+    hit, _ = written(find_windows(docs, windows, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct(), "hit")
+    side = F.broadcast(hit) if hit.count() <= BROADCAST_DOCUMENTS else hit
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.join(hit.distinct(), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(body, F.length(body)) == F.col("_print")), "left_anti")
+    return docs.join(side, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(body, F.length(body)) == F.col("_print")), "left_anti")
 
 
 #: The same contamination in DuckDB, by comparing all word runs.

@@ -199,6 +199,9 @@ def _class_links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of every component those with its smallest id, one row per id. Rows without an id stay."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    unnamed = docs.where(F.col(doc_id).isNull())
-    return docs.join(kept, F.col(doc_id) == F.col("_kept_id"), "left_semi").dropDuplicates([doc_id]).union(unnamed)
+    found = near_duplicates(docs, doc_id, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    rows, _ = written(found.select(F.col("doc_id").alias("_id"), "kept", "n"), "kept")
+    kept = docs.join(rows.where("kept"), F.col(doc_id).cast("bigint") == F.col("_id"), "left_semi")
+    if rows.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([doc_id])
+    return kept.union(docs.where(F.col(doc_id).isNull()))

@@ -133,3 +133,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id:
     measured, _ = written(posteriors.drop(text), "posteriors")
     rated, goal = fit_rates(measured, domains, targets, total_tokens)
     return rated.withColumn("copies", copies_of(F.col("rate"), F.col(doc_id))), domains, goal
+
+
+def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id: str = "doc_id", text: str = "text", domain: str = "domain",
+             total_tokens: float | None = None) -> DataFrame:
+    """The rows of ``docs``, with their own columns, as often as their ``copies`` say."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    print_of = F.xxhash64(body, F.length(body))
+    mixed, _, _ = mix(docs.select(F.col(doc_id).alias("_mix_id"), F.col(text).alias("_mix_text"), print_of.alias("_mix_print")), labelled.select(
+        F.col(text).alias("_mix_text"), F.col(domain).alias("domain")), targets, "_mix_id", "_mix_text", "domain", total_tokens)
+    times, _ = written(mixed.select("_mix_id", "_mix_print", "copies").distinct(), "copies")
+    joined = docs.join(times, F.col(doc_id).eqNullSafe(F.col("_mix_id")) & (print_of == F.col("_mix_print")))
+    return joined.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
+from lakeglass.llm.settings import TARGETS, TOKENIZER
 from lakeglass.llm.shared import learns, written
 from lakeglass.runtime import scratch_path
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,10 +74,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
-#: Shares of all tokens that the mixture should have per domain; here a domain is a language.
-TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
-
-
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``text, domain``: the documents of the labelled table, with the domain that is known of them."""
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -93,6 +88,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score, op9_language_id, op10_mixing)}
+BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score, op9_language_id, op10_mixing)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
                            "op5_url_filter": url_filter.ORACLE}
