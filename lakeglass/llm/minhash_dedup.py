@@ -6,11 +6,13 @@ five words; a shorter text is one run. Two documents are linked when ``100 * |A
 1. Every text becomes the digest of its set, the minima of ``BANDS * ROWS`` universal hashes, and a key per band.
    A pair at the threshold shares no key with probability (1 - 0.85**7)**32, about 4 in a million.
 2. Documents of one digest are one class; its smallest id stands for it from here on.
-3. Classes that share a band key are candidates. Instead of all pairs of a bucket, each round compares the members
-   with one centre per bucket, and buckets whose members are already connected drop out. Once few cross pairs are
-   left, or a round links nothing, all pairs of different components within a bucket are compared. So no
-   candidate is left out, and a group of n copies costs about n comparisons.
-4. Pairs whose minima agree too rarely (by more than six standard deviations) are dropped, the rest is counted on the full sets.
+3. Classes that share a band key are a bucket; buckets with the same members count once. All pairs of a bucket are
+   compared within its task: first by their minima, where too few agree (4.5 standard deviations below the
+   threshold), then by the sizes of the intersections of the full sets. A bucket answers with just enough links to connect
+   what is linked, so a group of n copies yields n - 1 rows.
+4. No task gets more than ``BLOCK`` classes. In a larger bucket every member is first compared with one centre; then
+   blocks of those that this left outside the largest component meet all other blocks, two at a time. Nothing is left out.
+5. Links become components by large-star and small-star steps.
 
 Defined results: texts that are null or without words have an empty set, link with nothing and are kept. Rows that
 repeat a ``doc_id`` share one component. A null ``doc_id`` cannot be named: such a row has a null component and is kept.
@@ -27,7 +29,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakeglass.llm.components import components
 from lakeglass.llm.shared import discard, replacing, written
@@ -36,10 +37,10 @@ WORDS = 5
 BANDS = 32
 ROWS = 7
 SIMILARITY_PERCENT = 85
-#: Agreeing minima below which a pair cannot plausibly reach the similarity: 0.85 less 6.5 standard deviations.
-AGREEING = int(BANDS * ROWS * (0.85 - 6.5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5))
-#: All cross pairs of a bucket are compared once there are at most this many a member.
-CROSS_PAIRS_PER_MEMBER = 2
+#: Agreeing minima below which a pair cannot plausibly reach the similarity.
+AGREEING = int(BANDS * ROWS * (0.85 - 4.5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5))
+#: Classes that one task compares with each other.
+BLOCK = 2048
 
 _random = np.random.default_rng(5)
 _PLACES = _random.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,27 +104,89 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(text).tobytes() for text in batch["text"]]})
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b))
-    return pd.Series((left == right).sum(axis=1))
+def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which index pairs of a bucket are linked. Sizes of intersections come from a product of membership tables, some shingles at a time."""
+    agree = np.zeros(len(pairs), np.int32)
+    for at in range(0, len(pairs), 4096):
+        left, right = pairs[at:at + 4096].T
+        agree[at:at + 4096] = (minima_of[left] == minima_of[right]).sum(axis=1)
+    likely = np.flatnonzero(agree >= AGREEING)
+    out = np.zeros(len(pairs), bool)
+    if not len(likely):
+        return out
+    left, right = pairs[likely].T
+    sizes = np.array([len(s) for s in sets])
+    if len(likely) <= 64:
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)])
+    else:
+        n = len(sets)
+        known, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), sizes)
+        column = np.cumsum(often > 1) - 1  # shingles of one member meet nothing
+        held = often[place] > 1
+        owner, place = owner[held], column[place[held]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        product = np.zeros((n, n), np.float32)
+        step = 4096
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+            low, high = np.searchsorted(place, [at, at + step])
+            table = np.zeros((n, step), np.float32)
+            table[owner[low:high], place[low:high] - at] = 1
+            product += table @ table.T
+        both = product[left, right].astype(np.int64)
+    out[likely] = 100 * both >= SIMILARITY_PERCENT * (sizes[left] + sizes[right] - both)
+    return out
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def _spanning(ids: list, pairs: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect the same members, none of them twice."""
+    top = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
     out = []
-    for x, y in zip(a, b):
-        left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        out.append(100 * both >= SIMILARITY_PERCENT * (len(left) + len(right) - both))
-    return pd.Series(out, dtype=bool)
+    for a, b in pairs[linked].tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((ids[a], ids[b]))
+    return out
+
+
+def _within_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within groups of rows ``task, side, doc_id, minima, shingles``, which arrive one group after the other.
+
+    Rows of side 0 meet each other and those of side 1, which do not meet each other.
+    """
+    held = None
+    for batch in batches:
+        held = batch if held is None or not len(held) else pd.concat([held, batch])
+        if len(held):
+            last = held["task"].iloc[-1]
+            done, held = held[held["task"] != last], held[held["task"] == last]
+            yield from _links_of(done)
+    if held is not None and len(held):
+        yield from _links_of(held)
 
 
-def _pairs_with(table: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
-    """``a, b`` with the value of each end."""
-    left = table.select(F.col("doc_id").alias("a"), F.col(value).alias("of_a"))
-    right = table.select(F.col("doc_id").alias("b"), F.col(value).alias("of_b"))
-    return pairs.join(left, "a").join(right, "b")
+def _links_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    links = []
+    for _, group in rows.groupby("task", sort=False):
+        group = group.drop_duplicates("doc_id")  # a class may be in both blocks
+        ids = group["doc_id"].tolist()
+        first, second = np.triu_indices(len(ids), 1)
+        side = group["side"].to_numpy()
+        meet = (side[first] == 0) | (side[second] == 0)
+        pairs = np.stack([first[meet], second[meet]], axis=1)
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        links += _spanning(ids, pairs, linked_pairs(sets, np.stack([np.frombuffer(x, np.uint8) for x in group["minima"]]), pairs))
+    if links:
+        yield pd.DataFrame(links, columns=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,56 +210,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _class_links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[str]]:
     """Confirmed links between classes, enough of them to connect all that are connected; and tables to delete later."""
-    spark = texts.sparkSession
     keys = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members, members_path = written(keys.join(shared, "bucket"), "buckets")
-    scratch = [members_path]
+    marks = [F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(20,0)")).alias(f"mark{k}") for k in (1, 2)]
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    once = shared.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    members, members_path = written(keys.join(once, "bucket"), "buckets")
     needed = members.select("doc_id").distinct()
-    sets, sets_path = written(texts.join(needed, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "sets")
-    scratch.append(sets_path)
-    size = members.count()
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = links
-    place = members.select("doc_id", F.col("doc_id").alias("component")).distinct()
-    turn, fresh = 0, 0
-    while size:
-        placed = members.join(place, "doc_id")
-        # buckets that still hold several components: members per component first, so that hot buckets meet as sums
-        counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("first"))
-        open_buckets, open_path = written(
-            counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-                                         F.min(F.struct("first.h", "first.doc_id", "component")).alias("centre"))
-            .where("parts > 1").selectExpr("bucket", "n", "squares", "centre.doc_id AS centre", "centre.component AS centre_component"), "open")
-        load = open_buckets.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()
-        if not load[0]:
-            discard(spark, open_path)
-            break
-        last = turn > 0 and fresh == 0 or load[1] <= CROSS_PAIRS_PER_MEMBER * load[0]
-        if last:
-            inside = placed.join(open_buckets.select("bucket"), "bucket")
-            other = inside.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-            pairs = inside.withColumnRenamed("doc_id", "a").join(other, "bucket").where("a < b AND component <> component_b").select("a", "b")
-        else:
-            pairs = (placed.join(open_buckets, "bucket").where("component <> centre_component")
-                     .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")))
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        likely = _pairs_with(classes, pairs, "minima").where(_agreeing("of_a", "of_b") >= AGREEING).select("a", "b")
-        checked, checked_path = written(_pairs_with(sets, likely, "shingles").select("a", "b", _linked("of_a", "of_b").alias("linked")), "checked")
-        scratch += [open_path, checked_path]
-        links = links.union(checked.where("linked").select("a", "b"))
-        tried = tried.union(checked.select("a", "b"))
-        fresh = checked.where("linked").count()
-        if last:
-            break
-        turn += 1
-        found, found_path = written(components(links), "places")
-        scratch.append(found_path)
-        place = (members.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                 .select("doc_id", F.coalesce("component", "doc_id").alias("component")))
+    made = texts.join(needed, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id", "shingles"])
+    # rows of one id may have several sets; the class has that of its minima
+    sets, sets_path = written(made.join(classes.select("doc_id", "digest", "minima"), "doc_id").where("unhex(md5(shingles)) = digest").drop("digest"), "sets")
+    scratch = [members_path, sets_path]
+    small = members.where(F.col("n") <= BLOCK).select(F.col("bucket").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id")
+    links, links_path = written(_compared(small, sets), "links")
+    scratch.append(links_path)
+    large = members.where(F.col("n") > BLOCK)
+    if large.limit(1).count():
+        links = links.union(_large_links(large, sets, scratch))
     return links, scratch
 
 
+def _compared(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    rows = tasks.join(sets, "doc_id").select("task", "side", "doc_id", "minima", "shingles")
+    return rows.repartition("task").sortWithinPartitions("task").mapInPandas(_within_buckets, "a bigint, b bigint")
+
+
+def _large_links(large: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """Links within buckets of more than ``BLOCK`` classes."""
+    centres = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c")).select("bucket", F.col("c.doc_id").alias("centre"))
+    pairs = large.join(centres, "bucket").where("doc_id <> centre").select("doc_id", "centre").distinct()
+    # a task per member and centre is a group of two
+    ends = pairs.select(F.concat_ws(":", "centre", "doc_id").alias("task"), F.explode(F.array("doc_id", "centre")).alias("doc_id")).select("task", F.lit(0).alias("side"), "doc_id")
+    stars, path = written(_compared(ends, sets), "stars")
+    scratch.append(path)
+    found, path = written(components(stars), "places")
+    scratch.append(path)
+    placed = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    most = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top")).select("bucket", F.col("top.component").alias("largest"))
+    half = BLOCK // 2
+    blocks = placed.join(most, "bucket").select(
+        "bucket", "doc_id", (F.col("component") != F.col("largest")).alias("outside"), F.ceil(F.col("n") / half).cast("int").alias("blocks")).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # those outside, block by block, meet all blocks; two blocks of those outside meet only once
+    outside = blocks.where("outside").select("bucket", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    asking = outside.select(F.concat_ws(":", "bucket", "block", "other").alias("task"), F.lit(0).alias("side"), "doc_id")
+    open_blocks = blocks.where("outside").select("bucket", "block").distinct()
+    answering = blocks.select("bucket", "doc_id", F.col("block").alias("other")).join(open_blocks, "bucket").select(
+        F.concat_ws(":", "bucket", "block", "other").alias("task"), F.lit(1).alias("side"), "doc_id")
+    rest, path = written(_compared(asking.union(answering).groupBy("task", "doc_id").agg(F.min("side").alias("side")).select("task", "side", "doc_id"), sets), "links")
+    scratch.append(path)
+    return stars.union(rest)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of every component those with its smallest id, one row per id. Rows without an id stay."""
     found = near_duplicates(docs, doc_id, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))

@@ -68,11 +68,22 @@ def test_minhash_against_all_pairs(spark):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(i for i in sets if want[i] == i)
 
 
-def test_minhash_goes_on_when_centres_fail(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "CROSS_PAIRS_PER_MEMBER", -1)
+def test_minhash_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
     test_minhash_against_all_pairs(spark)
 
 
+def test_linked_pairs_by_product():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**60, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.06], rng.integers(0, 2**60, rng.integers(0, 20), dtype=np.uint64)])) for _ in range(40)]
+    pairs = np.array([(a, b) for a in range(40) for b in range(a)])
+    both = [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    want = [100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k) for k, (a, b) in zip(both, pairs)]
+    got = minhash_dedup.linked_pairs(sets, np.stack([minhash_dedup.minima(s) & 0xFF for s in sets]).astype(np.uint8), pairs)
+    assert 0 < sum(want) < len(want) and got.tolist() == want
+
+
 def test_minhash_of_odd_rows(spark):
     text = "a b c d e f g"
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (7, "other words than those before it"), (3, text), (None, None)], "doc_id long, text string")
