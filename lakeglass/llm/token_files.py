@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +44,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     widths = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # at most one too many, for ids beyond 2**53
+    doubled = [widths]  # maxima of 1, 2, 4, ... neighbours
+    while 2 << len(doubled) - 1 <= min(n, SELECTORS[0][0]):
+        size = 1 << len(doubled) - 1
+        doubled.append(np.maximum(doubled[-1][:-size], doubled[-1][size:]))
     choice = np.full(n, SINGLE, np.uint8)
     choice[ids >= np.uint64(1) << np.uint64(60)] = ESCAPE
     for selector in range(len(SELECTORS) - 1, -1, -1):  # from few wide ids to many narrow ones, which win
         count, bits = SELECTORS[selector]
         if count <= n:
-            choice[:n - count + 1][_window_max(widths, count) <= bits] = selector
+            half = doubled[count.bit_length() - 1]  # two windows of a power of two cover one of any size
+            rest = count - (1 << count.bit_length() - 1)
+            widest = np.maximum(half[:len(half) - rest], half[rest:]) if rest else half
+            choice[:n - count + 1][widest <= bits] = selector
     takes = np.array([count for count, _ in SELECTORS] + [1, 1])[choice]
     step, starts, at = takes.tolist(), [], 0
     while at < n:
@@ -78,16 +86,6 @@ def pack(ids: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _window_max(values: np.ndarray, size: int) -> np.ndarray:
-    """The maximum of every ``size`` neighbours."""
-    width = 1
-    while 2 * width <= size:
-        values = np.maximum(values[:-width], values[width:])
-        width *= 2
-    rest = size - width
-    return np.maximum(values[:-rest], values[rest:]) if rest else values
-
-
 def _kinds(words: np.ndarray) -> np.ndarray:
     """The selector of every word; 16 for the raw words behind an escape."""
     kinds = (words >> np.uint64(60)).astype(np.uint8)
@@ -144,43 +142,53 @@ _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^ \t\n\r
 _END = np.array([END_ID], "<u4").tobytes()
 
 
+class _Ids(dict):
+    """Ids of parts as bytes; a part not yet known is encoded when it is asked for. Starts anew when it is full."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = self[part] = array("I", self.ids_of(part)).tobytes()
+        return found
+
+
 class WordEncoder:
-    """Encodes texts through caches of their parts.
+    """Encodes texts through caches of their parts, whose size does not depend on the input.
 
     The tokenizer splits at white space and normalises it away, so the ids of a text are those of its words in order.
     Latin texts are cut into the tokenizer's own pieces, which go to its model at once; all others are cut at white space
-    only. A cache starts anew when it is full; its size does not depend on the input.
+    only.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        latin = [_is_latin(text) for text in texts]
-        split = [_PIECES.findall(text.lower()) if own else _words(text) for text, own in zip(texts, latin)]
-        self._learn(self.pieces, [x for x, own in zip(split, latin) if own], self._model_ids)
-        self._learn(self.words, [x for x, own in zip(split, latin) if not own], self._ids)
-        of = [self.words.__getitem__, self.pieces.__getitem__]
-        return [np.frombuffer(b"".join([*map(of[own], parts), _END]), "<u4") for parts, own in zip(split, latin)]
-
-    def _learn(self, known: dict[str, bytes], split: list[list[str]], ids_of) -> None:
-        wanted = set().union(*split)
-        new = [part for part in wanted if part not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = wanted
-        for part in new:
-            known[part] = np.array(ids_of(part), "<u4").tobytes()
+        self.pieces = _Ids(self._model_ids)
+        self.words = _Ids(self._ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        if _is_latin(text):
+            found = map(self.pieces.__getitem__, _PIECES.findall(text.lower()))
+        else:
+            found = map(self.words.__getitem__, _words(text))
+        return np.frombuffer(b"".join([*found, _END]), "<u4")
 
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _model_ids(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves in the vocabulary
-            return [token.id for token in self.tokenizer.model.tokenize(piece)]
-        return self._ids(piece)
+        return [token.id for token in self.tokenizer.model.tokenize("".join(map(_byte_signs().__getitem__, piece.encode())))]
+
+
+@functools.cache
+def _byte_signs() -> list[str]:
+    """The sign of each byte in the vocabulary: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)]
 
 
 def _is_latin(text: str) -> bool:
@@ -213,15 +221,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
         encoder, keys, arrays, held, start, number, part = _encoder(tokenizer), [], [], 0, 0, 0, 0
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            for at in range(0, len(batch), 64):
-                some = batch.iloc[at:at + 64]
-                for key, ids in zip(some["doc_id"], encoder.encode(some["text"].tolist())):
-                    keys.append(None if pd.isna(key) else int(key))
-                    arrays.append(ids)
-                    held += len(ids)
-                    if held >= BLOCK_IDS:
-                        yield _block(part, number, start, keys, arrays)
-                        keys, arrays, held, start, number = [], [], 0, start + held, number + 1
+            for key, text in zip(batch["doc_id"], batch["text"]):
+                ids = encoder.encode(text)
+                keys.append(None if pd.isna(key) else int(key))
+                arrays.append(ids)
+                held += len(ids)
+                if held >= BLOCK_IDS:
+                    yield _block(part, number, start, keys, arrays)
+                    keys, arrays, held, start, number = [], [], 0, start + held, number + 1
         if keys:
             yield _block(part, number, start, keys, arrays)
 

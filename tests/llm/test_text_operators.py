@@ -183,7 +183,7 @@ def test_simple8b_size():
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_the_ids_of_the_text(text):
     encoder = token_files._encoder(TOKENIZER)
-    assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
