@@ -24,6 +24,18 @@ CLOCK_FORM = r"^.{11}([0-9:.]+)(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?\z"
 END_OF_DAY_FORM = r"^24:00(:00(\.0+)?)?\z"
 
 
+def whole_number_order(s: str, falling: bool = False) -> str:
+    """A key that sorts whole numbers of any length by value, from their text.
+
+    Longer numbers are larger; among negative ones the order of lengths and digits turns round.
+    """
+    digits = f"ltrim('+-', {s})"
+    turned = f"struct({{}} AS sign, -length({digits}) AS size, translate({digits}, '0123456789', '9876543210') AS digits)"
+    plain = f"struct({{}} AS sign, length({digits}) AS size, {digits} AS digits)"
+    below, above = (plain.format(1), turned.format(0)) if falling else (turned.format(0), plain.format(1))
+    return f"CASE WHEN {matches(s, INTEGER_FORM)} THEN IF({s} LIKE '-%', {below}, {above}) END"
+
+
 def matches(c: str, form: str) -> str:
     return f"{c} RLIKE {literal(form)}"
 

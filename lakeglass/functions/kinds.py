@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 INTEGER, FLOAT, BOOLEAN, DATE = "integer", "float", "boolean", "date"
 TEXT, MIXED, OTHER, EMPTY = "text", "mixed", "other", "empty"
 
-#: Fixed value: longest native type label shown in full.
-NATIVE_TYPE_CHARS = 60
-
 _KIND_BY_TYPE = [
     ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), INTEGER),
     ((T.FloatType, T.DoubleType, T.DecimalType), FLOAT),
@@ -31,6 +28,5 @@ def is_numeric(dtype: T.DataType) -> bool:
 
 
 def native_type(dtype: T.DataType) -> str:
-    """Spark's own name of a type in upper case, clipped."""
-    name = dtype.simpleString().upper().strip()
-    return name if len(name) <= NATIVE_TYPE_CHARS else name[:NATIVE_TYPE_CHARS] + "…"
+    """Spark's own name of a type in upper case."""
+    return dtype.simpleString().upper().strip()

@@ -14,9 +14,9 @@ BLANKS = (
     "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
     "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-# Longest text extreme shown in full, and the mark of a cut.
-STAT_CHARS = 200
 ELLIPSIS = "…"
+#: Longer texts are told apart by a digest where only their number counts.
+KEY_CHARS = 64
 
 INFINITY = "double('Infinity')"
 
@@ -32,7 +32,7 @@ def trim_blanks(c: str) -> str:
     return f"IF({plain}, {c}, btrim({c}, {literal(BLANKS)}))"
 
 
-def clip(c: str, chars: int = STAT_CHARS) -> str:
+def clip(c: str, chars: int) -> str:
     """``c`` cut to ``chars`` characters with an ellipsis when something was cut."""
     return f"CASE WHEN length({c}) > {chars} THEN concat(left({c}, {chars}), '{ELLIPSIS}') ELSE {c} END"
 
@@ -91,11 +91,9 @@ def display_text(c: str, dtype: T.DataType, ts_style: str = "sql") -> str:
     return f"coalesce({value_text(c, dtype, ts_style)}, '')"
 
 
-def bounded_key(text: str) -> tuple[str, str]:
-    """A text value as ``(head, digest)``: what a shuffle carries instead of whole documents.
+def text_key(text: str) -> str:
+    """A text, or the SHA-256 of a long one: equal exactly where the texts are, and short in a shuffle.
 
-    The head is one character longer than a shown extreme, so clipped extremes come out right;
-    longer texts add the SHA-256 of the whole.
+    A marked digest has 65 characters, so no text that stands for itself equals one.
     """
-    size = STAT_CHARS + 1
-    return f"left({text}, {size})", f"CASE WHEN length({text}) > {size} THEN sha2({text}, 256) END"
+    return f"IF(length({text}) > {KEY_CHARS}, concat('#', sha2({text}, 256)), {text})"

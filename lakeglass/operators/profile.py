@@ -1,16 +1,14 @@
 """Whole-table column profile: one output row per column.
 
-Cells are turned into ``(ordinal, value)`` rows and counted per distinct value. That one
-shuffle, pre-aggregated on the map side so that a frequent value costs one row per task, carries
-everything else: nulls, distinct values, extremes, mean and, through the reused exchange, the
-histogram. The source is scanned once per value type and each scan reads only its own columns.
+Totals, nulls, extremes and means are one wide aggregate, so only partial results leave a task. Histograms are a second
+scan of the numeric columns. Only exact distinct counts need the values: they become ``(ordinal, value)`` rows,
+grouped on the map side, so that a frequent value costs one row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +17,9 @@ from pyspark.sql import types as T
 from .. import runtime
 from ..functions import inference, kinds
 from ..functions.numbers import grouped_integer, percent_text
-from ..functions.text import (
-    STAT_CHARS, bounded_key, clip, display_text, double_text, finite, is_finite, literal, timestamp_text, trim_blanks,
-)
+from ..functions.text import clip, display_text, double_text, finite, is_finite, literal, text_key, trim_blanks, value_text
 from . import histogram as hist
 
-# Fixed value: distinct values counted before a capped count becomes a lower bound.
-DISTINCT_CAP = 100_000
-
 
 @dataclass(frozen=True)
 class Field:
@@ -63,10 +56,9 @@ def _ordinals(fields: list[Field], test: Callable[[Field], bool]) -> str:
     return f"ordinal IN ({', '.join(chosen)})" if chosen else "false"
 
 
-def scan_groups(df: DataFrame, fields: list[Field]) -> list[list[Field]]:
-    """Cut fields of one family into the groups one scan takes."""
-    size = runtime.columns_per_scan(df, len(df.columns))
-    return [fields[i:i + size] for i in range(0, len(fields), size)]
+def scan_groups(fields: list[Field]) -> list[list[Field]]:
+    """Cut fields into the groups one scan takes, so that no aggregate gets too wide to compile."""
+    return [fields[i:i + runtime.COLUMNS_PER_SCAN] for i in range(0, len(fields), runtime.COLUMNS_PER_SCAN)]
 
 
 # --- typed tables --------------------------------------------------------------------------
@@ -79,7 +71,7 @@ _NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def _family(f: Field) -> str:
-    """Columns of one family share a key type."""
+    """Columns of one family share the type by which their values are told apart."""
     if isinstance(f.dtype, _AS_LONG):
         return "bigint"
     if isinstance(f.dtype, (T.FloatType, T.DoubleType)):
@@ -88,6 +80,7 @@ def _family(f: Field) -> str:
 
 
 def _key(f: Field) -> str:
+    """The value of a cell as its family's type."""
     family = _family(f)
     if isinstance(f.dtype, T.DateType):
         return f"CAST(unix_date({f.ref}) AS BIGINT)"
@@ -95,176 +88,132 @@ def _key(f: Field) -> str:
         return f"unix_micros({f.ref})"
     if isinstance(f.dtype, T.TimestampNTZType):
         return f"timestampdiff(MICROSECOND, {_NTZ_EPOCH}, {f.ref})"
-    if kinds.kind_of(f.dtype) in (kinds.OTHER, kinds.EMPTY):
-        return f"IF({f.ref} IS NULL, NULL, '')"  # only nulls are counted
-    return f"CAST({f.ref} AS {family})"
-
-
-def _counted(cells: list[str], exact: bool) -> str:
-    """Cells grouped to distinct values with their row count ``n``.
-
-    Without exact distinct counts the cells stay as they are and nothing but totals is shuffled.
-    """
-    form = "SELECT *, count(*) AS n FROM ({}) GROUP BY ALL" if exact else "SELECT *, 1L AS n FROM ({})"
-    return " UNION ALL ".join(form.format(scan) for scan in cells)
-
-
-def _extreme_text(l: str, x: str, fields: list[Field], ts_style: str) -> str:
-    """Text of a key, by the type of the column it came from."""
-    has = lambda *types: _ordinals(fields, lambda f: isinstance(f.dtype, types))
-    ntz = f"timestampadd(MICROSECOND, {l}, {_NTZ_EPOCH})"
-    forms = [
-        (has(T.FloatType), double_text(x, f"CAST(CAST({x} AS FLOAT) AS STRING)")),
-        (has(T.DoubleType), double_text(x)),
-        (has(T.DateType), f"CAST(date_from_unix_date(CAST({l} AS INT)) AS STRING)"),
-        (has(T.TimestampType), timestamp_text(f"timestamp_micros({l})", ts_style)),
-        (has(T.TimestampNTZType), timestamp_text(ntz, ts_style)),
-    ]
-    cases = " ".join(f"WHEN {test} THEN {form}" for test, form in forms if test != "false")
-    return f"CASE {cases} ELSE CAST({l} AS STRING) END" if cases else f"CAST({l} AS STRING)"
-
-
-def _number_flow(df: DataFrame, fields: list[Field], bins: int, exact: bool, ts_style: str) -> DataFrame:
-    """Statistics of columns keyed by a number: ``l`` holds exact keys, ``x`` floating ones."""
-    groups: dict[str, list[Field]] = {}
-    for f in fields:
-        groups.setdefault(_family(f), []).append(f)
-    cells = []
-    for family, members in groups.items():
-        for group in scan_groups(df, members):
+    return text_key(f"CAST({f.ref} AS STRING)") if family == "string" else f"CAST({f.ref} AS {family})"
+
+
+def _is_summarised(f: Field) -> bool:
+    return kinds.kind_of(f.dtype) not in (kinds.OTHER, kinds.EMPTY)
+
+
+def _totals(df: DataFrame, fields: list[Field], exact: bool, ts_style: str) -> str:
+    """``ordinal, rows, nulls, estimate, min, max, mean, lo, hi`` from one ungrouped aggregate a scan: only partial results are shuffled."""
+    parts = []
+    for group in scan_groups(fields):
+        aggregates, rows = ["count(*) AS total"], []
+        for f in group:
+            i, kind = f.ordinal, kinds.kind_of(f.dtype)
+            number = finite(f.ref) if _family(f) == "double" else f.ref
+            aggregates.append(f"count({f.ref}) AS k{i}")
+            low = high = "CAST(NULL AS STRING)"
+            lo = hi = mean = "CAST(NULL AS DOUBLE)"
+            if kind in (kinds.INTEGER, kinds.FLOAT, kinds.DATE, kinds.TEXT):
+                aggregates += [f"min({number}) AS a{i}", f"max({number}) AS z{i}"]
+                low, high = (value_text(x, f.dtype, ts_style) for x in (f"a{i}", f"z{i}"))
+            if kinds.is_numeric(f.dtype):
+                aggregates += [f"avg(CAST({number} AS DOUBLE)) AS m{i}"]
+                lo, hi, mean = f"CAST(a{i} AS DOUBLE)", f"CAST(z{i} AS DOUBLE)", finite(f"m{i}")
+            estimate = "CAST(NULL AS BIGINT)"
+            if not exact and _is_summarised(f):
+                aggregates.append(f"approx_count_distinct({f.ref}) AS d{i}")
+                estimate = f"d{i}"
+            rows.append(f"{i}, total, total - k{i}, {estimate}, {low}, {high}, {mean}, {lo}, {hi}")
+        parts.append(f"""SELECT stack({len(group)}, {', '.join(rows)}) AS (ordinal, rows, nulls, estimate, min, max, mean, lo, hi)
+                         FROM (SELECT {', '.join(aggregates)} FROM {{df}})""")
+    return " UNION ALL ".join(parts)
+
+
+def _distinct(fields: list[Field]) -> str:
+    """``ordinal, d``: exact counts. Values become rows of one scan a family, and are told apart on the map side before they are shuffled."""
+    families: dict[str, list[Field]] = {}
+    for f in filter(_is_summarised, fields):
+        families.setdefault(_family(f), []).append(f)
+    parts = []
+    for members in families.values():
+        for group in scan_groups(members):
             stack = ", ".join(f"{f.ordinal}, {_key(f)}" for f in group)
-            pair = "CAST(NULL AS BIGINT) AS l, v AS x" if family == "double" else "v AS l, CAST(NULL AS DOUBLE) AS x"
-            cells.append(f"SELECT ordinal, {pair} FROM (SELECT stack({len(group)}, {stack}) AS (ordinal, v) FROM {{df}}) WHERE ordinal IS NOT NULL")
-    number = f"coalesce(CAST(l AS DOUBLE), {finite('x')})"
-    if exact:
-        distinct = "count(l) + count(x)"
-    else:
-        distinct = "approx_count_distinct(IF(l IS NULL AND x IS NULL, NULL, xxhash64(l, x)))"
-    numeric = _ordinals(fields, lambda f: kinds.is_numeric(f.dtype))
-    is_integer = _ordinals(fields, lambda f: kinds.kind_of(f.dtype) == kinds.INTEGER)
-    # The two uses of the cells must stay one exchange: ``rows > nulls`` keeps the counts in both,
-    # and no condition on a cell is left that would be pushed below the grouping in only one.
-    ranges = f"SELECT ordinal, {is_integer} AS is_integer, IF({numeric}, lo, NULL) AS lo, hi FROM stats WHERE rows > nulls"
-    return runtime.query(
-        f"""
-        WITH cells AS ({_counted(cells, exact)}),
-        stats AS (
-            SELECT ordinal, sum(n) AS rows, sum(IF(l IS NULL AND x IS NULL, n, 0L)) AS nulls, {distinct} AS `distinct`,
-                   min(l) AS first, max(l) AS last, min({number}) AS lo, max({number}) AS hi,
-                   try_divide(sum({number} * n), sum(IF({number} IS NULL, 0L, n))) AS mean
-            FROM cells GROUP BY ordinal),
-        layout AS ({hist.layout_sql(ranges, bins)}),
-        histograms AS ({hist.histograms_sql('cells', 'coalesce(CAST(l AS DOUBLE), x)', 'layout', bins)})
-        SELECT /*+ BROADCAST(histograms) */ ordinal, rows, nulls, `distinct`,
-               {_extreme_text('first', 'lo', fields, ts_style)} AS min,
-               {_extreme_text('last', 'hi', fields, ts_style)} AS max,
-               {finite('mean')} AS mean, histogram
-        FROM stats LEFT JOIN histograms USING (ordinal)""",
-        df=df,
-    )
+            parts.append(f"SELECT ordinal, v FROM (SELECT stack({len(group)}, {stack}) AS (ordinal, v) FROM {{df}}) WHERE v IS NOT NULL GROUP BY ordinal, v")
+    counted = " UNION ALL ".join(f"SELECT ordinal, count(*) AS d FROM ({part}) GROUP BY ordinal" for part in parts)
+    return f"SELECT ordinal, sum(d) AS d FROM ({counted}) GROUP BY ordinal" if parts else "SELECT 0 AS ordinal, 0L AS d WHERE false"
 
 
-def _text_flow(df: DataFrame, fields: list[Field], exact: bool) -> DataFrame:
-    """Statistics of text columns, and null counts of columns that are not summarised."""
-    none = f"CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS {hist.HISTOGRAM_TYPE}) AS histogram"
-    if exact:
-        cells = []
-        for group in scan_groups(df, fields):
-            stack = ", ".join(f"{f.ordinal}, {head}, {digest}" for f in group for head, digest in [bounded_key(_key(f))])
-            cells.append(f"SELECT stack({len(group)}, {stack}) AS (ordinal, v, digest) FROM {{df}}")
-        stats = f"""
-            SELECT ordinal, sum(n) AS rows, sum(IF(v IS NULL, n, 0L)) AS nulls, count(v) AS `distinct`,
-                   min(v) AS first, max(v) AS last
-            FROM ({_counted(cells, True)}) GROUP BY ordinal"""
-    else:
-        # Estimated distinct counts: one ungrouped aggregate per scan, no shuffle and no sort.
-        parts = []
-        for group in scan_groups(df, fields):
-            aggregates, rows = ["count(*) AS total"], []
-            for f in group:
-                head, _ = bounded_key(_key(f))
-                k, d, a, z = (f"{part}{f.ordinal}" for part in "kdaz")
-                aggregates.append(
-                    f"count({f.ref}) AS {k}, approx_count_distinct({_key(f)}) AS {d}, min({head}) AS {a}, max({head}) AS {z}"
-                )
-                rows.append(f"{f.ordinal}, total, total - {k}, {d}, {a}, {z}")
-            parts.append(
-                f"SELECT stack({len(group)}, {', '.join(rows)}) AS (ordinal, rows, nulls, `distinct`, first, last) "
-                f"FROM (SELECT {', '.join(aggregates)} FROM {{df}})"
-            )
-        stats = " UNION ALL ".join(parts)
-    return runtime.query(
-        f"SELECT ordinal, rows, nulls, `distinct`, {clip('first')} AS min, {clip('last')} AS max, {none} FROM ({stats})",
-        df=df,
-    )
+def _numbers(fields: list[Field]) -> str:
+    """Numeric cells as rows ``ordinal, n, x``."""
+    parts = []
+    for group in scan_groups([f for f in fields if kinds.is_numeric(f.dtype)]):
+        stack = ", ".join(f"{f.ordinal}, CAST({f.ref} AS DOUBLE)" for f in group)
+        parts.append(f"SELECT stack({len(group)}, {stack}) AS (ordinal, x), 1L AS n FROM {{df}}")
+    return " UNION ALL ".join(parts) or "SELECT 0 AS ordinal, CAST(NULL AS DOUBLE) AS x, 1L AS n WHERE false"
 
 
-def profile(
-    df: DataFrame,
-    *,
-    bins: int = hist.BINS,
-    distinct: str = "exact",
-    distinct_cap: int | None = None,
-    ts_style: str = "sql",
-) -> DataFrame:
+def profile(df: DataFrame, *, bins: int = hist.BINS, distinct: str = "exact", ts_style: str = "sql") -> DataFrame:
     """Profile every column of ``df`` over all of its rows.
 
-    ``distinct`` is ``"exact"`` or ``"approx"``; the estimate needs no shuffle of values.
-    ``distinct_cap`` reports larger counts as that cap with ``distinct_is_lower_bound``.
+    One scan gives all totals and extremes, one more the histograms, whose layout follows from them. ``distinct`` is
+    ``"exact"``, which needs the values themselves, or ``"approx"``, which adds a sketch per column to the first scan.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
     plain, fields = by_ordinal(df)
     exact = distinct == "exact"
-    flows: dict[str, list[Field]] = {}
-    for f in fields:
-        family = _family(f)
-        flows.setdefault("number" if family in ("bigint", "double") else family, []).append(f)
-    parts = [
-        _text_flow(plain, group, exact) if flow == "string" else _number_flow(plain, group, bins, exact, ts_style)
-        for flow, group in flows.items()
-    ]
-    stats = reduce(DataFrame.union, parts).withColumn("found_kind", F.lit(None).cast("string"))
-    return _finish(describe_columns(df), stats, distinct_cap)
+    integers = _ordinals(fields, lambda f: kinds.kind_of(f.dtype) == kinds.INTEGER)
+    ranges = f"SELECT ordinal, {integers} AS is_integer, lo, hi FROM totals WHERE lo IS NOT NULL"
+    counts = f"distincts AS ({_distinct(fields)})," if exact else ""
+    stats = runtime.query(
+        f"""
+        WITH totals AS ({_totals(plain, fields, exact, ts_style)}), {counts}
+        layout AS ({hist.layout_sql(ranges, bins)}),
+        histograms AS ({hist.histograms_sql(f"({_numbers(fields)})", 'x', 'layout', bins)})
+        SELECT /*+ BROADCAST(histograms){', BROADCAST(distincts)' if exact else ''} */ ordinal, rows, nulls, {'coalesce(d, 0L)' if exact else 'estimate'} AS `distinct`,
+               min, max, mean, histogram, CAST(NULL AS STRING) AS found_kind
+        FROM totals {'LEFT JOIN distincts USING (ordinal)' if exact else ''} LEFT JOIN histograms USING (ordinal)""",
+        df=plain,
+    )
+    return _finish(describe_columns(df), stats)
 
 
 # --- tables whose kinds come from the values -------------------------------------------------
 
 
-def _profile_tagged(df: DataFrame, bins: int, distinct_cap: int | None, given_kind=None) -> DataFrame:
+def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
     """Profile of text columns, or of VARIANT columns when ``given_kind`` names a value's class.
 
-    Texts are grouped first and classified once per distinct text, after the shuffle.
+    Whole texts are classified and turned into numbers and instants before anything is grouped. Grouped are spellings of numbers,
+    days and truth values, and digests of long texts. Extremes of texts come from an ungrouped aggregate of their own.
     """
-    head, digest = bounded_key("t")
-    scans = []
+    scans, text_parts = [], []
     plain, fields = by_ordinal(df)
-    for group in scan_groups(plain, fields):
+    for group in scan_groups(fields):
         n = len(group)
         if given_kind:
-            rows = ", ".join(f"{f.ordinal}, CAST({f.ref} AS STRING), {given_kind(f.ref)}" for f in group)
-            cells = f"""SELECT ordinal, IF(tag = 'other', NULL, t) AS t, tag
-                        FROM (SELECT stack({n}, {rows}) AS (ordinal, t, tag) FROM {{df}})"""
+            texts = {f: (f"IF({given_kind(f.ref)} = 'other', NULL, CAST({f.ref} AS STRING))", given_kind(f.ref)) for f in group}
+            rows = ", ".join(f"{f.ordinal}, {t}, {tag}" for f, (t, tag) in texts.items())
+            cells = f"SELECT stack({n}, {rows}) AS (ordinal, s, shape) FROM {{df}}"
+            of_kind = {f: (t, f"{tag} = 'text'") for f, (t, tag) in texts.items()}
         else:
             rows = ", ".join(f"{f.ordinal}, {display_text(f.ref, f.dtype)}" for f in group)
-            # A text too long for its head to tell is classified whole, before the shuffle.
-            cells = f"""SELECT ordinal, nullif(t, '') AS t,
-                               IF(length(t) > {STAT_CHARS}, {inference.text_shape('t')}, NULL) AS tag
-                        FROM (SELECT ordinal, {trim_blanks('raw')} AS t
-                              FROM (SELECT stack({n}, {rows}) AS (ordinal, raw) FROM {{df}}))"""
-        scans.append(f"SELECT ordinal, {head} AS s, {digest} AS digest, tag FROM ({cells}) WHERE ordinal IS NOT NULL")
-    shape = "tag" if given_kind else f"coalesce(tag, {inference.text_shape('s')})"
-    # ``n > 0`` keeps the counts in every use of the cells, so that all uses share one exchange.
+            cells = f"""SELECT ordinal, s, {inference.text_shape('s')} AS shape
+                        FROM (SELECT ordinal, nullif({trim_blanks('raw')}, '') AS s FROM (SELECT stack({n}, {rows}) AS (ordinal, raw) FROM {{df}}))"""
+            of_kind = {}
+            for f in group:
+                t = f"nullif({trim_blanks(f't{f.ordinal}')}, '')"
+                impossible = f"({inference.text_shape(t)} = 'date' AND {inference.epoch_millis(t, inference.clock_of(t), inference.zone_of(t))} IS NULL)"
+                of_kind[f] = (t, f"({inference.text_shape(t)} = 'text' OR {impossible})")
+        scans.append(cells)
+        source = "{df}" if given_kind else "(SELECT " + ", ".join(f"{display_text(f.ref, f.dtype)} AS t{f.ordinal}" for f in group) + " FROM {df})"
+        aggregates = ", ".join(f"min(IF({test}, {t}, NULL)) AS a{f.ordinal}, max(IF({test}, {t}, NULL)) AS z{f.ordinal}" for f, (t, test) in of_kind.items())
+        pairs = ", ".join(f"{f.ordinal}, a{f.ordinal}, z{f.ordinal}" for f in group)
+        text_parts.append(f"SELECT stack({n}, {pairs}) AS (ordinal, a, z) FROM (SELECT {aggregates} FROM {source})")
     # Each LATERAL VIEW evaluates its expressions once, where a plain projection would be copied
     # into every condition that reads it.
-    values = f"""
-        SELECT ordinal, s, n, ms, kind, x FROM (SELECT * FROM ({_counted(scans, True)}) WHERE n > 0)
-        LATERAL VIEW inline(array(struct({shape}))) AS shape
+    typed = f"""
+        SELECT ordinal, IF(kind = 'text', {text_key('s')}, s) AS s, ms, kind, x FROM ({" UNION ALL ".join(scans)})
         LATERAL VIEW inline(array(struct(IF(shape = 'date', {inference.clock_of('s')}, NULL),
                                          IF(shape = 'date', {inference.zone_of('s')}, NULL)))) AS clock, zone
         LATERAL VIEW inline(array(struct(IF(shape = 'date', {inference.epoch_millis('s', 'clock', 'zone')}, NULL)))) AS ms
         LATERAL VIEW inline(array(struct(IF(shape = 'date' AND ms IS NULL, 'text', shape),
                                          IF(shape IN ('integer', 'float'), try_cast(s AS DOUBLE), NULL)))) AS kind, x"""
+    # ``n > 0`` keeps the counts in every use of the cells, so that all uses share one exchange.
+    values = f"SELECT * FROM (SELECT *, count(*) AS n FROM ({typed}) GROUP BY ALL) WHERE n > 0"
     # Numbers are one value per number, days and times one per instant; whole numbers a double
     # cannot hold are told apart by their text.
     unsafe = f"(x = floor(x) AND abs(x) > {inference.SAFE_INTEGER}D AND {is_finite('x')})"
@@ -289,15 +238,15 @@ def _profile_tagged(df: DataFrame, bins: int, distinct_cap: int | None, given_ki
                        WHEN integers > 0 THEN 'integer' WHEN booleans > 0 THEN 'boolean' WHEN dates > 0 THEN 'date'
                        WHEN texts > 0 THEN 'text' ELSE 'other' END AS kind FROM totals"""
     # The original spelling of each extreme: exact integers first, then the alphabetical order.
-    spelled = "struct(try_cast(s AS DECIMAL(38,0)) AS exact, s)"
-    negated = "struct(-try_cast(s AS DECIMAL(38,0)) AS exact, s)"
+    spelled = f"struct({inference.whole_number_order('s')} AS exact, s)"
+    negated = f"struct({inference.whole_number_order('s', falling=True)} AS exact, s)"
     extremes = f"""
         SELECT /*+ BROADCAST(r) */ v.ordinal, min(IF(x = lo, {spelled}, NULL)).s AS low, min(IF(x = hi, {negated}, NULL)).s AS high,
                min(IF(ms = early, s, NULL)) AS first, min(IF(ms = late, s, NULL)) AS last
         FROM cells AS v JOIN resolved AS r ON v.ordinal = r.ordinal
         WHERE r.kind IN ('integer', 'float', 'date') AND (x = lo OR x = hi OR ms = early OR ms = late)
         GROUP BY v.ordinal"""
-    texts = "SELECT ordinal, min(s) AS a, max(s) AS z FROM cells WHERE kind = 'text' GROUP BY ordinal"
+    texts = " UNION ALL ".join(text_parts)
     ranges = "SELECT ordinal, kind = 'integer' AS is_integer, lo, hi FROM resolved WHERE kind IN ('integer', 'float')"
     low, high = (f"IF(kind = 'float', {double_text(x)}, {c})" if given_kind else c for c, x in (("low", "lo"), ("high", "hi")))
     stats = runtime.query(
@@ -307,50 +256,48 @@ def _profile_tagged(df: DataFrame, bins: int, distinct_cap: int | None, given_ki
             histograms AS ({hist.histograms_sql('cells', 'x', 'layout', bins)})
         SELECT /*+ BROADCAST(keys), BROADCAST(extremes), BROADCAST(texts), BROADCAST(histograms) */
                ordinal, rows, nulls, spellings + coalesce(d, 0L) AS `distinct`,
-               CASE kind WHEN 'text' THEN {clip('a')} WHEN 'date' THEN first ELSE {low} END AS min,
-               CASE kind WHEN 'text' THEN {clip('z')} WHEN 'date' THEN last ELSE {high} END AS max,
+               CASE kind WHEN 'text' THEN a WHEN 'date' THEN first ELSE {low} END AS min,
+               CASE kind WHEN 'text' THEN z WHEN 'date' THEN last ELSE {high} END AS max,
                {finite('mean')} AS mean, histogram, kind AS found_kind
         FROM resolved LEFT JOIN keys USING (ordinal) LEFT JOIN extremes USING (ordinal)
              LEFT JOIN texts USING (ordinal) LEFT JOIN histograms USING (ordinal)""",
         df=plain,
     )
     columns = describe_columns(df).withColumn("kind", F.lit(kinds.EMPTY))
-    return _finish(columns, stats, distinct_cap)
+    return _finish(columns, stats)
 
 
-def profile_text(df: DataFrame, *, bins: int = hist.BINS, distinct_cap: int | None = None) -> DataFrame:
+def profile_text(df: DataFrame, *, bins: int = hist.BINS) -> DataFrame:
     """Profile a table of text cells, such as a CSV read without types.
 
     Cells are trimmed, blank ones are null, and the rest is taken for integers, floats, dates,
     booleans or text by its form. Typed columns are profiled by the text they show. Equal
     extremes show the alphabetically first of their spellings.
     """
-    return _profile_tagged(df, bins, distinct_cap)
+    return _profile_tagged(df, bins)
 
 
-def profile_variant(df: DataFrame, *, bins: int = hist.BINS, distinct_cap: int | None = None) -> DataFrame:
+def profile_variant(df: DataFrame, *, bins: int = hist.BINS) -> DataFrame:
     """Profile dynamically typed columns by how each VARIANT value is stored."""
-    return _profile_tagged(df, bins, distinct_cap, inference.variant_kind)
+    return _profile_tagged(df, bins, inference.variant_kind)
 
 
 # --- from statistics to the profile ---------------------------------------------------------
 
 
-def _finish(columns: DataFrame, stats: DataFrame, distinct_cap: int | None) -> DataFrame:
+def _finish(columns: DataFrame, stats: DataFrame) -> DataFrame:
     """Join statistics to the column list; a table without rows still lists its columns.
 
     Both sides have one row per column.
     """
-    cap = distinct_cap if distinct_cap is not None else 2**63 - 1
     return runtime.query(
-        f"""
+        """
         WITH joined AS (
             SELECT /*+ BROADCAST(s) */ c.ordinal, column, coalesce(found_kind, kind) AS kind, native_type,
                    coalesce(rows, 0L) AS rows, coalesce(nulls, 0L) AS nulls, coalesce(`distinct`, 0L) AS d,
                    min, max, mean, histogram
-            FROM {{columns}} AS c LEFT JOIN {{stats}} AS s ON c.ordinal = s.ordinal)
-        SELECT /*+ COALESCE(1) */ ordinal, column, kind, native_type, rows, nulls,
-               IF(kind = 'other', NULL, least(d, {cap}L)) AS `distinct`, d > {cap}L AS distinct_is_lower_bound,
+            FROM {columns} AS c LEFT JOIN {stats} AS s ON c.ordinal = s.ordinal)
+        SELECT /*+ COALESCE(1) */ ordinal, column, kind, native_type, rows, nulls, IF(kind = 'other', NULL, d) AS `distinct`,
                IF(kind IN ('integer', 'float', 'date', 'text'), min, NULL) AS min,
                IF(kind IN ('integer', 'float', 'date', 'text'), max, NULL) AS max,
                IF(kind IN ('integer', 'float'), mean, NULL) AS mean,
@@ -360,15 +307,18 @@ def _finish(columns: DataFrame, stats: DataFrame, distinct_cap: int | None) -> D
     )
 
 
-def report(profile_df: DataFrame) -> DataFrame:
-    """A profile with the derived facts a report shows: shares, ratios, tags and ranges."""
+def report(profile_df: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """A profile with the derived facts a report shows: shares, ratios, tags and ranges.
+
+    ``text_chars`` shortens shown extremes; without it they stay whole.
+    """
     null_percent = "IF(rows > 0, 100D * nulls / rows, 0D)"
-    return profile_df.selectExpr("*", f"{null_percent} AS __percent").selectExpr(
+    shown = profile_df if text_chars is None else profile_df.withColumns({c: F.expr(clip(c, text_chars)) for c in ("min", "max")})
+    return shown.selectExpr("*", f"{null_percent} AS __percent").selectExpr(
         "* EXCEPT (__percent)", "rows - nulls AS non_null",
         f"IF(nulls > 0, concat({grouped_integer('nulls')}, ' (', {percent_text('__percent')}, '%)'), '0') AS nulls_text",
-        f"IF(`distinct` IS NULL, '—', concat(IF(distinct_is_lower_bound, '≥ ', ''), {grouped_integer('`distinct`')})) AS distinct_text",
+        f"IF(`distinct` IS NULL, '—', {grouped_integer('`distinct`')}) AS distinct_text",
         "IF(rows > nulls, least(1D, `distinct` / (rows - nulls)), NULL) AS distinct_ratio",
-        "CASE WHEN distinct_is_lower_bound OR rows - nulls <= 1 THEN NULL WHEN `distinct` = 1 THEN 'constant' "
-        "WHEN `distinct` = rows - nulls THEN 'unique' END AS tag",
+        "CASE WHEN rows - nulls <= 1 THEN NULL WHEN `distinct` = 1 THEN 'constant' WHEN `distinct` = rows - nulls THEN 'unique' END AS tag",
         "IF(kind = 'date', concat(min, ' → ', max), NULL) AS date_range",
     )

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 from ..operators.histogram import bins_of
-from ..operators.profile import DISTINCT_CAP, describe_columns, profile, profile_text, profile_variant, report
+from ..operators.profile import profile, profile_text, profile_variant, report
 from ..operators.snapshots import ProfileStore
 from ..operators.summarize import summarize
 from .registry import Tables, duck_text, register
 
 DECIMALS = 4
-FACTS = ["ordinal", "column", "kind", "native_type", "rows", "nulls", "distinct", "distinct_is_lower_bound", "min", "max"]
+FACTS = ["ordinal", "column", "kind", "native_type", "rows", "nulls", "distinct", "min", "max"]
 
 
 def _facts(p):
@@ -44,7 +44,7 @@ def columns_of(table: str) -> list[tuple[str, str]]:
     return list(zip(words[::2], words[1::2]))
 
 
-def profile_sql(source: str, columns: list[tuple[str, str]], cap: int | None = None) -> str:
+def profile_sql(source: str, columns: list[tuple[str, str]]) -> str:
     """The counterpart of a typed profile: one SELECT per column."""
     parts = []
     for i, (c, type_) in enumerate(columns):
@@ -56,14 +56,11 @@ def profile_sql(source: str, columns: list[tuple[str, str]], cap: int | None = N
         if kind in ("boolean", "other"):
             low = high = "NULL"
         text = (lambda e: f"CASE WHEN {e} IS NOT NULL THEN {duck_text(e, 'double')} END") if type_ == "double" else (lambda e: f"CAST({e} AS VARCHAR)")
-        if type_ == "string":
-            text = lambda e: f"CASE WHEN length({e}) > 200 THEN left({e}, 200) || '…' ELSE {e} END"
         distinct = "CAST(NULL AS BIGINT)" if kind == "other" else f"count(DISTINCT {c})"
-        shown = f"least({distinct}, {cap})" if cap else distinct
         mean = f"round(avg(CAST({c} AS DOUBLE)) {finite}, {DECIMALS})" if kind in ("integer", "float") else "CAST(NULL AS DOUBLE)"
         parts.append(
             f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{kind}' AS kind, '{native}' AS native_type, count(*) AS rows, count(*) - count({c}) AS nulls, "
-            f"{shown} AS \"distinct\", {f'{distinct} > {cap}' if cap else 'false'} AS distinct_is_lower_bound, "
+            f"{distinct} AS \"distinct\", "
             f"{text(low)} AS min, {text(high)} AS max, {mean} AS mean FROM {source}"
         )
     return " UNION ALL ".join(parts).replace(f"FILTER (WHERE isfinite", "FILTER (WHERE isfinite")
@@ -85,8 +82,16 @@ _ODD = """SELECT CASE WHEN event_type = 'click' THEN CAST('NaN' AS DOUBLE) WHEN
 register("profile_nonfinite_and_large", lambda t: _facts(profile(t.sql(_ODD.replace("'{}Infinity'", "'Infinity'"), "events"))),
          profile_sql(f"({_ODD.replace('{}', '').replace('{events}', 'events')})", [("x", "double"), ("big", "bigint")]))
 
-register("profile_distinct_cap", lambda t: _facts(profile(t.lineitem, distinct_cap=1000)), profile_sql("lineitem", columns_of("lineitem"), 1000))
-register("profile_estimated_distinct", lambda t: profile(t.lineitem, distinct="approx", distinct_cap=DISTINCT_CAP).drop("histogram", "distinct"))
+
+
+def _estimated(t: Tables):
+    exact = profile(t.lineitem).select("ordinal", "column", "rows", "nulls", "min", "max", F.col("distinct").alias("d"))
+    close = F.abs(F.col("distinct") - F.col("d")) <= 0.15 * F.col("d")  # three standard errors of the sketch
+    return profile(t.lineitem, distinct="approx").select("ordinal", "distinct").join(exact, "ordinal").select("ordinal", "column", "rows", "nulls", "min", "max", close.alias("is_close"))
+
+
+register("profile_estimated_distinct", _estimated,
+         f'SELECT ordinal, "column", rows, nulls, min, max, true AS is_close FROM ({profile_sql("lineitem", columns_of("lineitem"))})')
 
 
 def _wide(t: Tables):
@@ -232,9 +237,6 @@ register("stored_class_kinds", lambda t: profile_variant(t.sql(_VARIANTS, "event
 
 # --- schemas and summaries ---------------------------------------------------------------------------
 
-register("column_list", lambda t: describe_columns(t.lineitem), " UNION ALL ".join(
-    f"SELECT {i} AS ordinal, column_name AS \"column\", '{TYPES[k][0]}' AS kind, '{TYPES[k][1]}' AS native_type FROM (SELECT '{c}' AS column_name)"
-    for i, (c, k) in enumerate(columns_of("lineitem"))))
 register("summarize_orders", lambda t: summarize(t.orders).selectExpr(
     "ordinal", "column_name", "column_type", "`count`", "null_percentage", "round(avg, 4) AS avg", "round(std, 4) AS std"),
     " UNION ALL ".join(

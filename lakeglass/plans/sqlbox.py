@@ -15,12 +15,10 @@ from ..operators.filters import Boxes, filter_rows
 from ..operators.profile import describe_columns, profile
 from ..operators.summarize import summarize
 from ..operators.table import clamp_rows, shown_text
-from .guard import MAX_SQL_CHARS, RefusedQuery, check_statement, split_statements
+from .guard import RefusedQuery, check_statement, split_statements
 
-# Most rows a kept result holds, and the answer once it was dropped.
-RESULT_ROWS = 100_000
-GONE = "This result is no longer available. Run the query again."
-NOTHING = "Type a query to run."
+GONE = "No result is kept under this id."
+NOTHING = "There is no statement in this text."
 
 
 @dataclass(frozen=True)
@@ -32,7 +30,6 @@ class QueryOutcome:
     shown_rows: int = 0
     kept_rows: int = 0
     truncated: bool = False
-    capped: bool = False
     elapsed_ms: int = 0
     result_id: int | None = None
     error: str | None = None
@@ -62,12 +59,11 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 class SqlBox:
-    """Runs guarded SQL and keeps the newest result as a table."""
+    """Runs guarded SQL and keeps the newest result, all of it, as a table."""
 
-    def __init__(self, spark: SparkSession, result_rows: int = RESULT_ROWS):
+    def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.result_rows = result_rows
-        self._results: dict[int, DataFrame] = {}
+        self._results: dict[int, tuple[DataFrame, str]] = {}
 
     def statement(self, text: str) -> DataFrame:
         """One guarded statement as a DataFrame."""
@@ -85,40 +81,36 @@ class SqlBox:
         return spark.sql(text)
 
     def query(self, text: str) -> DataFrame:
-        """The last statement's result; every statement is checked before the first runs."""
-        if len(text) > MAX_SQL_CHARS:
-            raise RefusedQuery(f"The query is too long ({len(text):,} characters; the limit is {MAX_SQL_CHARS:,}).")
+        """The last statement's result. All statements are guarded and analysed before the first runs; earlier ones then run too, for their errors."""
         statements = split_statements(text)
         if not statements:
             raise RefusedQuery(NOTHING)
-        for statement in statements:
-            if not (_SUMMARIZE.match(statement) or _TABLE_INFO.match(statement) or _PIVOT.match(statement)):
-                check_statement(self.spark, statement)
-        for statement in statements[:-1]:
-            self.statement(statement)
-        return self.statement(statements[-1])
+        found = [self.statement(statement) for statement in statements]
+        for earlier in found[:-1]:
+            earlier.write.format("noop").mode("overwrite").save()
+        return found[-1]
 
     def run(self, text: str, max_rows: int, result_id: int = 0) -> QueryOutcome:
-        """Run a query and keep its first rows under ``result_id``; problems come back as text."""
+        """Run a query and keep its whole result under ``result_id``; only the page shown is limited. Problems come back as text.
+
+        The rows are written to the shared scratch folder once, so follow-up questions see the same rows even if executors are lost.
+        An older result goes once the new one is there.
+        """
         started = time.monotonic()
         try:
             found = self.query(text)
             shown_limit = clamp_rows(max_rows) or 1
-            cap = max(self.result_rows, shown_limit)
-            # One row more than the cap tells an exact fit from a cut. The rows are written to the
-            # shared scratch folder: follow-up questions see the same rows even if executors are lost.
+            path = runtime.scratch_path(self.spark, "result")
             plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
-            held = runtime.materialize(plain.limit(cap + 1), "result")
-            total = held.count()
-            kept = held.limit(cap) if total > cap else held
-            if total > cap:
-                kept = runtime.materialize(kept, "result")
-            kept_rows = min(total, cap)
-            self._results = {result_id: kept.toDF(*found.columns)}
-            shown = min(kept_rows, shown_limit)
+            plain.write.parquet(path)
+            kept = self.spark.read.schema(plain.schema).parquet(path).toDF(*found.columns)
+            total = kept.count()
+            for old in list(self._results):
+                self.drop(old)
+            self._results[result_id] = kept, path
+            shown = min(total, shown_limit)
             return QueryOutcome(
-                headers=tuple(found.columns), page=shown_text(self._results[result_id].limit(shown)), shown_rows=shown,
-                kept_rows=kept_rows, truncated=total > shown, capped=total > cap,
+                headers=tuple(found.columns), page=shown_text(kept.limit(shown)), shown_rows=shown, kept_rows=total, truncated=total > shown,
                 elapsed_ms=int((time.monotonic() - started) * 1000), result_id=result_id,
             )
         except (RefusedQuery, PySparkException) as error:
@@ -127,7 +119,7 @@ class SqlBox:
     def result(self, result_id: int) -> DataFrame:
         if result_id not in self._results:
             raise KeyError(GONE)
-        return self._results[result_id]
+        return self._results[result_id][0]
 
     def profile(self, result_id: int, **options) -> DataFrame:
         return profile(self.result(result_id), **options)
@@ -136,15 +128,12 @@ class SqlBox:
         return filter_rows(self.result(result_id), boxes)
 
     def drop(self, result_id: int) -> None:
-        """Forget a result; a newer one is left alone."""
-        self._results.pop(result_id, None)
-
-
-def result_facts(df: DataFrame, max_rows: int, cap: int = RESULT_ROWS) -> DataFrame:
-    """How many rows of a result are shown and held, and whether either cut something."""
-    cap = max(cap, max_rows)
-    counted = df.limit(cap + 1).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        F.least("n", F.lit(max_rows)).cast("bigint").alias("shown_rows"), F.least("n", F.lit(cap)).cast("bigint").alias("kept_rows"),
-        (F.col("n") > max_rows).alias("truncated"), (F.col("n") > cap).alias("capped"),
-    )
+        """Forget a result and delete its files; another one is left alone."""
+        if result_id in self._results:
+            runtime.discard(self.spark, self._results.pop(result_id)[1])
+
+
+def result_facts(df: DataFrame, max_rows: int) -> DataFrame:
+    """How many rows a result has, how many a page of it shows, and whether that cuts something."""
+    return df.agg(F.count(F.lit(1)).alias("kept_rows")).select(
+        F.least("kept_rows", F.lit(max_rows)).cast("bigint").alias("shown_rows"), "kept_rows", (F.col("kept_rows") > max_rows).alias("truncated"))

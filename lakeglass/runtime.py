@@ -1,4 +1,4 @@
-"""Session settings, size checks and the shared scratch folder."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -6,15 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is hinted for broadcast only when its estimated size is below this.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
-#: Below this, a table has fewer splits than cores; see ``columns_per_scan``.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-#: Columns aggregated per scan: on large tables, and at least on small ones.
+#: Columns aggregated by one scan.
 COLUMNS_PER_SCAN = 40
-SMALL_INPUT_COLUMNS = 3
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,19 +24,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; an upper bound for file scans."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast when the size estimate allows it; else leave the choice to Spark."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def query(text: str, **frames: DataFrame) -> DataFrame:
     """Run SQL over DataFrames named in braces; other braces, as in patterns, stay as they are."""
     text = text.replace("{", "{{").replace("}", "}}")
@@ -52,19 +32,6 @@ def query(text: str, **frames: DataFrame) -> DataFrame:
     return next(iter(frames.values())).sparkSession.sql(text, **frames)
 
 
-def columns_per_scan(df: DataFrame, columns: int) -> int:
-    """How many columns one scan should aggregate.
-
-    A large table has more splits than cores, so wide scans keep every core busy and
-    re-read least. A small one may be a single row group, which one task reads: there the
-    columns are spread over several scans, each reading only its own columns.
-    """
-    if columns <= 1 or estimated_bytes(df) > SMALL_INPUT_BYTES:
-        return COLUMNS_PER_SCAN
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return min(COLUMNS_PER_SCAN, max(SMALL_INPUT_COLUMNS, -(-columns // max(1, cores))))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -85,3 +52,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
