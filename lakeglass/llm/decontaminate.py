@@ -16,6 +16,8 @@ ones; a null ``doc_id`` is kept.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ WINDOW = 10
 BROADCAST_WINDOWS = 200_000
 #: Documents with hits up to which their list is broadcast, about 20 MB.
 BROADCAST_DOCUMENTS = 500_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters one by one, which a pattern looks up in a table; ranges would be compared one after the other.
+WORD = f"[{string.digits}{string.ascii_letters}\\x{{80}}-\\x{{10FFFF}}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -89,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     named = windows.where("item_id IS NOT NULL").distinct()
     items = found.select("doc_id", "print", "words").join(named, "words").groupBy("doc_id", "print").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    counted = _rows(docs, doc_id, text).select("doc_id", "print", F.regexp_count("text", F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))).cast("bigint").alias("n_words"))
+    counted = _rows(docs, doc_id, text).select("doc_id", "print", F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))
     joined = counted.alias("c").join(hits.alias("h"), F.expr("c.doc_id <=> h.doc_id AND c.print = h.print"), "left").join(
         items.alias("i"), F.expr("c.doc_id <=> i.doc_id AND c.print = i.print"), "left")
     listed = F.coalesce("i.items", F.array().cast("array<string>"))
