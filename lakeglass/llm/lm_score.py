@@ -4,13 +4,14 @@ Every document is scored by the counts of all other documents: its own n-grams a
 relative frequency after its two predecessors; if the others have no such trigram, 0.4 times that after one, and so on.
 
 1. Documents become chunks of about ``CHUNK_WORDS`` words: a list of the chunk's distinct words and, per text, places in it.
-2. Each chunk counts its n-grams of orders 1 to 3. Distinct ones go, as sorted 64-bit hashes with counts, to the bucket
+2. Each chunk counts its n-grams of orders 1 to 3. Distinct ones go, as sorted hashes of ``HASH_BITS`` bits with counts, to the bucket
    that owns their range of hashes; the number of buckets follows from the number of words. A frequent n-gram is one
    entry per chunk, so no bucket is hot.
 3. A bucket adds up its part of the count table and answers each chunk in the order of its question.
 4. A chunk meets its answers again and sums up the logarithms per document.
 
-Hashes, counts and answers travel packed in binary columns. The driver sees only the number of words.
+Hashes, counts and answers travel packed in binary columns. The driver sees only the number of words. Two of ``n`` distinct n-grams
+have the same hash with probability ``n / 2**HASH_BITS`` for each: 3e-9 for 200 million, 3e-4 for 20 trillion.
 
 Defined results: null texts and texts without words have no words and a null score. Words are what stands between ASCII white space, with
 A-Z lower-cased. A word that no other document has gets the weight of half an occurrence. Rows that repeat an id are documents of
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ UNSEEN = 0.5
 CHUNK_WORDS = 1_500_000
 BUCKET_NGRAMS = 6_000_000
 CHUNKS = "chunk string, doc_ids array<bigint>, lengths array<int>, vocabulary binary, places binary, n_words bigint"
+HASH_BITS = 56
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -49,8 +52,12 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row() -> pd.DataFrame:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-        return pd.DataFrame({"chunk": [uuid.uuid4().hex], "doc_ids": [ids], "lengths": [lengths], "vocabulary": [hashes.tobytes()],
-                             "places": [b"".join(parts)], "n_words": [held]})
+        places = np.frombuffer(b"".join(parts), np.uint32)
+        order = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")  # frequent words get small places, which pack well
+        rank = np.empty(len(known), np.uint32)
+        rank[order] = np.arange(len(known), dtype=np.uint32)
+        return pd.DataFrame({"chunk": [uuid.uuid4().hex], "doc_ids": [ids], "lengths": [lengths], "vocabulary": [hashes[order].tobytes()],
+                             "places": [_planes(rank[places], 4)], "n_words": [held]})
 
     for batch in batches:
         for key, text in zip(batch["doc_id"], batch["text"]):
@@ -71,7 +78,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _ngrams(vocabulary: bytes, places: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Hashes of the n-grams that end at each word, one array per order; the document of each word; where each order exists."""
-    words = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(places, np.uint32)]
+    words = np.frombuffer(vocabulary, np.uint64)[_counts(places, int(lengths.sum()), 4)]
     document = np.repeat(np.arange(len(lengths)), lengths)
     offset = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     hashes, last = [], np.zeros(len(words), np.uint64)
@@ -86,40 +93,41 @@ def _ngrams(vocabulary: bytes, places: bytes, lengths: np.ndarray) -> tuple[np.n
 
 def _distinct(offset: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
     """All n-gram hashes of a chunk in one array, order by order, only where the document has enough words before."""
-    return np.concatenate([h[offset >= k] for k, h in enumerate(hashes)])
+    return np.concatenate([h[offset >= k] for k, h in enumerate(hashes)]) >> np.uint64(64 - HASH_BITS)
 
 
 def _edges(buckets: int) -> np.ndarray:
     """The first hash of every bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    return np.array([(i << HASH_BITS) // buckets for i in range(1, buckets)], np.uint64)
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes in six bytes each; where one is longer, a marker of ones and, at the end, eight bytes."""
+    """Differences of sorted hashes in five bytes each; where one is longer, a marker of ones and, at the end, eight bytes."""
     steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    mark = np.uint64((1 << 48) - 1)
+    mark = np.uint64((1 << 40) - 1)
     far = steps >= mark
-    short = np.where(far, mark, steps).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    short = np.where(far, mark, steps).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     return np.ascontiguousarray(short).tobytes() + steps[far].astype("<u8").tobytes()
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
+    wide[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
     steps = wide.view("<u8")[:, 0].astype(np.uint64)
-    far = steps == np.uint64((1 << 48) - 1)
-    steps[far] = np.frombuffer(data, "<u8", int(far.sum()), 6 * n)
+    far = steps == np.uint64((1 << 40) - 1)
+    steps[far] = np.frombuffer(data, "<u8", int(far.sum()), 5 * n)
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def _planes(counts: np.ndarray) -> bytes:
-    """Counts byte by byte, all lowest bytes first; the many zeros behind compress away."""
-    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]).tobytes()
+def _planes(numbers: np.ndarray, width: int = 6) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, and compressed: the bytes behind are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes())
 
 
-def _counts(data: bytes, n: int) -> np.ndarray:
+def _counts(data: bytes, n: int, width: int = 6) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(6, n).T
+    if n:
+        wide[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, n).T
     return wide.view("<u8")[:, 0].astype(np.int64)
 
 
