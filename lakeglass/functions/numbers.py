@@ -49,7 +49,7 @@ def percent_text(p: str) -> str:
 
 
 def delta_text(before: str, after: str) -> str:
-    """``rows 1,204 → 1,310 (+106)``, or the count and that it did not change."""
-    return f"""CASE WHEN {after} = {before} THEN concat({grouped_integer(after)}, ' rows, count unchanged')
-        ELSE concat('rows ', {grouped_integer(before)}, ' → ', {grouped_integer(after)}, ' (',
-            IF({after} > {before}, '+', '−'), {grouped_integer(f'abs({after} - {before})')}, ')') END"""
+    """``+106 rows (1,204 to 1,310)``, or ``1,310 rows as before``; NULL without a before."""
+    size = f"concat(IF({after} > {before}, '+', '-'), {grouped_integer(f'abs({after} - {before})')})"
+    changed = f"concat({size}, ' rows (', {grouped_integer(before)}, ' to ', {grouped_integer(after)}, ')')"
+    return f"IF({after} = {before}, concat({grouped_integer(after)}, ' rows as before'), {changed})"

@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import runtime
-from ..functions.text import clip, literal, trim_blanks
+from ..functions.text import literal, trim_blanks
 
-# Longest description shown, and the resource types that are relations.
-DESCRIPTION_CHARS = 2000
+# The resource types that are relations.
 RELATION_TYPES = ("model", "seed", "snapshot", "source")
 TABLE_TYPES = ("model", "seed", "snapshot")
 
@@ -53,10 +52,10 @@ def manifest_relations(manifest: DataFrame) -> DataFrame:
 
 
 def column_descriptions(nodes: DataFrame) -> DataFrame:
-    """One row per described column: non-blank, trimmed, clipped."""
+    """One row per described column: non-blank, trimmed, whole."""
     trimmed = trim_blanks("info.description")
     return runtime.query(
-        f"""SELECT node_id, relation_key, column, {clip('description', DESCRIPTION_CHARS)} AS description
+        f"""SELECT node_id, relation_key, column, description
             FROM (SELECT node_id, relation_key, column, {trimmed} AS description
                   FROM {{nodes}} LATERAL VIEW explode(columns) AS column, info)
             WHERE description <> ''""",
@@ -111,10 +110,19 @@ def preview_outcomes(files: DataFrame, nodes: DataFrame, tables: DataFrame, proj
     )
 
 
-def with_descriptions(profile: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """A profile with the description of each column beside it."""
-    described = descriptions.select("column", "description")
-    return profile.join(described, "column", "left").select(*profile.columns, "description").orderBy("ordinal")
+def with_descriptions(profile: DataFrame, descriptions: DataFrame, relation_key: str) -> DataFrame:
+    """A profile of one relation with the description of each column beside it.
+
+    Only descriptions of that relation count, and names of relations and columns match in any case. Where several nodes describe
+    the same column, the node with the smallest id speaks, so no column of the profile comes twice.
+    """
+    return runtime.query(
+        f"""SELECT /*+ BROADCAST(d) */ p.*, d.description FROM {{profile}} AS p LEFT JOIN (
+                SELECT lower(column) AS named, min_by(description, struct(node_id, column)) AS description
+                FROM {{descriptions}} WHERE lower(relation_key) = lower({literal(relation_key)}) GROUP BY lower(column)) AS d
+            ON d.named = lower(p.column) ORDER BY ordinal""",
+        profile=profile, descriptions=descriptions,
+    )
 
 
 def coverage(described_profile: DataFrame) -> DataFrame:

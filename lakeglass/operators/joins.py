@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import runtime
+from ..functions.text import INFINITY
+from .profile import by_ordinal
 from .table import sorted_slices
 
 
@@ -12,24 +15,26 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list
     """Each left row with the ``values`` of the latest right row of its key at or before its time.
 
     Of several right rows at one instant the one with the greatest values is taken; a left row
-    without a match gets NULLs. Both sides are sorted together into slices by (key, time), so a
-    frequent key spreads over many slices. Inside a slice a window carries the last right row
+    without a match gets NULLs. A NULL key or time matches nothing, on either side. Both sides are sorted together into
+    slices by (key, time), so a frequent key spreads over many slices. Inside a slice a window carries the last right row
     forward; across slices only the last right row per slice and key is carried.
     """
-    picked = ", ".join(values)
     names = [c for c in left.columns if c not in (key, at)]
-    left_struct = f"struct({', '.join(names)})" if names else "struct(1 AS one)"
+    l = left.select(F.col(quoted(key)).alias("k"), F.col(quoted(at)).alias("at"), *[F.col(quoted(c)).alias(f"l{i}") for i, c in enumerate(names)])
+    r = right.select(F.col(quoted(key)).alias("k"), F.col(quoted(at)).alias("at"), *[F.col(quoted(c)).alias(f"v{i}") for i, c in enumerate(values)])
+    own = ", ".join(f"l{i}" for i in range(len(names))) or "1 AS one"
+    picked = ", ".join(f"v{i}" for i in range(len(values)))
     # Right rows of one instant are reduced first, so ties cost one row.
     events = runtime.query(
-        f"""SELECT {key} AS k, {at} AS at, 0 AS side, max(struct({picked})) AS v, CAST(NULL AS {_struct_type(left, names)}) AS l
-            FROM {{r}} GROUP BY {key}, {at}
-            UNION ALL SELECT {key}, {at}, 1, NULL, {left_struct} FROM {{l}}""",
-        r=right, l=left,
+        f"""SELECT k, at, 0 AS side, max(struct({picked})) AS v, CAST(NULL AS {l.selectExpr(f'struct({own}) AS s').schema['s'].dataType.simpleString()}) AS l
+            FROM {{r}} WHERE k IS NOT NULL AND at IS NOT NULL GROUP BY k, at
+            UNION ALL SELECT k, at, 1, NULL, struct({own}) FROM {{l}}""",
+        r=r, l=l,
     )
     placed = sorted_slices(events, ["k", "at", "side"])
-    carried = ", ".join(f"coalesce(seen, before).{c} AS {c}" for c in values)
-    kept = ", ".join(f"l.{c} AS {c}" for c in names)
-    return runtime.query(
+    carried = ", ".join(f"IF(i.k IS NULL OR i.at IS NULL, NULL, coalesce(seen, before).v{i}) AS v{i}" for i in range(len(values)))
+    kept = "".join(f", l.l{i} AS l{i}" for i in range(len(names)))
+    found = runtime.query(
         f"""
         WITH ends AS (SELECT slice, k, max_by(v, position) FILTER (WHERE side = 0) AS v FROM {{p}} GROUP BY slice, k),
         carry AS (
@@ -37,31 +42,50 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list
             FROM ends),
         inside AS (
             SELECT *, last_value(v, true) OVER (PARTITION BY slice, k ORDER BY position ROWS UNBOUNDED PRECEDING) AS seen FROM {{p}})
-        SELECT i.k AS {key}, i.at AS {at}{', ' + kept if kept else ''}, {carried}
-        FROM inside AS i LEFT JOIN carry AS c ON c.slice = i.slice AND c.k <=> i.k WHERE side = 1""",
+        SELECT i.k, i.at{kept}, {carried} FROM inside AS i LEFT JOIN carry AS c ON c.slice = i.slice AND c.k <=> i.k WHERE side = 1""",
         p=placed,
     )
+    return found.toDF(key, at, *names, *values)
 
 
-def _struct_type(df: DataFrame, names: list[str]) -> str:
-    fields = ", ".join(f"`{n}`: {df.schema[n].dataType.simpleString()}" for n in names) or "one: INT"
-    return f"STRUCT<{fields}>"
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Doublings of the step at which spans are listed; longer ones are listed with the last.
+LEVELS = 40
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, step: float) -> DataFrame:
-    """Pairs where ``start <= at < end``, found by an equality join on steps of the number line.
+    """Pairs where ``start <= at < end``, found by an equality join on cells of the number line.
 
-    A span is listed once per step it touches and a point has exactly one step, so no pair comes
-    twice and nothing is compared across steps. Choose ``step`` near the usual span length.
+    A span is listed at the level whose cells, ``step`` times a power of two, are at least as long as it, so it touches
+    two cells at most. Spans beyond the last level, such as those with an infinite end, are listed in one cell that every point has. A
+    point has one cell per level that any span uses, and no pair comes twice. NULLs and NaN match nothing.
     """
-    p = ", ".join(f"p.{c}" for c in points.columns)
-    s = ", ".join(f"s.{c}" for c in spans.columns)
-    return runtime.query(
+    plain_points, point_fields = by_ordinal(points)
+    plain_spans, span_fields = by_ordinal(spans)
+    x = next(f.ref for f in point_fields if f.name == at)
+    lo, hi = (next(f.ref for f in span_fields if f.name == name) for name in (start, end))
+    spans_of = plain_spans.toDF(*[f"s{c}" for c in plain_spans.columns])
+    lo, hi = f"s{lo}", f"s{hi}"
+    level = f"CAST(greatest(0, ceil(log2(greatest(CAST({hi} - {lo} AS DOUBLE), {step}D) / {step}D))) AS INT)"
+    listed = runtime.query(
         f"""
-        SELECT {p}, {s}
-        FROM (SELECT *, CAST(floor({at} / {step}) AS BIGINT) AS step FROM {{points}}) AS p
-        JOIN (SELECT *, explode(sequence(CAST(floor({start} / {step}) AS BIGINT), CAST(floor({end} / {step}) AS BIGINT))) AS step
-              FROM {{spans}} WHERE {start} < {end}) AS s
-        ON p.step = s.step AND p.{at} >= s.{start} AND p.{at} < s.{end}""",
-        points=points, spans=spans,
+        SELECT *, explode(IF(level > {LEVELS}, array(0L), array_distinct(array(
+                      CAST(floor({lo} / ({step}D * pow(2, level))) AS BIGINT), CAST(floor({hi} / ({step}D * pow(2, level))) AS BIGINT))))) AS cell
+        FROM (SELECT *, IF(abs(CAST({lo} AS DOUBLE)) < {INFINITY} AND abs(CAST({hi} AS DOUBLE)) < {INFINITY}, least({level}, {LEVELS + 1}), {LEVELS + 1}) AS level
+              FROM {{s}} WHERE {lo} < {hi} AND NOT isnan(CAST({hi} AS DOUBLE)))""",
+        s=spans_of,
     )
+    used = listed.select("level").distinct()
+    found = runtime.query(
+        f"""
+        SELECT p.* EXCEPT (level, cell), s.* EXCEPT (level, cell)
+        FROM (SELECT /*+ BROADCAST(u) */ p.*, u.level, IF(u.level > {LEVELS}, 0L, CAST(floor({x} / ({step}D * pow(2, u.level))) AS BIGINT)) AS cell
+              FROM (SELECT *, explode(sequence(0, {LEVELS + 1})) AS l FROM {{p}} WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE))) AS p
+              JOIN {{u}} AS u ON u.level = p.l) AS p
+        JOIN {{s}} AS s ON p.level = s.level AND p.cell = s.cell AND p.{x} >= s.{lo} AND p.{x} < s.{hi}""",
+        p=plain_points, s=listed, u=used,
+    ).drop("l")
+    return found.toDF(*points.columns, *spans.columns)

@@ -77,9 +77,9 @@ def range_summary(df: DataFrame, ranges: list[Range], row_id: str) -> DataFrame:
         WITH typed AS (SELECT t, IF({is_finite('x')}, x, NULL) AS x FROM (SELECT t, {number} AS x FROM (SELECT {text} AS t FROM {{cells}}))),
         facts AS (SELECT count(*) AS cells, count_if(t <> '') AS filled, count(x) AS numbers, sum(x) AS s, avg(x) AS a, min(x) AS lo, max(x) AS hi FROM typed)
         SELECT cells, IF(ok, s, NULL) AS sum, IF(ok, a, NULL) AS avg, IF(ok, lo, NULL) AS min, IF(ok, hi, NULL) AS max,
-               CASE WHEN cells <= 1 THEN '' WHEN NOT ok THEN concat({grouped_integer('cells')}, ' cells selected')
-                    ELSE concat({grouped_integer('cells')}, ' cells selected · Sum ', {number_text('s')}, ' · Avg ', {number_text('a')},
-                                ' · Min ', {number_text('lo')}, ' · Max ', {number_text('hi')}) END AS label
+               CASE WHEN cells <= 1 THEN '' WHEN NOT ok THEN concat('n = ', {grouped_integer('cells')})
+                    ELSE concat('n = ', {grouped_integer('cells')}, ', total ', {number_text('s')}, ', mean ', {number_text('a')},
+                                ', from ', {number_text('lo')}, ' to ', {number_text('hi')}) END AS label
         FROM (SELECT *, filled = numbers AND filled > 0 AND coalesce({is_finite('s')}, false) AS ok FROM facts)""",
         cells=selected_cells(df, ranges, row_id),
     )
@@ -90,17 +90,22 @@ def tsv_cell(c: str) -> str:
     return f"IF({c} RLIKE '[\\t\\r\\n\"]', concat('\"', replace({c}, '\"', '\"\"'), '\"'), {c})"
 
 
-def tsv_lines(df: DataFrame, chosen: Range, row_id: str, header: bool = False) -> DataFrame:
-    """One line of tab-separated text per row of a range, in row order; a header comes first."""
+def tsv_lines(df: DataFrame, chosen: Range | list[Range], row_id: str, header: bool = False) -> DataFrame:
+    """Ranges as ``block, row_id, line``: one block of tab-separated text per range, in the order given.
+
+    Lines come in row order. A header stands above the first block only.
+    """
     data, fields = by_ordinal(df.drop(row_id))
     plain = df.select(row_id, *[c for c in df.columns if c != row_id]).toDF("row_id", *data.columns)
-    held = [f for f in fields if chosen.holds_column(f.ordinal)]
-    cells = ", ".join(tsv_cell(display_text(f.ref, f.dtype)) for f in held)
-    lines = f"SELECT row_id, concat_ws('\\t', {cells}) AS line FROM {{df}} WHERE {chosen.row_condition('row_id')}"
-    if header:
-        names = ", ".join(tsv_cell(literal(f.name)) for f in held)
-        lines = f"SELECT CAST(NULL AS BIGINT) AS row_id, concat_ws('\\t', {names}) AS line UNION ALL {lines}"
-    return runtime.query(f"SELECT * FROM ({lines}) ORDER BY row_id NULLS FIRST", df=plain)
+    parts = []
+    for block, one in enumerate(chosen if isinstance(chosen, list) else [chosen]):
+        held = [f for f in fields if one.holds_column(f.ordinal)]
+        cells = ", ".join(tsv_cell(display_text(f.ref, f.dtype)) for f in held) or "''"
+        if header and block == 0:
+            names = ", ".join(tsv_cell(literal(f.name)) for f in held) or "''"
+            parts.append(f"SELECT 0 AS block, CAST(NULL AS BIGINT) AS row_id, concat_ws('\\t', {names}) AS line")
+        parts.append(f"SELECT {block} AS block, CAST(row_id AS BIGINT) AS row_id, concat_ws('\\t', {cells}) AS line FROM {{df}} WHERE {one.row_condition('row_id')}")
+    return runtime.query(f"SELECT * FROM ({' UNION ALL '.join(parts)}) ORDER BY block, row_id NULLS FIRST", df=plain)
 
 
 __all__ = ["Range", "range_summary", "selected_cells", "tsv_cell", "tsv_lines"]

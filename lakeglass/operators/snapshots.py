@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 
 from .. import runtime
@@ -24,32 +26,40 @@ def snapshot_deltas(log: DataFrame) -> DataFrame:
         inside AS (SELECT *, lag(rows) OVER (PARTITION BY slice, relation ORDER BY position) AS earlier FROM {{placed}})
         SELECT relation, at, previous_rows, rows, rows - previous_rows AS delta, {delta_text('previous_rows', 'rows')} AS summary
         FROM (SELECT i.relation, i.at, i.rows, coalesce(i.earlier, o.before) AS previous_rows
-              FROM inside AS i JOIN opening AS o ON o.slice = i.slice AND o.relation = i.relation)""",
+              FROM inside AS i JOIN opening AS o ON o.slice = i.slice AND o.relation <=> i.relation)""",
         placed=sorted_slices(log.select("relation", "at", "rows"), ["relation", "at"]),
     )
 
 
 class ProfileStore:
-    """Profiles kept as one table under a folder, by relation and snapshot."""
+    """Profiles kept as tables under a folder, by relation, snapshot and options. Failures are kept too."""
 
     def __init__(self, spark, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def _path(self, relation: str, snapshot: str) -> str:
-        quote = lambda s: "".join(ch if ch.isalnum() else f"%{ord(ch):x}." for ch in s)
-        return f"{self.folder}/relation={quote(relation)}/snapshot={quote(snapshot)}"
+    def _path(self, *parts: str) -> str:
+        return "/".join([self.folder, hashlib.sha256(repr(parts).encode()).hexdigest()])
 
     def get(self, relation: str, snapshot: str, df: DataFrame, **options) -> DataFrame:
-        """The stored profile, or a new one that is stored; a half-written one does not count."""
-        path = self._path(relation, snapshot)
-        try:
-            found = self.spark.read.text(f"{path}/_SUCCESS").limit(1) is not None
-        except AnalysisException:
-            found = False
-        if not found:
-            profile(df, **options).coalesce(1).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).orderBy("ordinal")
-
+        """The stored profile, or a new one that is stored; a half-written one does not count.
 
+        A profile that failed is not tried again: its error is raised from then on.
+        """
+        path = self._path(relation, snapshot, *map(str, sorted(options.items())))
+        if not self._is_there(path):
+            if self._is_there(f"{path}-failed"):
+                raise RuntimeError(self.spark.read.text(f"{path}-failed", wholetext=True).first()[0])
+            try:
+                profile(df, **options).coalesce(1).write.mode("overwrite").parquet(path)
+            except PySparkException as error:
+                text = self.spark.createDataFrame([(str(error),)], "value string")
+                text.coalesce(1).write.mode("overwrite").text(f"{path}-failed")
+                raise
+        return self.spark.read.parquet(path).orderBy("ordinal")
 
+    def _is_there(self, path: str) -> bool:
+        try:
+            return self.spark.read.text(f"{path}/_SUCCESS").limit(1) is not None
+        except AnalysisException:
+            return False

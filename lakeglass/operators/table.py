@@ -10,11 +10,6 @@ from ..functions import inference, kinds
 from ..functions.text import display_text, is_finite, literal
 from .profile import by_ordinal
 
-# Rows shown by default and at most.
-DEFAULT_ROWS = 5000
-MOST_ROWS = 200_000
-
-
 def clamp_rows(max_rows: float | None) -> int | None:
     """A row limit as a whole number of at least one; None is no limit."""
     return None if max_rows is None else max(1, int(max_rows))
@@ -26,14 +21,14 @@ def shown_text(df: DataFrame, ts_style: str = "sql") -> DataFrame:
     return plain.selectExpr(*[f"{display_text(f.ref, f.dtype, ts_style)} AS {f.ref}" for f in fields]).toDF(*df.columns)
 
 
-def head(df: DataFrame, max_rows: int | None = DEFAULT_ROWS, order_by: list[str | Column] | None = None) -> DataFrame:
+def head(df: DataFrame, max_rows: int | None = None, order_by: list[str | Column] | None = None) -> DataFrame:
     """The first rows as text. With ``order_by`` each task keeps only its top rows."""
     limit = clamp_rows(max_rows)
     ordered = df.orderBy(*order_by) if order_by else df
     return shown_text(ordered if limit is None else ordered.limit(limit))
 
 
-def size_facts(df: DataFrame, max_rows: int | None = DEFAULT_ROWS) -> DataFrame:
+def size_facts(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Exact row total, rows shown and whether rows were cut; Parquet reads no column for it."""
     limit = clamp_rows(max_rows)
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
@@ -42,7 +37,7 @@ def size_facts(df: DataFrame, max_rows: int | None = DEFAULT_ROWS) -> DataFrame:
                         F.lit(len(df.columns)).alias("column_count"))
 
 
-def sorted_slices(df: DataFrame, order_by: list[str]) -> DataFrame:
+def sorted_slices(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     """``df`` globally sorted and written, with ``slice`` and ``position`` inside the slice.
 
     A slice is one task of a range exchange. Ranges are cut by all sort columns and, last, by
@@ -51,7 +46,7 @@ def sorted_slices(df: DataFrame, order_by: list[str]) -> DataFrame:
     """
     tie = "__tie"
     sized = df.withColumn(tie, F.monotonically_increasing_id())
-    keys = [F.col(c) for c in order_by] + [F.col(tie)]
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by] + [F.col(tie)]
     placed = (
         sized.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("slice", F.spark_partition_id())
@@ -85,6 +80,19 @@ def sort_rows(df: DataFrame, column: str, tie_break: list[str], descending: bool
 
     Empty cells come last in both directions.
     """
+    keyed, order, tie = _sort_keys(df, column, tie_break, descending)
+    return keyed.orderBy(*order, *tie).drop("number", "filled", "other").toDF(*df.columns)
+
+
+def sorted_with_position(df: DataFrame, column: str, tie_break: list[str], descending: bool = False, name: str = "position") -> DataFrame:
+    """The rows with the place that ``sort_rows`` gives them, counted from 0, without one big sorted task."""
+    keyed, order, tie = _sort_keys(df, column, tie_break, descending)
+    placed = sorted_slices(keyed, [*order, *[F.col(t) for t in tie]])
+    numbered = placed.join(F.broadcast(slice_offsets(placed)), "slice").withColumn("place", F.col("before") + F.col("position"))
+    return numbered.select(*[c for c in keyed.columns if c not in ("number", "filled", "other")], "place").toDF(*df.columns, name)
+
+
+def _sort_keys(df: DataFrame, column: str, tie_break: list[str], descending: bool) -> tuple[DataFrame, list[Column], list[str]]:
     plain, fields = by_ordinal(df)
     field = next(f for f in fields if f.name == column)
     if kinds.kind_of(field.dtype) in (kinds.INTEGER, kinds.FLOAT, kinds.DATE, kinds.BOOLEAN):
@@ -103,7 +111,7 @@ def sort_rows(df: DataFrame, column: str, tie_break: list[str], descending: bool
     value = [F.col("number").isNull(), F.col("number"), F.col("other")]
     order = [~F.col("filled")] + [c.desc() if descending else c.asc() for c in value]
     names = {f.name: f.ref for f in fields}
-    return keyed.orderBy(*order, *[names[t] for t in tie_break]).drop("number", "filled", "other").toDF(*df.columns)
+    return keyed, order, [names[t] for t in tie_break]
 
 
 def _cells_with(df: DataFrame, needle: str, row_id: str) -> DataFrame:
@@ -118,9 +126,10 @@ def _cells_with(df: DataFrame, needle: str, row_id: str) -> DataFrame:
     )
 
 
-def find(df: DataFrame, needle: str, row_id: str, max_hits: int = 100) -> DataFrame:
-    """The first cells that contain a text, ignoring case, in row and column order."""
-    return _cells_with(df, needle, row_id).orderBy("row_id", "ordinal").limit(max_hits)
+def find(df: DataFrame, needle: str, row_id: str, max_hits: int | None = None) -> DataFrame:
+    """The cells that contain a text, ignoring case, in row and column order; all of them, or a first page."""
+    found = _cells_with(df, needle, row_id).orderBy("row_id", "ordinal")
+    return found if max_hits is None else found.limit(max_hits)
 
 
 def find_count(df: DataFrame, needle: str, row_id: str) -> DataFrame:

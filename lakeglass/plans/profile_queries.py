@@ -238,8 +238,8 @@ register("stored_class_kinds", lambda t: profile_variant(t.sql(_VARIANTS, "event
 # --- schemas and summaries ---------------------------------------------------------------------------
 
 register("summarize_orders", lambda t: summarize(t.orders).selectExpr(
-    "ordinal", "column_name", "column_type", "`count`", "null_percentage", "round(avg, 4) AS avg", "round(std, 4) AS std"),
+    "ordinal", "column_name", "column_type", "min", "max", "`count`", "null_percentage", "round(avg, 4) AS avg", "round(std, 4) AS std"),
     " UNION ALL ".join(
-        f"SELECT {i} AS ordinal, '{c}' AS column_name, '{TYPES[k][1]}' AS column_type, count(*) AS \"count\", 0.0 AS null_percentage, "
+        f"SELECT {i} AS ordinal, '{c}' AS column_name, '{TYPES[k][1]}' AS column_type, {duck_text(f'min({c})', k)} AS min, {duck_text(f'max({c})', k)} AS max, count(*) AS \"count\", 0.0 AS null_percentage, "
         + (f"round(avg(CAST({c} AS DOUBLE)), 4) AS avg, round(stddev(CAST({c} AS DOUBLE)), 4) AS std" if k in ("bigint", "int", "double") else "NULL AS avg, NULL AS std")
         + " FROM orders" for i, (c, k) in enumerate(columns_of("orders"))))

@@ -97,11 +97,20 @@ def _drop_old(t: Tables):
 register("result_newest_survives_drop", _drop_old, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 
 # --- joins -------------------------------------------------------------------------------------------------
-register("asof_join", lambda t: asof_join(
-    t.sql("SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'click'", "events"),
-    t.sql("SELECT user_id, ts, event_type AS seen_type, value AS seen_value FROM {events} WHERE event_type <> 'click'", "events"), "user_id", "ts", ["seen_type", "seen_value"]),
-    """SELECT l.event_id, l.user_id, l.ts, r.event_type AS seen_type, r.value AS seen_value FROM (SELECT * FROM events WHERE event_type = 'click') l
-       ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'click') r ON l.user_id = r.user_id AND l.ts >= r.ts""")
-register("range_join", lambda t: range_join(
-    t.orders.select("o_orderkey", "o_totalprice"), t.sql("SELECT p_partkey, p_retailprice * 100 AS lo, p_retailprice * 100 + p_size AS hi FROM {part}", "part"), "o_totalprice", "lo", "hi", 50.0),
-    "SELECT o_orderkey, o_totalprice, p_partkey, lo, hi FROM orders JOIN (SELECT p_partkey, p_retailprice * 100 AS lo, p_retailprice * 100 + p_size AS hi FROM part) ON o_totalprice >= lo AND o_totalprice < hi")
+_SPOTTY = "SELECT event_id AS `event id`, nullif(user_id, 3) AS `user id`, nullif(ts, TIMESTAMP_NTZ'2024-01-05 00:00:00') AS at, event_type AS `seen type`, value FROM {events} WHERE event_type {is} 'click'"
+
+
+def _spotty(t: Tables, test: str):
+    """Events with users and times left out, under names with blanks."""
+    found = t.sql(_SPOTTY.replace("{is}", test), "events")
+    return found.withColumn("at", F.when(F.col("event id") % 11 != 0, F.col("at")))
+
+
+_DUCK_SPOTTY = """SELECT event_id AS "event id", nullif(user_id, 3) AS "user id", CASE WHEN event_id % 11 <> 0 THEN ts END AS at_, event_type, value FROM events WHERE event_type {is} 'click'"""
+register("asof_join", lambda t: asof_join(_spotty(t, "=").select("event id", "user id", "at"), _spotty(t, "<>"), "user id", "at", ["seen type", "value"]).withColumnRenamed("at", "at_"),
+    f"""SELECT l."event id", l."user id", l.at_, r.event_type AS "seen type", r.value FROM ({_DUCK_SPOTTY.replace('{is}', '=')}) l
+        ASOF LEFT JOIN ({_DUCK_SPOTTY.replace('{is}', '<>')}) r ON l."user id" = r."user id" AND l.at_ >= r.at_""")
+_SPANS = """SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_retailprice * 100 END AS lo,
+    CASE WHEN p_partkey % 97 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN p_partkey % 89 = 0 THEN 1e9 WHEN p_partkey % 10 = 1 THEN p_retailprice * 100 + p_size END AS hi FROM {part}"""
+register("range_join", lambda t: range_join(t.orders.selectExpr("o_orderkey", "IF(o_orderkey % 7 = 0, NULL, o_totalprice) AS `total price`"), t.sql(_SPANS, "part"), "total price", "lo", "hi", 50.0),
+    f"""SELECT o_orderkey, o_totalprice AS "total price", p_partkey, lo, hi FROM orders JOIN ({_SPANS.replace('{part}', 'part')}) ON o_totalprice >= lo AND o_totalprice < hi WHERE o_orderkey % 7 <> 0""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
 from ..operators import catalog, dbt, filters, ranges, snapshots, table
-from ..operators.profile import profile
+from ..operators.profile import by_ordinal, profile
 from ..operators.ranges import Range
 from ..sources import csv, files, tsv
 from ..streaming import refresh
@@ -26,21 +30,20 @@ register("display_nested", lambda t: table.shown_text(t.sql(
     "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(to_json({'name': n_name, 'none': NULL, 'keys': [n_nationkey, n_regionkey]}) AS VARCHAR) AS cell, lower(hex(CAST(n_name AS BLOB))) AS raw FROM nation")
 register("head_with_order", lambda t: table.head(t.orders, 100, ["o_orderkey"]),
          shown_sql("(SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)", columns_of("orders")))
-register("head_size_facts", lambda t: table.size_facts(t.lineitem),
+register("head_size_facts", lambda t: table.size_facts(t.lineitem, 5000),
          "SELECT count(*) AS total_rows, least(count(*), 5000) AS shown_rows, count(*) > 5000 AS truncated, 11 AS column_count FROM lineitem")
-register("ordinal_columns", lambda t: (lambda d: d.toDF(*[f"c{i}" for i in range(len(d.columns))]))(
+register("ordinal_columns", lambda t: (lambda d: by_ordinal(d)[0])(
     t.sql("SELECT n.n_name AS name, r.r_name AS name, n.n_nationkey AS `a b` FROM {nation} n JOIN {region} r ON n_regionkey = r_regionkey", "nation", "region")),
     "SELECT n_name AS c0, r_name AS c1, n_nationkey AS c2 FROM nation JOIN region ON n_regionkey = r_regionkey")
 register("row_index", lambda t: table.with_row_index(t.events.select("event_id", "ts"), ["ts", "event_id"]),
          "SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM events")
-register("sort_text_as_numbers", lambda t: table.with_row_index(
-    table.sort_rows(t.sql("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS STRING) WHEN o_orderstatus = 'O' THEN o_orderpriority END AS v FROM {orders}", "orders"),
-                    "v", ["o_orderkey"]).limit(500), ["o_orderkey"]).drop("row_index"),
-    """SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) WHEN o_orderstatus = 'O' THEN o_orderpriority END AS v FROM orders)
-       ORDER BY v IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END, o_orderkey LIMIT 500""")
+_MIXED = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS {S}) WHEN o_orderstatus = 'O' THEN o_orderpriority END AS v FROM {orders}"
+register("sort_text_as_numbers", lambda t: table.sorted_with_position(t.sql(_MIXED.replace("{S}", "STRING"), "orders"), "v", ["o_orderkey"]),
+    f"""SELECT o_orderkey, v, row_number() OVER (ORDER BY v IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END, o_orderkey) - 1 AS position
+        FROM ({_MIXED.replace("{S}", "VARCHAR").replace("{orders}", "orders")})""")
 _FOUND = " UNION ALL ".join(f"SELECT p_partkey AS row_id, {i} AS ordinal, '{c}' AS \"column\", {duck_text(c, k)} AS cell FROM part" for i, (c, k) in enumerate(columns_of("part")))
-register("find_cells", lambda t: table.find(t.part, "RED", "p_partkey", 200),
-         f"SELECT * FROM ({_FOUND}) WHERE contains(lower(cell), 'red') ORDER BY row_id, ordinal LIMIT 200")
+register("find_cells", lambda t: table.find(t.part, "RED", "p_partkey"),
+         f"SELECT * FROM ({_FOUND}) WHERE contains(lower(cell), 'red')")
 register("find_cell_count", lambda t: table.find_count(t.part, "17", "p_partkey"),
          f"SELECT count(*) AS cells, count(DISTINCT row_id) AS rows FROM ({_FOUND}) WHERE contains(lower(cell), '17')")
 
@@ -54,8 +57,8 @@ def _as_csv(t: Tables, name: str, sep: str = ","):
 
 register("scan_parquet", lambda t: t.supplier, "SELECT * FROM supplier")
 register("scan_csv_text", lambda t: csv.read_csv(t.spark, _as_csv(t, "part")), shown_sql("part", columns_of("part")))
-register("scan_csv_line_breaks", lambda t: csv.read_csv(t.spark, _as_csv(t, "conversations")), shown_sql("conversations", columns_of("conversations")))
-register("scan_csv_whole_documents", lambda t: csv.read_csv(t.spark, _as_csv(t, "documents"), ",").selectExpr("doc_id", "lang", "length(text) AS chars", "md5(text) AS digest"),
+register("scan_csv_line_breaks", lambda t: csv.read_csv(t.spark, _as_csv(t, "conversations"), line_breaks=True), shown_sql("conversations", columns_of("conversations")))
+register("scan_csv_whole_documents", lambda t: csv.read_csv(t.spark, _as_csv(t, "documents"), ",", line_breaks=True).selectExpr("doc_id", "lang", "length(text) AS chars", "md5(text) AS digest"),
          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text) AS chars, md5(text) AS digest FROM documents")
 register("scan_csv_typed", lambda t: csv.read_csv_typed(t.spark, _as_csv(t, "orders", "|")).selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus", "o_totalprice", "typeof(o_orderdate) AS date_type"),
          "SELECT o_orderkey, o_orderstatus, o_totalprice, 'timestamp' AS date_type FROM orders")
@@ -144,8 +147,6 @@ register("filter_view", lambda t: (t.sql("SELECT o_custkey, sum(o_totalprice) AS
          "SELECT o_custkey, n, total FROM (SELECT o_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY o_custkey) WHERE n >= 15")
 
 # --- ranges --------------------------------------------------------------------------------------------
-_LABEL = "format('{:,}', cells) || ' cells selected'"
-
 
 def _range_sql(cells: str) -> str:
     return f"""SELECT count(*) AS cells, CASE WHEN ok THEN round(sum(x), 2) END AS sum, CASE WHEN ok THEN round(avg(x), 4) END AS avg, CASE WHEN ok THEN min(x) END AS min, CASE WHEN ok THEN max(x) END AS max
@@ -163,10 +164,12 @@ register("range_overlap_counts_once", lambda t: _range(ranges.range_summary(t.or
             SELECT o_orderkey AS r, 0 AS c FROM orders UNION SELECT o_orderkey, c FROM orders, range(2) AS t(c) WHERE o_orderkey BETWEEN 100 AND 900
             UNION SELECT o_orderkey, c FROM orders, range(5) AS t(c) WHERE o_orderkey BETWEEN 500 AND 1200)""")
 register("range_label", lambda t: ranges.range_summary(t.part, [Range.cols(3, 3)], "p_partkey").select("cells", "label"),
-         """SELECT cells, format('{:,}', cells) || ' cells selected · Sum ' || format('{:,}', s) || ' · Avg ' || CASE WHEN a = floor(a) THEN format('{:,}', CAST(a AS BIGINT)) ELSE format('{:.6g}', a) END || ' · Min ' || lo || ' · Max ' || hi AS label
+         """SELECT cells, 'n = ' || format('{:,}', cells) || ', total ' || format('{:,}', s) || ', mean ' || CASE WHEN a = floor(a) THEN format('{:,}', CAST(a AS BIGINT)) ELSE format('{:.6g}', a) END || ', from ' || lo || ' to ' || hi AS label
             FROM (SELECT count(*) AS cells, CAST(sum(p_size) AS BIGINT) AS s, avg(CAST(p_size AS DOUBLE)) AS a, min(p_size) AS lo, max(p_size) AS hi FROM part)""")
-register("range_as_tsv", lambda t: ranges.tsv_lines(t.conversations.selectExpr("conv_id * 1000 + turn AS id", "role", "text"), Range.cols(0, 1), "id").select("row_id", "line"),
-         """SELECT conv_id * 1000 + turn AS row_id, role || chr(9) || CASE WHEN regexp_matches(text, '[\\t\\r\\n"]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS line FROM conversations""")
+register("range_as_tsv", lambda t: ranges.tsv_lines(t.conversations.selectExpr("conv_id * 1000 + turn AS id", "role", "text"), [Range.cols(0, 1), Range(1000, 20000, 0, 0)], "id", header=True),
+         """SELECT 0 AS block, NULL AS row_id, 'role' || chr(9) || 'text' AS line
+            UNION ALL SELECT 0, conv_id * 1000 + turn, role || chr(9) || CASE WHEN regexp_matches(text, '[\\t\\r\\n"]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END FROM conversations
+            UNION ALL SELECT 1, conv_id * 1000 + turn, role FROM conversations WHERE conv_id * 1000 + turn BETWEEN 1000 AND 20000""")
 
 # --- manifests, derived from the part table: one manifest per part ----------------------------------------
 _MANIFESTS = """SELECT to_json(named_struct('nodes', map(concat('model.', p_partkey), named_struct(
@@ -214,29 +217,32 @@ register("manifest_preview_outcomes", lambda t: dbt.preview_outcomes(_model_file
 
 
 def _described(t: Tables):
-    one = dbt.column_descriptions(_nodes(t)).groupBy("column").agg(F.min("description").alias("description"))
-    return dbt.with_descriptions(profile(t.part), one)
+    """The part table as if it were each of two relations: both have columns of these names, one of them in capitals."""
+    described = dbt.column_descriptions(_nodes(t)).selectExpr("node_id", "CASE WHEN node_id < 'model.2' THEN 'shop.part' ELSE 'SHOP.OTHER' END AS relation_key", "upper(column) AS column", "description")
+    sides = [dbt.with_descriptions(profile(t.part), described, key).withColumn("relation", F.lit(key)) for key in ("Shop.Part", "shop.other")]
+    return sides[0].union(sides[1])
 
 
-register("profile_with_descriptions", lambda t: _described(t).select("ordinal", "column", "kind", "distinct", "description"),
-         " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS \"column\", '{ {'bigint': 'integer', 'int': 'integer', 'double': 'float', 'string': 'text'}[k] }' AS kind, count(DISTINCT {c}) AS \"distinct\", "
-                            f"{chr(39) + 'Size of ' + chr(39) + ' || min(p_name)' if c == 'p_size' else 'NULL'} AS description FROM part" for i, (c, k) in enumerate(columns_of("part"))))
-register("description_coverage", lambda t: dbt.coverage(_described(t)), "SELECT 6 AS columns, CAST(count(DISTINCT 'p_size') AS BIGINT) AS described, 5 AS undescribed FROM part")
+_PART_KINDS = {"bigint": "integer", "int": "integer", "double": "float", "string": "text"}
+_DESCRIBED = " UNION ALL ".join(
+    f"""SELECT '{key}' AS relation, {i} AS ordinal, '{c}' AS "column", '{_PART_KINDS[k]}' AS kind, count(DISTINCT {c}) AS "distinct",
+        {f"'Size of ' || arg_min(p_name, 'model.' || p_partkey) FILTER (('model.' || p_partkey < 'model.2') = {first})" if c == 'p_size' else 'NULL'} AS description FROM part"""
+    for key, first in (("Shop.Part", "true"), ("shop.other", "false")) for i, (c, k) in enumerate(columns_of("part")))
+register("profile_with_descriptions", lambda t: _described(t).select("relation", "ordinal", "column", "kind", "distinct", "description"), _DESCRIBED)
+register("description_coverage", lambda t: dbt.coverage(_described(t)),
+         f"SELECT count(*) AS columns, count(description) AS described, count(*) - count(description) AS undescribed FROM ({_DESCRIBED})")
 
 # --- refresh -------------------------------------------------------------------------------------------
-_LOG = "SELECT concat('t', CAST(o_custkey AS STRING)) AS relation, timestampadd(SECOND, o_orderkey, CAST(o_orderdate AS TIMESTAMP)) AS at, CAST(o_totalprice AS BIGINT) AS rows FROM {orders}"
+_LOG = "SELECT IF(o_custkey % 9 = 0, NULL, concat('t', CAST(o_custkey AS STRING))) AS relation, timestampadd(SECOND, o_orderkey, CAST(o_orderdate AS TIMESTAMP)) AS at, CAST(o_totalprice AS BIGINT) AS rows FROM {orders}"
 register("snapshot_deltas", lambda t: snapshots.snapshot_deltas(t.sql(_LOG, "orders")).selectExpr("relation", "CAST(at AS STRING) AS at", "previous_rows", "rows", "delta", "summary"),
-         """SELECT relation, CAST("at" AS VARCHAR) AS "at", p AS previous_rows, rows, rows - p AS delta, CASE WHEN rows = p THEN format('{:,}', rows) || ' rows, count unchanged'
-              WHEN p IS NOT NULL THEN 'rows ' || format('{:,}', p) || ' → ' || format('{:,}', rows) || ' (' || CASE WHEN rows > p THEN '+' ELSE '−' END || format('{:,}', abs(rows - p)) || ')' END AS summary
+         """SELECT relation, CAST("at" AS VARCHAR) AS "at", p AS previous_rows, rows, rows - p AS delta, CASE WHEN rows = p THEN format('{:,}', rows) || ' rows as before'
+              WHEN p IS NOT NULL THEN CASE WHEN rows > p THEN '+' ELSE '-' END || format('{:,}', abs(rows - p)) || ' rows (' || format('{:,}', p) || ' to ' || format('{:,}', rows) || ')' END AS summary
             FROM (SELECT *, lag(rows) OVER (PARTITION BY relation ORDER BY "at") AS p FROM (
-              SELECT 't' || o_custkey AS relation, o_orderdate + to_seconds(o_orderkey) AS "at", CAST(trunc(o_totalprice) AS BIGINT) AS rows FROM orders))""")
+              SELECT CASE WHEN o_custkey % 9 <> 0 THEN 't' || o_custkey END AS relation, o_orderdate + to_seconds(o_orderkey) AS "at", CAST(trunc(o_totalprice) AS BIGINT) AS rows FROM orders))""")
 _ISLANDS = """(SELECT user_id, us, sum(opening) OVER (PARTITION BY user_id ORDER BY us) AS burst FROM (
     SELECT user_id, us, CASE WHEN us <= lag(us) OVER (PARTITION BY user_id ORDER BY us) + 3600000000 THEN 0 ELSE 1 END AS opening FROM (SELECT user_id, epoch_us(ts) AS us FROM events)))"""
 register("bursts_of_events", lambda t: refresh.bursts(t.events, "user_id", "ts", 3600).selectExpr("user_id", "unix_micros(burst_start) AS first_us", "unix_micros(last_event) AS last_us", "events"),
          f"SELECT user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS events FROM {_ISLANDS} GROUP BY user_id, burst")
-register("bursts_with_longest_wait", lambda t: refresh.reload_times(t.events, "user_id", "ts", 3600, 600).selectExpr("user_id", "unix_micros(burst_start) AS start_us", "part", "events"),
-         f"""SELECT user_id, start_us, (us - start_us) // 600000000 AS part, count(*) AS events FROM (SELECT *, min(us) OVER (PARTITION BY user_id, burst) AS start_us FROM {_ISLANDS}) GROUP BY ALL""")
-
 
 def _events_stream(t: Tables):
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
@@ -250,18 +256,36 @@ def _streamed(t: Tables, stream):
 
 register("stream_filtered", lambda t: _streamed(t, refresh.filtered_stream(_events_stream(t), {"event_type": "!click", "value": ">100"})),
          "SELECT * FROM events WHERE NOT contains(event_type, 'click') AND value > 100")
-register("stream_bursts", lambda t: _streamed(t, refresh.bursts(_events_stream(t), "user_id", "ts", 3600)).selectExpr("user_id", "unix_micros(burst_start) AS first_us", "unix_micros(last_event) AS last_us", "events"),
-         f"""SELECT user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS events FROM {_ISLANDS} GROUP BY user_id, burst
-             HAVING max(us) + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)""")
+
+
+def _closed_stream(t: Tables):
+    """The events in order of time, three files of them, then one late event that closes the last bursts."""
+    path = runtime.scratch_path(t.spark, "events")
+    plain = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    low, high = plain.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / 3
+    for i in range(3):
+        part = plain.where((F.col("ts") >= F.lit(low + i * step)) & ((F.col("ts") < F.lit(low + (i + 1) * step)) if i < 2 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    closing = plain.limit(1).select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), F.lit(high + timedelta(days=2)).alias("ts"),
+                                    F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+register("stream_bursts", lambda t: _streamed(t, refresh.bursts(_closed_stream(t), "user_id", "ts", 3600)).selectExpr("user_id", "unix_micros(burst_start) AS first_us", "unix_micros(last_event) AS last_us", "events"),
+         f"SELECT user_id, min(us) AS first_us, max(us) AS last_us, count(*) AS events FROM {_ISLANDS} GROUP BY user_id, burst")
 
 
 def _followed(t: Tables):
+    """The profile after every batch of the stream."""
     seen = []
     path = runtime.scratch_path(t.spark, "follow")
-    refresh.follow(_events_stream(t), path, {"event_type": "=click"}, lambda n, so_far, p: seen.append(p)).awaitTermination()
-    return seen[-1].select("ordinal", "column", "rows", "distinct", "min", "max")
+    refresh.follow(_closed_stream(t), path, {"event_type": "=click"}, lambda n, so_far, p: seen.append(p.withColumn("batch", F.lit(n)))).awaitTermination()
+    return reduce(DataFrame.union, seen[:3]).select("batch", "ordinal", "column", "rows", "distinct")
 
 
+_THIRDS = "SELECT *, least(2, CAST(floor(3 * (epoch_us(ts) - lo) / (hi - lo)) AS INT)) AS third FROM events, (SELECT min(epoch_us(ts))::DOUBLE AS lo, max(epoch_us(ts))::DOUBLE AS hi FROM events)"
 register("stream_reprofiled", _followed, " UNION ALL ".join(
-    f"SELECT {i} AS ordinal, '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS \"distinct\", {duck_text(f'min({c})', k)} AS min, {duck_text(f'max({c})', k)} AS max FROM events WHERE event_type = 'click'"
-    for i, (c, k) in enumerate(columns_of("events"))))
+    f"SELECT {n} AS batch, {i} AS ordinal, '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS \"distinct\" FROM ({_THIRDS}) WHERE event_type = 'click' AND third <= {n}"
+    for n in range(3) for i, c in enumerate(["event_id", "user_id", "ts", "event_type", "value"])))

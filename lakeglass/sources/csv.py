@@ -5,34 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import runtime
-
-# Delimiters that are tried, and the lines of a file that decide.
+# Delimiters that are tried.
 DELIMITERS = (",", "\t", "|", ";")
-SNIFF_LINES = 10
 
 
 def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """The delimiter of every file: the one whose count per line varies least, then is highest.
+    """The delimiter of every file: the one whose count per line varies least for its mean, then is highest.
 
-    Only the first block of each file is read and quoted parts do not count.
+    All lines of a file count, without their quoted parts. Counts are added up with their squares, so a few odd lines among
+    many do not decide, and files of any size take one pass.
     """
-    lines = (
-        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-        .where("block = 0 AND value <> ''")
-    )
-    tried = ", ".join(f"{rank}, '{d}'" for rank, d in enumerate(d.replace(chr(9), "\\t") for d in DELIMITERS))
-    return runtime.query(
-        f"""
-        SELECT file, min_by(delimiter, struct(spread, -fields, rank)) AS delimiter FROM (
-            SELECT file, rank, delimiter, max(n) - min(n) AS spread, avg(n) AS fields
-            FROM (SELECT file, rank, delimiter, length(plain) - length(replace(plain, delimiter, '')) AS n
-                  FROM (SELECT file, regexp_replace(value, '"[^"]*"', '') AS plain FROM {{lines}})
-                  LATERAL VIEW stack({len(DELIMITERS)}, {tried}) AS rank, delimiter)
-            GROUP BY file, rank, delimiter)
-        WHERE fields > 0 GROUP BY file""",
-        lines=lines,
-    )
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("value <> ''")
+    plain = F.regexp_replace("value", '"[^"]*"', "")
+    counts = [(F.length(plain) - F.length(F.replace(plain, F.lit(d), F.lit("")))).cast("double").alias(f"n{i}") for i, d in enumerate(DELIMITERS)]
+    sums = lines.select("file", *counts).groupBy("file").agg(*[f(f"n{i}").alias(f"{name}{i}") for i in range(len(DELIMITERS)) for name, f in (("mean", F.avg), ("spread", F.var_pop))])
+    tried = F.array(*[F.struct(F.try_divide(F.col(f"spread{i}"), F.col(f"mean{i}")).alias("spread"), (-F.col(f"mean{i}")).alias("fields"), F.lit(i).alias("rank"), F.lit(d).alias("delimiter"))
+                      for i, d in enumerate(DELIMITERS)])
+    found = F.array_min(F.filter(tried, lambda t: t["fields"] < 0))
+    return sums.select("file", found["delimiter"].alias("delimiter")).where("delimiter IS NOT NULL")
 
 
 def _delimiter(spark: SparkSession, path: str) -> str:
@@ -48,12 +38,10 @@ def has_line_breaks_in_cells(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def _options(spark: SparkSession, path: str, delimiter: str | None) -> dict:
-    return {
-        "sep": delimiter or _delimiter(spark, path), "header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-        # Files without broken lines stay splittable.
-        "multiLine": has_line_breaks_in_cells(spark, path),
-    }
+def _options(spark: SparkSession, path: str, delimiter: str | None, line_breaks: bool) -> dict:
+    if not line_breaks and has_line_breaks_in_cells(spark, path):
+        raise ValueError(f"quoted cells under {path} span lines; such files are read whole, one task each, with line_breaks=True")
+    return {"sep": delimiter or _delimiter(spark, path), "header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": line_breaks}
 
 
 def _trimmed_names(df: DataFrame) -> DataFrame:
@@ -66,15 +54,19 @@ def _trimmed_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """All cells as text: short rows are filled with empty cells, extra fields are dropped."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """All cells as text: short rows are filled with empty cells, extra fields are dropped.
+
+    Files are split over tasks line by line. Where quoted cells hold line breaks that would be wrong: this is an error
+    unless ``line_breaks`` asks for reading each file as a whole.
+    """
     if spark.read.text(path).where(F.trim("value") != "").isEmpty():
         return spark.createDataFrame([], "struct<>")
-    raw = spark.read.options(**_options(spark, path, delimiter), inferSchema=False, ignoreLeadingWhiteSpace=False,
+    raw = spark.read.options(**_options(spark, path, delimiter, line_breaks), inferSchema=False, ignoreLeadingWhiteSpace=False,
                              ignoreTrailingWhiteSpace=False).csv(path)
     return _trimmed_names(raw).na.fill("")
 
 
-def read_csv_typed(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, delimiter: str | None = None, line_breaks: bool = False) -> DataFrame:
     """Cells with types detected from the data, which takes one more scan."""
-    return _trimmed_names(spark.read.options(**_options(spark, path, delimiter), inferSchema=True).csv(path))
+    return _trimmed_names(spark.read.options(**_options(spark, path, delimiter, line_breaks), inferSchema=True).csv(path))

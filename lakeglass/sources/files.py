@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import re
+from pathlib import PureWindowsPath
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .csv import read_csv_typed
 
-# Longest view name, and the name of a file whose name says nothing.
-NAME_CHARS = 100
+#: The name of a file whose own name says nothing.
 FALLBACK_NAME = "data"
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def view_name(file_name: str) -> str:
-    """The stem of a file name without control characters, clipped."""
-    base = re.split(r"[\\/]", file_name)[-1]
-    stem = base.rpartition(".")[0] if "." in base else base
-    name = "".join(ch for ch in stem if ord(ch) >= 32 and ord(ch) != 127).strip()[:NAME_CHARS]
-    return name if name.strip(".") else FALLBACK_NAME
+    """What a file is called as a view: its name without folder, ending and control characters."""
+    stem = PureWindowsPath(_CONTROL.sub("", file_name)).stem.strip(" .")
+    return stem or FALLBACK_NAME
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
@@ -33,11 +32,14 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
 
 
 def create_views(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """One view per file, named after it; returns view name to path."""
-    views = {}
+    """One view per file, named after it; returns view name to path. Two files of one name are an error, before any view is made."""
+    views: dict[str, str] = {}
     for path in paths:
         name = view_name(path)
-        quoted = "`" + name.replace("`", "``") + "`"
-        read_file(spark, path).createOrReplaceTempView(quoted if not name.isidentifier() else name)
+        clash = next((other for other in views if other.lower() == name.lower()), None)
+        if clash is not None:
+            raise ValueError(f"{path} and {views[clash]} would both be the view {name}")
         views[name] = path
+    for name, path in views.items():
+        read_file(spark, path).createOrReplaceTempView(name if name.isidentifier() else "`" + name.replace("`", "``") + "`")
     return views

@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import runtime
 from ..operators.filters import Boxes, filter_rows
+from ..operators.joins import quoted
 from ..operators.profile import profile
 
-# The quiet time that ends a burst of changes, and the longest wait.
+# Fixed value: the quiet time that ends a burst of changes.
 QUIET_SECONDS = 0.75
-MAX_WAIT_SECONDS = 30.0
 
 
 def filtered_stream(stream: DataFrame, boxes: Boxes) -> DataFrame:
@@ -61,46 +61,28 @@ def _slots(events: DataFrame, key: str, at: str, quiet_seconds: float) -> str:
         SELECT k, slot, first_at, last_at, n, last_value(opening, true) OVER (PARTITION BY k ORDER BY slot) AS burst_start
         FROM (SELECT *, IF(first_at <= lag(last_at) OVER (PARTITION BY k ORDER BY slot) + {quiet}L, NULL, first_at) AS opening
               FROM (SELECT k, slot, min(micros) AS first_at, max(micros) AS last_at, count(*) AS n
-                    FROM (SELECT {key} AS k, unix_micros({at}) AS micros, unix_micros({at}) DIV {quiet}L AS slot FROM {{events}})
+                    FROM (SELECT {quoted(key)} AS k, unix_micros({quoted(at)}) AS micros, unix_micros({quoted(at)}) DIV {quiet}L AS slot FROM {{events}} WHERE {quoted(at)} IS NOT NULL)
                     GROUP BY k, slot))"""
 
 
 def bursts(events: DataFrame, key: str, at: str, quiet_seconds: float = QUIET_SECONDS, lateness: str = "0 seconds") -> DataFrame:
     """Change events collapsed into bursts that end after a quiet time; batch or stream.
 
-    On a stream a burst appears once the watermark has passed its end.
+    Events without a time are no events. A NULL key is a key of its own. On a stream a burst appears once the watermark has passed
+    its end, so the last ones wait for later events: an event of any key, later than the quiet time, closes all that are open.
     """
-    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    timed = events.withColumn(at, F.col(quoted(at)).cast("timestamp"))
     quiet = int(quiet_seconds * 1_000_000)
     if events.isStreaming:
-        window = F.session_window(at, f"{quiet} microseconds")
+        window = F.session_window(quoted(at), f"{quiet} microseconds")
         return (
-            timed.withWatermark(at, lateness).groupBy(key, window.alias("burst"))
-            .agg(F.count(F.lit(1)).alias("events"), F.max(at).alias("last_event"))
-            .select(key, F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"), "events", "last_event")
+            timed.withWatermark(at, lateness).groupBy(quoted(key), window.alias("burst"))
+            .agg(F.count(F.lit(1)).alias("events"), F.max(quoted(at)).alias("last_event"))
+            .select(quoted(key), F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"), "events", "last_event")
         )
     return runtime.query(
-        f"""SELECT k AS {key}, timestamp_micros(burst_start) AS burst_start, timestamp_micros(max(last_at) + {quiet}L) AS burst_end,
+        f"""SELECT k AS {quoted(key)}, timestamp_micros(burst_start) AS burst_start, timestamp_micros(max(last_at) + {quiet}L) AS burst_end,
                    sum(n) AS events, timestamp_micros(max(last_at)) AS last_event
             FROM ({_slots(timed, key, at, quiet_seconds)}) GROUP BY k, burst_start""",
         events=timed,
     )
-
-
-def reload_times(events: DataFrame, key: str, at: str, quiet_seconds: float = QUIET_SECONDS, max_wait_seconds: float = MAX_WAIT_SECONDS) -> DataFrame:
-    """Bursts cut so that none waits longer than the maximum from its first event.
-
-    Events meet their burst by an equality join on (key, slot), where the burst side is unique.
-    """
-    timed = events.withColumn(at, F.col(at).cast("timestamp"))
-    quiet, limit = int(quiet_seconds * 1_000_000), int(max_wait_seconds * 1_000_000)
-    return runtime.query(
-        f"""
-        SELECT k AS {key}, timestamp_micros(burst_start) AS burst_start, (micros - burst_start) DIV {limit}L AS part,
-               count(*) AS events, timestamp_micros(min(micros)) AS first_event, timestamp_micros(max(micros)) AS last_event
-        FROM (SELECT b.k, b.burst_start, e.micros
-              FROM (SELECT {key} AS k, unix_micros({at}) AS micros, unix_micros({at}) DIV {quiet}L AS slot FROM {{events}}) AS e
-              JOIN ({_slots(timed, key, at, quiet_seconds)}) AS b ON b.k = e.k AND b.slot = e.slot)
-        GROUP BY ALL""",
-        events=timed,
-    )
