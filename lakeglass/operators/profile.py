@@ -216,7 +216,7 @@ def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
     values = f"SELECT * FROM (SELECT *, count(*) AS n FROM ({typed}) GROUP BY ALL) WHERE n > 0"
     # Numbers are one value per number, days and times one per instant; whole numbers a double
     # cannot hold are told apart by their text.
-    unsafe = f"(x = floor(x) AND abs(x) > {inference.SAFE_INTEGER}D AND {is_finite('x')})"
+    unsafe = f"(abs(x) > {inference.SAFE_INTEGER}D AND {is_finite('x')})"  # doubles of that size are whole
     keys = f"""
         SELECT ordinal, count(*) AS d FROM (
             SELECT ordinal, IF({unsafe}, NULL, x) AS x, ms,

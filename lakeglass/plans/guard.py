@@ -37,11 +37,17 @@ def refusal(node: str) -> str:
     return f"{READS} Not taken: {' '.join(re.findall('[A-Z][a-z]+|[A-Z]+(?![a-z])', node)).upper()}."
 
 
+#: Commands whose plan is neither a child nor an inner child, and where it is held.
+HELD_PLANS = {"ExplainCommand": "logicalPlan", "DescribeQueryCommand": "plan"}
+
+
 def _nodes(plan):
     yield plan
+    held = HELD_PLANS.get(plan.getClass().getSimpleName())
+    if held:
+        yield from _nodes(getattr(plan, held)())
     for group in (plan.children(), plan.innerChildren(), plan.subqueries()):
-        for i in range(group.size()):
-            child = group.apply(i)
+        for child in _each(group):
             if hasattr(child, "innerChildren"):
                 yield from _nodes(child)
 
