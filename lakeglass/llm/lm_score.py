@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeglass.llm.shared import written
+from lakeglass.runtime import scratch_path
 
 ORDER = 3
 BACKOFF = 0.4
@@ -102,21 +102,12 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes in five bytes each; where one is longer, a marker of ones and, at the end, eight bytes."""
-    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    mark = np.uint64((1 << 40) - 1)
-    far = steps >= mark
-    short = np.where(far, mark, steps).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.ascontiguousarray(short).tobytes() + steps[far].astype("<u8").tobytes()
+    """Sorted hashes as their differences, which are small numbers the more hashes there are."""
+    return _planes(np.diff(sorted_hashes, prepend=np.uint64(0)), 7)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
-    steps = wide.view("<u8")[:, 0].astype(np.uint64)
-    far = steps == np.uint64((1 << 40) - 1)
-    steps[far] = np.frombuffer(data, "<u8", int(far.sum()), 5 * n)
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(_counts(data, n, 7).view(np.uint64), dtype=np.uint64)
 
 
 def _planes(numbers: np.ndarray, width: int = 6) -> bytes:
@@ -203,10 +194,19 @@ def _scored(total: int):
     return score
 
 
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table in the scratch folder, bucketed by chunk: they stay where they are when answers come back."""
+    spark = chunks.sparkSession
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, log_score`` for every row: the mean natural logarithm of the words' scores."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks, _ = written(texts.mapInPandas(_chunks, CHUNKS), "chunks")
+    chunks = _bucketed(texts.mapInPandas(_chunks, CHUNKS))
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-total * ORDER // BUCKET_NGRAMS))
     asked = chunks.mapInPandas(_asked(buckets), "bucket int, chunk string, n int, hashes binary, counts binary")

@@ -155,7 +155,7 @@ def test_scores_against_brute_force(spark, monkeypatch):
 def test_packed_hashes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 1000, 70_000):
-        hashes = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        hashes = np.unique(rng.integers(0, 2**lm_score.HASH_BITS, n, dtype=np.uint64))
         assert (lm_score._unpack(lm_score._pack(hashes), len(hashes)) == hashes).all()
         counts = rng.integers(0, 2**47, n)
         assert (lm_score._counts(lm_score._planes(counts), n) == counts).all()
