@@ -47,18 +47,30 @@ def histograms_sql(values: str, x: str, layout: str, bins: int) -> str:
         GROUP BY ordinal"""
 
 
+def _drawn_bins() -> str:
+    """One row per bin of ``drawn``, with the smallest and largest value it can hold.
+
+    All edges of a column are laid out first. A bin of whole numbers ends right before the next one begins, and the last one
+    ends at the largest value.
+    """
+    spaced = "transform(sequence(0, bins - 1), i -> lo + i * width)"
+    # rounding to a millionth keeps a whole edge whole, whatever the division left behind
+    whole = f"transform({spaced}, e -> CAST(ceil(floor(e * 1e6 + 0.5) / 1e6) AS DOUBLE))"
+    return f"""
+        SELECT ordinal, column, is_integer, bucket, `count`, bucket = bins - 1 AS is_last, begins,
+               coalesce(get(edges, bucket + 1) - IF(is_integer, 1, 0), hi) AS ends
+        FROM (SELECT *, IF(is_integer, {whole}, {spaced}) AS edges
+              FROM (SELECT *, IF(is_integer, hi - lo + 1, hi - lo) / bins AS width FROM drawn WHERE bins > 0))
+        LATERAL VIEW OUTER posexplode(arrays_zip(counts, edges)) AS bucket, bin
+        LATERAL VIEW inline(array(struct(bin.counts, bin.edges))) AS `count`, begins"""
+
+
 def _label_sql() -> str:
-    snap = lambda x: f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
-    first = f"CAST(ceil({snap('lo + bucket * width')}) AS DOUBLE)"
-    end = f"IF(is_last, hi, CAST(ceil({snap('lo + (bucket + 1) * width')}) AS DOUBLE) - 1)"
-    stop = "IF(is_last, hi, lo + (bucket + 1) * width)"
-    # Each LATERAL VIEW evaluates its expressions once instead of wherever they are read.
+    # A LATERAL VIEW evaluates its texts once instead of wherever they are read.
     return f"""
-        SELECT *, CASE WHEN is_integer AND a >= z THEN a_text WHEN is_integer THEN concat(a_text, '–', z_text)
-                       ELSE concat('[', a_text, ', ', z_text, IF(is_last, ']', ')')) END AS label
-        FROM edges
-        LATERAL VIEW inline(array(struct(IF(is_integer, {first}, lo + bucket * width), IF(is_integer, {end}, {stop})))) AS a, z
-        LATERAL VIEW inline(array(struct({number_text('a')}, {number_text('z')}))) AS a_text, z_text"""
+        SELECT *, CASE WHEN NOT is_integer THEN format_string('[%s, %s%s', from_text, to_text, IF(is_last, ']', ')'))
+                       WHEN begins < ends THEN concat_ws('–', from_text, to_text) ELSE from_text END AS label
+        FROM edges LATERAL VIEW inline(array(struct({number_text('begins')}, {number_text('ends')}))) AS from_text, to_text"""
 
 
 def bins_of(profile: DataFrame) -> DataFrame:
@@ -75,9 +87,7 @@ def bins_of(profile: DataFrame) -> DataFrame:
             SELECT ordinal, column, kind = 'integer' AS is_integer, histogram.lo AS lo, histogram.hi AS hi,
                    size(histogram.counts) AS bins, histogram.counts AS counts
             FROM {{profile}}),
-        edges AS (
-            SELECT *, bucket = bins - 1 AS is_last, IF(is_integer, hi - lo + 1, hi - lo) / bins AS width
-            FROM (SELECT * FROM drawn LATERAL VIEW OUTER posexplode(counts) AS bucket, `count`) WHERE bucket IS NOT NULL),
+        edges AS (SELECT * FROM ({_drawn_bins()}) WHERE bucket IS NOT NULL),
         labelled AS ({_label_sql()}),
         shared AS (
             SELECT ordinal, column, bucket, label, `count`, {share} AS percent,
