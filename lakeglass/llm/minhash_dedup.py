@@ -7,8 +7,8 @@ five words; a shorter text is one run. Two documents are linked when ``100 * |A
    A pair at the threshold shares no key with probability (1 - 0.85**7)**32, about 4 in a million.
 2. Documents of one digest are one class; its smallest id stands for it from here on.
 3. Classes that share a band key are a bucket; buckets with the same members count once. All pairs of a bucket are
-   compared within its task: first by their minima, where too few agree (4.5 standard deviations below the
-   threshold), then by the sizes of the intersections of the full sets. A bucket answers with just enough links to connect
+   compared within its task, first by their minima: members that agree with no other in enough of them (4.5 standard deviations below
+   the threshold) leave the bucket before full sets are made for the rest. Then the sizes of intersections decide. A bucket answers with just enough links to connect
    what is linked, so a group of n copies yields n - 1 rows.
 4. No task gets more than ``BLOCK`` classes. In a larger bucket every member is first compared with one centre; then
    blocks of those that this left outside the largest component meet all other blocks, two at a time. Nothing is left out.
@@ -41,6 +41,8 @@ SIMILARITY_PERCENT = 85
 AGREEING = int(BANDS * ROWS * (0.85 - 4.5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5))
 #: Classes that one task compares with each other.
 BLOCK = 2048
+#: Ids up to which their list is broadcast to the texts, about 16 MB.
+BROADCAST_IDS = 1_000_000
 
 _random = np.random.default_rng(5)
 _PLACES = _random.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,13 +106,18 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(text).tobytes() for text in batch["text"]]})
 
 
-def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Which index pairs of a bucket are linked. Sizes of intersections come from a product of membership tables, some shingles at a time."""
+def likely_pairs(minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which index pairs agree in enough minima."""
     agree = np.zeros(len(pairs), np.int32)
     for at in range(0, len(pairs), 4096):
         left, right = pairs[at:at + 4096].T
         agree[at:at + 4096] = (minima_of[left] == minima_of[right]).sum(axis=1)
-    likely = np.flatnonzero(agree >= AGREEING)
+    return agree >= AGREEING
+
+
+def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which index pairs of a bucket are linked. Sizes of intersections come from a product of membership tables, some shingles at a time."""
+    likely = np.flatnonzero(likely_pairs(minima_of, pairs))
     out = np.zeros(len(pairs), bool)
     if not len(likely):
         return out
@@ -158,33 +165,44 @@ def _spanning(ids: list, pairs: np.ndarray, linked: np.ndarray) -> list[tuple[in
     return out
 
 
-def _within_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links within groups of rows ``task, side, doc_id, minima, shingles``, which arrive one group after the other.
-
-    Rows of side 0 meet each other and those of side 1, which do not meet each other.
-    """
+def _by_task(batches: Iterator[pd.DataFrame], answer) -> Iterator[pd.DataFrame]:
+    """``answer`` of the rows of each task; the rows of one task arrive one after the other."""
     held = None
     for batch in batches:
         held = batch if held is None or not len(held) else pd.concat([held, batch])
         if len(held):
             last = held["task"].iloc[-1]
             done, held = held[held["task"] != last], held[held["task"] == last]
-            yield from _links_of(done)
+            yield from answer(done)
     if held is not None and len(held):
-        yield from _links_of(held)
+        yield from answer(held)
 
 
-def _links_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    links = []
-    for _, group in rows.groupby("task", sort=False):
-        group = group.drop_duplicates("doc_id")  # a class may be in both blocks
-        ids = group["doc_id"].tolist()
-        first, second = np.triu_indices(len(ids), 1)
+def _groups(rows: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Per task its members, their minima and the pairs to compare: members of side 0 meet all, those of side 1 not each other."""
+    for task, group in rows.groupby("task", sort=False):
+        group = group.drop_duplicates("doc_id")
+        first, second = np.triu_indices(len(group), 1)
         side = group["side"].to_numpy()
         meet = (side[first] == 0) | (side[second] == 0)
-        pairs = np.stack([first[meet], second[meet]], axis=1)
+        yield task, group, np.stack([np.frombuffer(x, np.uint8) for x in group["minima"]]), np.stack([first[meet], second[meet]], axis=1)
+
+
+def _likely_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    found = []
+    for _, group, minima_of, pairs in _groups(rows):
+        members = np.unique(pairs[likely_pairs(minima_of, pairs)])
+        if len(members):
+            found.append(group.iloc[members])
+    if found:
+        yield pd.concat(found)
+
+
+def _links_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    links = []
+    for _, group, minima_of, pairs in _groups(rows):
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        links += _spanning(ids, pairs, linked_pairs(sets, np.stack([np.frombuffer(x, np.uint8) for x in group["minima"]]), pairs))
+        links += _spanning(group["doc_id"].tolist(), pairs, linked_pairs(sets, minima_of, pairs))
     if links:
         yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -215,33 +233,39 @@ def _class_links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
     once = shared.groupBy("n", "mark1", "mark2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members, members_path = written(keys.join(once, "bucket"), "buckets")
-    needed = members.select("doc_id").distinct()
-    made = texts.join(needed, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id", "shingles"])
-    # rows of one id may have several sets; the class has that of its minima
-    sets, sets_path = written(made.join(classes.select("doc_id", "digest", "minima"), "doc_id").where("unhex(md5(shingles)) = digest").drop("digest"), "sets")
-    scratch = [members_path, sets_path]
+    scratch = [members_path]
     small = members.where(F.col("n") <= BLOCK).select(F.col("bucket").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id")
-    links, links_path = written(_compared(small, sets), "links")
-    scratch.append(links_path)
+    links = _compared(small, texts, classes, scratch)
     large = members.where(F.col("n") > BLOCK)
     if large.limit(1).count():
-        links = links.union(_large_links(large, sets, scratch))
+        links = links.union(_large_links(large, texts, classes, scratch))
     return links, scratch
 
 
-def _compared(tasks: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = tasks.join(sets, "doc_id").select("task", "side", "doc_id", "minima", "shingles")
-    return rows.repartition("task").sortWithinPartitions("task").mapInPandas(_within_buckets, "a bigint, b bigint")
+def _compared(tasks: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str]) -> DataFrame:
+    """``a, b``: links that connect what is linked within each of ``task, side, doc_id``."""
+    rows = tasks.join(classes.select("doc_id", "minima"), "doc_id").select("task", "side", "doc_id", "minima")
+    fields = "task string, side int, doc_id bigint, minima binary"
+    likely, path = written(rows.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, _likely_members), fields), "likely")
+    needed = likely.select("doc_id").distinct()
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    made = texts.join(side, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id", "shingles"])
+    # rows of one id may have several sets; the class has that of its minima
+    own = classes.select("doc_id", "digest").join(F.broadcast(needed) if side is not needed else needed, "doc_id", "left_semi")
+    sets, sets_path = written(made.join(own, "doc_id").where("unhex(md5(shingles)) = digest").drop("digest"), "sets")
+    full = likely.join(sets, "doc_id").select("task", "side", "doc_id", "minima", "shingles")
+    links, links_path = written(full.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, _links_of), "a bigint, b bigint"), "links")
+    scratch += [path, sets_path, links_path]
+    return links
 
 
-def _large_links(large: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+def _large_links(large: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str]) -> DataFrame:
     """Links within buckets of more than ``BLOCK`` classes."""
     centres = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c")).select("bucket", F.col("c.doc_id").alias("centre"))
     pairs = large.join(centres, "bucket").where("doc_id <> centre").select("doc_id", "centre").distinct()
     # a task per member and centre is a group of two
     ends = pairs.select(F.concat_ws(":", "centre", "doc_id").alias("task"), F.explode(F.array("doc_id", "centre")).alias("doc_id")).select("task", F.lit(0).alias("side"), "doc_id")
-    stars, path = written(_compared(ends, sets), "stars")
-    scratch.append(path)
+    stars = _compared(ends, texts, classes, scratch)
     found, path = written(components(stars), "places")
     scratch.append(path)
     placed = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
@@ -257,9 +281,8 @@ def _large_links(large: DataFrame, sets: DataFrame, scratch: list[str]) -> DataF
     open_blocks = blocks.where("outside").select("bucket", "block").distinct()
     answering = blocks.select("bucket", "doc_id", F.col("block").alias("other")).join(open_blocks, "bucket").select(
         F.concat_ws(":", "bucket", "block", "other").alias("task"), F.lit(1).alias("side"), "doc_id")
-    rest, path = written(_compared(asking.union(answering).groupBy("task", "doc_id").agg(F.min("side").alias("side")).select("task", "side", "doc_id"), sets), "links")
-    scratch.append(path)
-    return stars.union(rest)
+    both = asking.union(answering).groupBy("task", "doc_id").agg(F.min("side").alias("side")).select("task", "side", "doc_id")  # a class may be on both sides
+    return stars.union(_compared(both, texts, classes, scratch))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
