@@ -31,7 +31,7 @@ SELECTORS = [x for x in LAYOUT if x not in ((240, 0), (1, 60))]  # 14 selectors;
 ESCAPE = 15
 SINGLE = 14  # one id of up to 60 bits
 END_ID = 2
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 17
 STRIDE = 1024
 CACHED_WORDS = 500_000
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, start bigint, n_ids bigint, words binary, offsets array<bigint>"
@@ -67,7 +67,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector, (count, bits) in enumerate(SELECTORS + [(1, 60)]):
         own = np.flatnonzero(chosen == selector)
-        for k in range(count if bits else 0):
+        for k in range(count if bits and len(own) else 0):
             words[own] |= ids[first[own] + k] << np.uint64(bits * k)
     escaped = chosen == ESCAPE
     if not escaped.any():
@@ -111,7 +111,7 @@ def unpack(words: np.ndarray, n: int | None = None) -> np.ndarray:
     out = np.zeros(int(sizes.sum()), np.uint64)
     for selector, (count, bits) in enumerate(SELECTORS + [(1, 60)]):
         own = np.flatnonzero(kinds == selector)
-        for k in range(count if bits else 0):
+        for k in range(count if bits and len(own) else 0):
             out[starts[own] + k] = words[own] >> np.uint64(bits * k) & np.uint64((1 << bits) - 1)
     raw = np.flatnonzero(kinds == 16)
     out[starts[raw]] = words[raw]
