@@ -76,7 +76,7 @@ def bursts(events: DataFrame, key: str, at: str, quiet_seconds: float = QUIET_SE
     if events.isStreaming:
         window = F.session_window(quoted(at), f"{quiet} microseconds")
         return (
-            timed.withWatermark(at, lateness).groupBy(quoted(key), window.alias("burst"))
+            timed.withWatermark(quoted(at), lateness).groupBy(quoted(key), window.alias("burst"))
             .agg(F.count(F.lit(1)).alias("events"), F.max(quoted(at)).alias("last_event"))
             .select(quoted(key), F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"), "events", "last_event")
         )
