@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .. import runtime
-from ..functions import inference
+from ..functions import inference, kinds
 from ..functions.numbers import grouped_integer, number_text
 from ..functions.text import display_text, is_finite, literal, trim_blanks
-from .profile import by_ordinal
+from .profile import Field, by_ordinal
 
 
 @dataclass(frozen=True)
@@ -44,44 +44,57 @@ class Range:
         return " AND ".join(s for s in sides if s) or "true"
 
 
+def _held(df: DataFrame, ranges: list[Range], row_id: str) -> tuple[DataFrame, list[tuple[Field, str]]]:
+    """The table by ordinals, and the columns that any range holds with the condition on their rows."""
+    data, fields = by_ordinal(df.drop(row_id))
+    plain = df.select(row_id, *[c for c in df.columns if c != row_id]).toDF("row_id", *data.columns)
+    chosen = [(f, [r.row_condition("row_id") for r in ranges if r.holds_column(f.ordinal)]) for f in fields]
+    return plain, [(f, " OR ".join(f"({c})" for c in conditions)) for f, conditions in chosen if conditions]
+
+
 def selected_cells(df: DataFrame, ranges: list[Range], row_id: str) -> DataFrame:
     """Cells of the union of ranges as ``(row_id, ordinal, cell)``; an overlap counts once.
 
     A cell is tested against the ranges of its column, so nothing is expanded per range and no
     de-duplication is needed. ``row_id`` numbers the rows and is not a cell itself.
     """
-    data, fields = by_ordinal(df.drop(row_id))
-    plain = df.select(row_id, *[c for c in df.columns if c != row_id]).toDF("row_id", *data.columns)
-    rows, used = [], []
-    for f in fields:
-        held = [r for r in ranges if r.holds_column(f.ordinal)]
-        if held:
-            inside = " OR ".join(f"({r.row_condition('row_id')})" for r in held)
-            rows.append(f"{f.ordinal}, IF({inside}, {display_text(f.ref, f.dtype)}, NULL)")
-            used.append(inside)
-    if not rows:
+    plain, held = _held(df, ranges, row_id)
+    if not held:
         return runtime.query("SELECT row_id, 0 AS ordinal, '' AS cell FROM {df} WHERE false", df=plain)
+    rows = ", ".join(f"{f.ordinal}, IF({inside}, {display_text(f.ref, f.dtype)}, NULL)" for f, inside in held)
     return runtime.query(
-        f"""SELECT row_id, ordinal, cell FROM {{df}} LATERAL VIEW stack({len(rows)}, {', '.join(rows)}) AS ordinal, cell
-            WHERE ({' OR '.join(dict.fromkeys(used))}) AND cell IS NOT NULL""",
+        f"""SELECT row_id, ordinal, cell FROM {{df}} LATERAL VIEW stack({len(held)}, {rows}) AS ordinal, cell
+            WHERE ({' OR '.join(dict.fromkeys(inside for _, inside in held))}) AND cell IS NOT NULL""",
         df=plain,
     )
 
 
 def range_summary(df: DataFrame, ranges: list[Range], row_id: str) -> DataFrame:
-    """Cell count, and sum, average and extremes when every non-empty cell is a finite number."""
-    text = trim_blanks("cell")
-    number = f"IF({inference.matches('t', inference.NUMBER_FORM)}, try_cast(t AS DOUBLE), NULL)"
+    """Cell count, and sum, average and extremes when every non-empty cell is a finite number.
+
+    Numeric columns are summed up as they are; only the cells of others are read as texts.
+    """
+    plain, held = _held(df, ranges, row_id)
+    rows = []
+    for f, inside in held:
+        if kinds.is_numeric(f.dtype):
+            filled, x = f"{f.ref} IS NOT NULL", f"CAST({f.ref} AS DOUBLE)"
+        else:
+            t = trim_blanks(display_text(f.ref, f.dtype))
+            filled, x = f"{t} <> ''", f"IF({inference.matches(t, inference.NUMBER_FORM)}, try_cast({t} AS DOUBLE), NULL)"
+        rows.append(f"{inside}, {filled}, {x}")
+    cells = (f"SELECT * FROM {{df}} LATERAL VIEW stack({len(rows)}, {', '.join(rows)}) AS inside, filled, x WHERE inside" if rows
+             else "SELECT false AS filled, CAST(NULL AS DOUBLE) AS x FROM {df} WHERE false")
     return runtime.query(
         f"""
-        WITH typed AS (SELECT t, IF({is_finite('x')}, x, NULL) AS x FROM (SELECT t, {number} AS x FROM (SELECT {text} AS t FROM {{cells}}))),
-        facts AS (SELECT count(*) AS cells, count_if(t <> '') AS filled, count(x) AS numbers, sum(x) AS s, avg(x) AS a, min(x) AS lo, max(x) AS hi FROM typed)
+        WITH typed AS (SELECT filled, IF({is_finite('x')}, x, NULL) AS x FROM ({cells})),
+        facts AS (SELECT count(*) AS cells, count_if(filled) AS filled, count(x) AS numbers, sum(x) AS s, avg(x) AS a, min(x) AS lo, max(x) AS hi FROM typed)
         SELECT cells, IF(ok, s, NULL) AS sum, IF(ok, a, NULL) AS avg, IF(ok, lo, NULL) AS min, IF(ok, hi, NULL) AS max,
                CASE WHEN cells <= 1 THEN '' WHEN NOT ok THEN concat('n = ', {grouped_integer('cells')})
                     ELSE concat('n = ', {grouped_integer('cells')}, ', total ', {number_text('s')}, ', mean ', {number_text('a')},
                                 ', from ', {number_text('lo')}, ' to ', {number_text('hi')}) END AS label
         FROM (SELECT *, filled = numbers AND filled > 0 AND coalesce({is_finite('s')}, false) AS ok FROM facts)""",
-        cells=selected_cells(df, ranges, row_id),
+        df=plain,
     )
 
 
