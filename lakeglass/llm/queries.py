@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
 from lakeglass.llm.settings import TARGETS, TOKENIZER
-from lakeglass.llm.shared import learns, written
+from lakeglass.llm.shared import learns, rows_of, written
 from lakeglass.runtime import scratch_path
 
 
@@ -76,8 +76,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``text, domain``: the documents of the labelled table, with the domain that is known of them."""
-    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return table(spark, sf_dir, "documents").join(labels, "doc_id").select("text", F.col("lang").alias("domain"))
+    return rows_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("lang").alias("domain"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Ids up to which a list of them is broadcast, about 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids``, a table with that column alone. A short list goes to the rows, a long one is joined by shuffle."""
+    listed = ids.select(column).where(F.col(column).isNotNull()).distinct()
+    return df.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, column, "left_semi")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that on texts of one byte a character."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
