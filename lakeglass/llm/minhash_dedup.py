@@ -16,7 +16,7 @@ five words; a shorter text is one run. Two documents are linked when ``100 * |A
 
 Defined results: texts that are null or without words have an empty set, link with nothing and are kept. Rows that
 repeat a ``doc_id`` share one component. A null ``doc_id`` cannot be named: such a row has a null component and is kept.
-Columns named like the results are replaced.
+Other columns are not read; ``dedup`` keeps them.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.llm.components import components
-from lakeglass.llm.shared import discard, replacing, written
+from lakeglass.llm.shared import BROADCAST_IDS, discard, written
 
 WORDS = 5
 BANDS = 32
@@ -41,8 +41,6 @@ SIMILARITY_PERCENT = 85
 AGREEING = int(BANDS * ROWS * (0.85 - 4.5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5))
 #: Classes that one task compares with each other.
 BLOCK = 2048
-#: Ids up to which their list is broadcast to the texts, about 16 MB.
-BROADCAST_IDS = 1_000_000
 
 _random = np.random.default_rng(5)
 _PLACES = _random.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -289,7 +287,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """The rows of ``docs`` that stay: of every component those with its smallest id, one row per id. Rows without an id stay."""
     found = near_duplicates(docs, doc_id, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     rows, _ = written(found.select(F.col("doc_id").alias("_id"), "kept", "n"), "kept")
-    kept = docs.join(rows.where("kept"), F.col(doc_id).cast("bigint") == F.col("_id"), "left_semi")
+    listed = rows.where("kept").select("_id")
+    side = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+    kept = docs.join(side, F.col(doc_id).cast("bigint") == F.col("_id"), "left_semi")
     if rows.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([doc_id])
     return kept.union(docs.where(F.col(doc_id).isNull()))
