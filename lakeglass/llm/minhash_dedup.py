@@ -1,10 +1,11 @@
 """Near-duplicate documents: MinHash with banding, confirmed on full shingle sets, grouped into components.
 
 Words are what stands between ASCII white space, with A-Z lower-cased. The set of a text holds its distinct runs of
-five words; a shorter text is one run. Two documents are linked when ``100 * |A and B| >= 85 * |A or B|``.
+five words; a shorter text is one run. Two documents are linked when ``100 * |A and B| >= percent * |A or B|``, by default at 85.
 
-1. Every text becomes the digest of its set, the minima of ``BANDS * ROWS`` universal hashes, and a key per band.
-   A pair at the threshold shares no key with probability (1 - 0.85**7)**32, about 4 in a million.
+1. Every text becomes the digest of its set, the minima of ``BANDS * rows`` universal hashes, and a key per band.
+   ``rows`` follows from the similarity: a pair at the threshold shares no key with a probability of ``MISSED`` at most,
+   which is (1 - 0.85**7)**32 at 85 and (1 - 0.8**5)**32 at 80.
 2. Documents of one digest are one class; its smallest id stands for it from here on.
 3. Classes that share a band key are a bucket; buckets with the same members count once. All pairs of a bucket are
    compared within its task, first by their minima: members that agree with no other in enough of them (4.5 standard deviations below
@@ -37,8 +38,8 @@ WORDS = 5
 BANDS = 32
 ROWS = 7
 SIMILARITY_PERCENT = 85
-#: Agreeing minima below which a pair cannot plausibly reach the similarity.
-AGREEING = int(BANDS * ROWS * (0.85 - 4.5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5))
+#: The probability with which the bands may miss a pair at the similarity.
+MISSED = 5e-6
 #: Classes that one task compares with each other.
 BLOCK = 2048
 
@@ -49,6 +50,20 @@ _TERMS = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _KEYS = _random.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def rows_for(percent: int) -> int:
+    """Minima a band may have, at most ``ROWS``, to miss a pair at the similarity no more often than ``MISSED``."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** BANDS <= MISSED:
+            return rows
+    raise ValueError(f"{BANDS} bands do not find pairs at {percent}%")
+
+
+def agreeing(percent: int) -> int:
+    """Agreeing minima below which a pair cannot plausibly reach the similarity."""
+    share, n = percent / 100, BANDS * rows_for(percent)
+    return int(n * (share - 4.5 * (share * (1 - share) / n) ** 0.5))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -70,18 +85,18 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash over a set; a slice of the set at a time."""
+def minima(shingles: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """The least value of each of ``BANDS * rows`` universal hashes over a set; a slice of the set at a time."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    best = np.full(BANDS * rows, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
-        values = _FACTORS[:, None] * low[None, at:at + 512]
-        values += _TERMS[:, None]
+        values = _FACTORS[:len(best), None] * low[None, at:at + 512]
+        values += _TERMS[:len(best), None]
         np.minimum(best, values.min(axis=1), out=best)
     return best
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     bands = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
         for at in range(0, len(batch), 512):
@@ -91,8 +106,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not len(shingles):
                     rows.append((0, None, None, None))
                     continue
-                least = minima(shingles)
-                keys = _mixed((_mixed(least.reshape(BANDS, ROWS) + _KEYS)).sum(axis=1, dtype=np.uint64) + bands)
+                least = minima(shingles, size)
+                keys = _mixed((_mixed(least.reshape(BANDS, size) + _KEYS[:, :size])).sum(axis=1, dtype=np.uint64) + bands)
                 rows.append((len(shingles), hashlib.md5(shingles.tobytes()).digest(), (least & 0xFF).astype(np.uint8).tobytes(), keys.view(np.int64)))
             made = pd.DataFrame(rows, columns=["n_shingles", "digest", "minima", "bands"])
             made.insert(0, "doc_id", some["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
@@ -104,18 +119,18 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(text).tobytes() for text in batch["text"]]})
 
 
-def likely_pairs(minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def likely_pairs(minima_of: np.ndarray, pairs: np.ndarray, percent: int = SIMILARITY_PERCENT) -> np.ndarray:
     """Which index pairs agree in enough minima."""
     agree = np.zeros(len(pairs), np.int32)
     for at in range(0, len(pairs), 4096):
         left, right = pairs[at:at + 4096].T
         agree[at:at + 4096] = (minima_of[left] == minima_of[right]).sum(axis=1)
-    return agree >= AGREEING
+    return agree >= agreeing(percent)
 
 
-def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarray, percent: int = SIMILARITY_PERCENT) -> np.ndarray:
     """Which index pairs of a bucket are linked. Sizes of intersections come from a product of membership tables, some shingles at a time."""
-    likely = np.flatnonzero(likely_pairs(minima_of, pairs))
+    likely = np.flatnonzero(likely_pairs(minima_of, pairs, percent))
     out = np.zeros(len(pairs), bool)
     if not len(likely):
         return out
@@ -140,7 +155,7 @@ def linked_pairs(sets: list[np.ndarray], minima_of: np.ndarray, pairs: np.ndarra
             table[owner[low:high], place[low:high] - at] = 1
             product += table @ table.T
         both = product[left, right].astype(np.int64)
-    out[likely] = 100 * both >= SIMILARITY_PERCENT * (sizes[left] + sizes[right] - both)
+    out[likely] = 100 * both >= percent * (sizes[left] + sizes[right] - both)
     return out
 
 
@@ -186,34 +201,35 @@ def _groups(rows: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame, np.ndarray,
         yield task, group, np.stack([np.frombuffer(x, np.uint8) for x in group["minima"]]), np.stack([first[meet], second[meet]], axis=1)
 
 
-def _likely_members(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _likely_members(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
     found = []
     for _, group, minima_of, pairs in _groups(rows):
-        members = np.unique(pairs[likely_pairs(minima_of, pairs)])
+        members = np.unique(pairs[likely_pairs(minima_of, pairs, percent)])
         if len(members):
             found.append(group.iloc[members])
     if found:
         yield pd.concat(found)
 
 
-def _links_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _links_of(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
     links = []
     for _, group, minima_of, pairs in _groups(rows):
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        links += _spanning(group["doc_id"].tolist(), pairs, linked_pairs(sets, minima_of, pairs))
+        links += _spanning(group["doc_id"].tolist(), pairs, linked_pairs(sets, minima_of, pairs, percent))
     if links:
         yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; sets of ``percent`` similarity are linked."""
+    rows = rows_for(percent)
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketches, sketches_path = written(texts.mapInPandas(_sketches, "doc_id bigint, n_shingles bigint, digest binary, minima binary, bands array<bigint>"), "sketches")
+    sketches, sketches_path = written(texts.mapInPandas(lambda b: _sketches(b, rows), "doc_id bigint, n_shingles bigint, digest binary, minima binary, bands array<bigint>"), "sketches")
     named = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes, classes_path = written(named.groupBy("digest").agg(F.min(F.struct("doc_id", "minima", "bands")).alias("least"))
                                     .selectExpr("digest", "least.*"), "classes")
-    links, scratch = _class_links(texts, classes)
+    links, scratch = _class_links(texts, classes, percent)
     # rows of one id may have several sets: their classes are linked by the id itself
     own = named.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("class_id")), "digest").select("doc_id", "class_id")
     found = components(links.union(own))
@@ -224,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _class_links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[str]]:
+def _class_links(texts: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """Confirmed links between classes, enough of them to connect all that are connected; and tables to delete later."""
     keys = classes.select("doc_id", F.explode("bands").alias("bucket"))
     marks = [F.sum(F.xxhash64(F.lit(k), "doc_id").cast("decimal(20,0)")).alias(f"mark{k}") for k in (1, 2)]
@@ -233,18 +249,18 @@ def _class_links(texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[
     members, members_path = written(keys.join(once, "bucket"), "buckets")
     scratch = [members_path]
     small = members.where(F.col("n") <= BLOCK).select(F.col("bucket").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id")
-    links = _compared(small, texts, classes, scratch)
+    links = _compared(small, texts, classes, scratch, percent)
     large = members.where(F.col("n") > BLOCK)
     if large.limit(1).count():
-        links = links.union(_large_links(large, texts, classes, scratch))
+        links = links.union(_large_links(large, texts, classes, scratch, percent))
     return links, scratch
 
 
-def _compared(tasks: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str]) -> DataFrame:
+def _compared(tasks: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str], percent: int) -> DataFrame:
     """``a, b``: links that connect what is linked within each of ``task, side, doc_id``."""
     rows = tasks.join(classes.select("doc_id", "minima"), "doc_id").select("task", "side", "doc_id", "minima")
     fields = "task string, side int, doc_id bigint, minima binary"
-    likely, path = written(rows.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, _likely_members), fields), "likely")
+    likely, path = written(rows.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, lambda r: _likely_members(r, percent)), fields), "likely")
     needed = likely.select("doc_id").distinct()
     side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     made = texts.join(side, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id", "shingles"])
@@ -252,18 +268,18 @@ def _compared(tasks: DataFrame, texts: DataFrame, classes: DataFrame, scratch: l
     own = classes.select("doc_id", "digest").join(F.broadcast(needed) if side is not needed else needed, "doc_id", "left_semi")
     sets, sets_path = written(made.join(own, "doc_id").where("unhex(md5(shingles)) = digest").drop("digest"), "sets")
     full = likely.join(sets, "doc_id").select("task", "side", "doc_id", "minima", "shingles")
-    links, links_path = written(full.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, _links_of), "a bigint, b bigint"), "links")
+    links, links_path = written(full.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, lambda r: _links_of(r, percent)), "a bigint, b bigint"), "links")
     scratch += [path, sets_path, links_path]
     return links
 
 
-def _large_links(large: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str]) -> DataFrame:
+def _large_links(large: DataFrame, texts: DataFrame, classes: DataFrame, scratch: list[str], percent: int) -> DataFrame:
     """Links within buckets of more than ``BLOCK`` classes."""
     centres = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c")).select("bucket", F.col("c.doc_id").alias("centre"))
     pairs = large.join(centres, "bucket").where("doc_id <> centre").select("doc_id", "centre").distinct()
     # a task per member and centre is a group of two
     ends = pairs.select(F.concat_ws(":", "centre", "doc_id").alias("task"), F.explode(F.array("doc_id", "centre")).alias("doc_id")).select("task", F.lit(0).alias("side"), "doc_id")
-    stars = _compared(ends, texts, classes, scratch)
+    stars = _compared(ends, texts, classes, scratch, percent)
     found, path = written(components(stars), "places")
     scratch.append(path)
     placed = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
@@ -280,12 +296,12 @@ def _large_links(large: DataFrame, texts: DataFrame, classes: DataFrame, scratch
     answering = blocks.select("bucket", "doc_id", F.col("block").alias("other")).join(open_blocks, "bucket").select(
         F.concat_ws(":", "bucket", "block", "other").alias("task"), F.lit(1).alias("side"), "doc_id")
     both = asking.union(answering).groupBy("task", "doc_id").agg(F.min("side").alias("side")).select("task", "side", "doc_id")  # a class may be on both sides
-    return stars.union(_compared(both, texts, classes, scratch))
+    return stars.union(_compared(both, texts, classes, scratch, percent))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of every component those with its smallest id, one row per id. Rows without an id stay."""
-    found = near_duplicates(docs, doc_id, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    found = near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     rows, _ = written(found.select(F.col("doc_id").alias("_id"), "kept", "n"), "kept")
     listed = rows.where("kept").select("_id")
     side = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
