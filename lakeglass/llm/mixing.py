@@ -4,12 +4,16 @@
    cut into ``LEVELS`` levels at quantiles of the labelled rows; naive Bayes over the levels gives each
    document a probability per domain.
 2. Rates of documents, at first 1, are moved by projected-gradient steps on the squared differences between expected tokens per
-   domain, ``sum(rate * tokens * probability)``, and the targets, and never below 0. A step needs one sum per domain over all
+   domain, ``sum(rate * tokens * probability)``, and the targets, and never below a least rate. A step needs one sum per domain over all
    documents; the driver sees those sums only. A step is an expression over the columns, and every ``STEPS_A_TABLE``
    steps the rates are written, so that plans stay short.
+3. What ``STEPS`` such steps leave open, steps scaled by the curvature close: the rates become
+   ``max(least, rate + sum(shift * probability))`` with a shift per domain, moved by damped Newton steps, until the
+   targets are met or no shift comes nearer to them. A gap that then remains is warned of with its size.
 
 Targets are weights of domains. Totals follow from them as the smallest that ask no domain for fewer tokens than it
-has, or from ``total_tokens``. So by default rare domains are repeated and nothing is thrown away.
+has, or from ``total_tokens``. By default the least rate is 1, so that rare domains are repeated and nothing is thrown
+away, however unclear the documents are; with ``total_tokens`` it is 0.
 
 Defined results: a null or empty text has no tokens; its rate is 1. Rows without a domain teach nothing, rows that
 repeat count again. Without labelled rows, or where a target domain has none of the expected tokens, that target is
@@ -18,6 +22,9 @@ left out of the fit. Columns named like the results are replaced.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ LABELLED_ROWS = 100_000
 STEPS = 40
 STEPS_A_TABLE = 10
 CLOSE = 1e-4
+#: Of a domain's tokens, how much a shift costs, so that targets out of reach have a nearest point.
+STIFFNESS = 1e-6
 SMOOTHING = 0.5
 
 
@@ -85,8 +94,9 @@ def _tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
-def fit_rates(measured: DataFrame, domains: list[str], targets: dict[str, float], total_tokens: float | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """``measured``, which has ``tokens`` and ``posterior``, with ``rate``; and the target tokens per domain."""
+def fit_rates(measured: DataFrame, domains: list[str], targets: dict[str, float], total_tokens: float | None = None,
+              least: float = 0.0) -> tuple[DataFrame, dict[str, float]]:
+    """``measured``, which has ``tokens`` and ``posterior``, with ``rate``, not below ``least``; and the target tokens per domain."""
     spark = measured.sparkSession
     now = replacing(measured, "rate").withColumn("rate", F.lit(1.0))
 
@@ -110,15 +120,55 @@ def fit_rates(measured: DataFrame, domains: list[str], targets: dict[str, float]
             break
         # the gradient of the squares scaled by a document's tokens, a domain's by its own, so that a step of 1 is stable
         descent = sum((F.col("posterior")[k] * F.lit(gap[k]) for k in used), F.lit(0.0))
-        now = now.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), F.col("rate") - descent)).otherwise(F.col("rate")))
+        now = now.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.lit(least), F.col("rate") - descent)).otherwise(F.col("rate")))
         if step % STEPS_A_TABLE == STEPS_A_TABLE - 1:
             now, new = written(now, "rates")
             if path:
                 discard(spark, path)
             path = new
+    else:
+        now = _closed(now, {k: goal[k] for k in used}, {k: have[k] for k in used}, total, least, [domains[k] for k in used])
     return now, {domains[k]: goal[k] for k in used}
 
 
+def _closed(now: DataFrame, goal: dict[int, float], have: dict[int, float], total: float, least: float, names: list[str]) -> DataFrame:
+    """``now`` with the nearest rates, not below ``least``, that meet the goals, or come nearest to them."""
+    used = list(goal)
+    want, stiff = np.array([goal[k] for k in used]), STIFFNESS * np.array([have[k] for k in used])
+    places = [(i, j) for i in range(len(used)) for j in range(i + 1)]
+
+    def shifted(shift: np.ndarray) -> DataFrame:
+        moved = sum((F.col("posterior")[k] * F.lit(float(x)) for k, x in zip(used, shift)), F.col("rate"))
+        return now.withColumn("_mix_moved", moved).withColumn(
+            "rate", F.when(F.col("tokens") > 0, F.greatest(F.lit(least), F.col("_mix_moved"))).otherwise(F.col("rate")))
+
+    def measured(shift: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual value, its slope and curvature, and the gaps."""
+        p, t = [F.col("posterior")[k] for k in used], F.col("tokens")
+        found = shifted(shift).agg(
+            F.sum(t * F.col("rate") * (F.col("_mix_moved") - F.col("rate") / 2)), *[F.sum(F.col("rate") * t * x) for x in p],
+            *[F.sum(F.when(F.col("_mix_moved") > least, t * p[i] * p[j])) for i, j in places]).first()
+        found = np.array([x or 0.0 for x in found], float)
+        gaps, curve = found[1:len(used) + 1] - want, np.zeros((len(used), len(used)))
+        for (i, j), x in zip(places, found[len(used) + 1:]):
+            curve[i, j] = curve[j, i] = x
+        return found[0] - shift @ want + stiff @ shift**2 / 2, gaps + stiff * shift, curve + np.diag(stiff), gaps
+
+    shift, damping = np.zeros(len(used)), 1e-3
+    value, slope, curve, gaps = measured(shift)
+    while abs(gaps).max() > CLOSE * total and abs(slope).max() > CLOSE * total / 100 and damping < 1e9:
+        step = -np.linalg.solve(curve + damping * np.diag(stiff / STIFFNESS), slope)
+        tried = measured(shift + step)
+        if tried[0] < value:
+            shift, damping, (value, slope, curve, gaps) = shift + step, max(damping / 10, 1e-9), tried
+        else:
+            damping *= 4
+    if abs(gaps).max() > CLOSE * total:
+        missed = ", ".join(f"{d} {g / total:+.2%}" for d, g in zip(names, gaps))
+        warnings.warn(f"no rates from {least:g} on meet the targets; of all tokens there are too many (+) or too few (-): {missed}", stacklevel=3)
+    return shifted(shift).drop("_mix_moved")
+
+
 def copies_of(rate: Column, doc_id: Column) -> Column:
     """Whole copies for a rate, in thousandths: its whole part, and one more for the share of ids whose hash falls below the rest."""
     rate = F.round(rate, 3)
@@ -131,7 +181,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], doc_id:
     """``docs`` without their texts, with ``tokens, posterior, rate, copies``; the domains; the target tokens per domain."""
     posteriors, domains = with_posteriors(docs, labelled, domain, text)
     measured, _ = written(posteriors.drop(text), "posteriors")
-    rated, goal = fit_rates(measured, domains, targets, total_tokens)
+    rated, goal = fit_rates(measured, domains, targets, total_tokens, 1.0 if total_tokens is None else 0.0)
     return rated.withColumn("copies", copies_of(F.col("rate"), F.col(doc_id))), domains, goal
 
 

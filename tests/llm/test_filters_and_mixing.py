@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeglass.llm import mixing, url_filter
@@ -112,3 +113,32 @@ def test_mixing_of_odd_rows(spark):
     assert domains == [] and goal == {} and {r.rate for r in nothing.collect()} == {1.0}
     assert mixing.mix(docs.limit(0), labelled, {"en": 1.0})[0].count() == 0
     assert mixing.repeated(docs.limit(0), labelled, {"en": 1.0}).count() == 0
+
+
+def unclear_rows():
+    """Documents of four domains, a third of them of unclear membership."""
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        k = rng.choices(range(4), [4, 2, 2, 2])[0]
+        weights = [rng.random() + (2 if j == k else 0) for j in range(4)] if i % 3 == 0 else [1000.0 if j == k else 1e-3 for j in range(4)]
+        rows.append((i, rng.choice([0, 20, 300, 2000]), [w / sum(weights) for w in weights]))
+    return rows
+
+
+def test_unclear_documents_stay(spark):
+    rows, domains, targets = unclear_rows(), ["a", "b", "c", "d"], {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.1}
+    frame = spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
+    for least, total in ((1.0, None), (0.0, 200_000.0)):
+        rated, goal = mixing.fit_rates(frame, domains, targets, total, least)
+        got = {r.doc_id: r.rate for r in rated.collect()}
+        assert rated.columns == ["doc_id", "tokens", "posterior", "rate"] and min(got.values()) >= least
+        assert all(got[i] == 1 for i, t, _ in rows if not t)
+        for j, d in enumerate(domains):
+            assert abs(sum(got[i] * t * p[j] for i, t, p in rows) - goal[d]) <= 2 * mixing.CLOSE * sum(goal.values())
+
+
+def test_gap_that_remains_is_told(spark):
+    frame = spark.createDataFrame([(1, 100, [0.6, 0.4]), (2, 100, [0.4, 0.6])], "doc_id long, tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="too many"):
+        rated, _ = mixing.fit_rates(frame, ["a", "b"], {"a": 0.9, "b": 0.1}, None, 1.0)
+    assert all(r.rate >= 1 for r in rated.collect())
