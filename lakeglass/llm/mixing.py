@@ -1,8 +1,9 @@
 """Mixing to target weights with soft membership, in DataFrame operations only.
 
-1. A labelled table teaches a classifier. A document is reduced to its share of a few kinds of signs (``SIGNS``), each
-   cut into ``LEVELS`` levels at quantiles of the labelled rows; naive Bayes over the levels gives each
-   document a probability per domain.
+1. A labelled table teaches a classifier, whatever its domains are. A document is reduced to the counts of its words, which are
+   runs of letters and digits or single signs of scripts without spaces, lower-cased; multinomial naive Bayes over
+   all labelled rows gives each document a probability per domain. The only bound is on the size of the model: words
+   are hashed to ``FEATURES`` places, so some share one.
 2. Rates of documents, at first 1, are moved by projected-gradient steps on the squared differences between expected tokens per
    domain, ``sum(rate * tokens * probability)``, and the targets, and never below a least rate. A step needs one sum per domain over all
    documents; the driver sees those sums only. A step is an expression over the columns, and every ``STEPS_A_TABLE``
@@ -25,15 +26,18 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.llm.shared import discard, replacing, written
 
-#: Kinds of signs whose share of a text is looked at.
-SIGNS = {"th_wh": "[tTwW][hH]", "acute": "[éÉ]", "grave": "[èÈêÊ]", "umlaut": "[äÄüÜß]", "o": "[oO]", "u": "[uU]", "ch": "[cC][hH]", "spanish": "[ñÑóÓ]", "a_end": "[aA]\\b"}
-LEVELS = 8
-LABELLED_ROWS = 100_000
+#: Places of hashed words; the model holds a number for each of them and each domain.
+FEATURES = 1 << 16
+#: What lies between words, and the end of each sign of a script that is written without spaces.
+BETWEEN = r"[^\p{L}\p{M}\p{N}]+|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF])"
 STEPS = 40
 STEPS_A_TABLE = 10
 CLOSE = 1e-4
@@ -42,51 +46,25 @@ STIFFNESS = 1e-6
 SMOOTHING = 0.5
 
 
-def _shares(text: Column) -> dict[str, Column]:
-    room = F.greatest(F.lit(1), F.length(text)).cast("double")
-    return {name: F.regexp_count(text, F.lit(pattern)) / room for name, pattern in SIGNS.items()}
-
-
-def _levels(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """The shares of ``df`` as levels: how many cuts lie below."""
-    for name, values in cuts.items():
-        steps = [F.when(F.col(name) > v, 1).otherwise(0) for v in values]
-        df = df.withColumn(name, sum(steps[1:], steps[0]) if steps else F.lit(0))
-    return df
+def _counts(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the counts of hashed words of ``text`` as the vector ``name``."""
+    words = F.array_remove(F.split(F.lower(text), BETWEEN), "")
+    return HashingTF(inputCol="_mix_words", outputCol=name, numFeatures=FEATURES).transform(df.withColumn("_mix_words", words)).drop("_mix_words")
 
 
 def with_posteriors(docs: DataFrame, labelled: DataFrame, domain: str = "domain", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``tokens`` and an array ``posterior`` over the sorted domains, which are returned too.
-
-    Learns from at most ``LABELLED_ROWS`` labelled rows, those with the least hashes of their texts.
-    """
-    known = labelled.select(F.col(text).alias("text"), F.col(domain).cast("string").alias("domain")).where("text IS NOT NULL AND domain IS NOT NULL")
-    taken = known.select("domain", F.xxhash64("text").alias("h"), *[c.alias(n) for n, c in _shares(F.col("text")).items()]).orderBy("h").limit(LABELLED_ROWS)
-    lessons, path = written(taken.drop("h"), "lessons")
-    found = lessons.agg(*[F.percentile_approx(n, [k / LEVELS for k in range(1, LEVELS)], 1000).alias(n) for n in SIGNS]).first()
-    cuts = {n: sorted(set(found[n] or [])) for n in SIGNS}
-    counted = _levels(lessons, cuts).groupBy("domain").agg(
-        F.count("*").alias("n"), *[F.sum((F.col(n) == k).cast("long")).alias(f"{n}_{k}") for n in SIGNS for k in range(len(cuts[n]) + 1)]).orderBy("domain").collect()
-    discard(docs.sparkSession, path)
-    domains = [r["domain"] for r in counted]  # a row per domain
-    rows = sum(r["n"] for r in counted)
-    parts = {f"_mix_{n}": c for n, c in _shares(F.coalesce(F.col(text), F.lit(""))).items()}
-    base = replacing(docs, "tokens", "posterior", "rate", "copies", *parts)
-    levels = _levels(base.withColumns(parts | {"tokens": _tokens(F.col(text))}), {f"_mix_{n}": v for n, v in cuts.items()})
-    logs = []
-    for r in counted:
-        total = F.log(F.lit(r["n"] / rows))
-        for n in SIGNS:
-            size = len(cuts[n]) + 1
-            table = F.array(*[F.log(F.lit((r[f"{n}_{k}"] + SMOOTHING) / (r["n"] + SMOOTHING * size))) for k in range(size)])
-            total = total + F.element_at(table, F.col(f"_mix_{n}") + 1)
-        logs.append(total)
-    if not domains:
-        return levels.withColumn("posterior", F.array().cast("array<double>")).drop(*parts), []
-    logged = levels.withColumn("_mix_log", F.array(*logs)).withColumn("_mix_top", F.array_max("_mix_log"))
-    powers = logged.withColumn("_mix_power", F.expr("transform(_mix_log, x -> exp(x - _mix_top))"))
-    summed = powers.withColumn("_mix_sum", F.expr("aggregate(_mix_power, 0D, (s, x) -> s + x)"))
-    return summed.withColumn("posterior", F.expr("transform(_mix_power, x -> x / _mix_sum)")).drop("_mix_log", "_mix_top", "_mix_power", "_mix_sum", *parts), domains
+    """``docs`` with ``tokens`` and an array ``posterior`` over the sorted domains, which are returned too."""
+    known = labelled.select(F.col(text).cast("string").alias("text"), F.col(domain).cast("string").alias("domain")).where("text IS NOT NULL AND domain IS NOT NULL")
+    domains = sorted(r["domain"] for r in known.select("domain").distinct().collect())  # a row per domain
+    base = replacing(docs, "tokens", "posterior", "rate", "copies").withColumn("tokens", _tokens(F.col(text)))
+    if len(domains) < 2:
+        return base.withColumn("posterior", F.array(*[F.lit(1.0)] * len(domains)).cast("array<double>")), domains
+    number = (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("double")
+    lessons = _counts(known, F.col("text"), "counts").select(number.alias("number"), "counts")
+    model = NaiveBayes(featuresCol="counts", labelCol="number", smoothing=SMOOTHING).fit(lessons)
+    model.setFeaturesCol("_mix_counts").setProbabilityCol("_mix_share").setPredictionCol("").setRawPredictionCol("")
+    found = model.transform(_counts(base, F.coalesce(F.col(text).cast("string"), F.lit("")), "_mix_counts"))
+    return found.withColumn("posterior", vector_to_array("_mix_share")).drop("_mix_counts", "_mix_share"), domains
 
 
 def _tokens(text: Column) -> Column:

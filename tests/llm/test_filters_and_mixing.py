@@ -142,3 +142,26 @@ def test_gap_that_remains_is_told(spark):
     with pytest.warns(UserWarning, match="too many"):
         rated, _ = mixing.fit_rates(frame, ["a", "b"], {"a": 0.9, "b": 0.1}, None, 1.0)
     assert all(r.rate >= 1 for r in rated.collect())
+
+
+def test_mixing_of_other_domains(spark):
+    """Topics of one language, and scripts without spaces: words tell them apart, no signs of four languages do."""
+    rng = random.Random(6)
+    common = "the of and to in is that it was for on are with as this have from or had by".split()
+    topics = {"sport": "goal match team player league score coach season".split(), "law": "court judge statute appeal verdict clause plaintiff tort".split(),
+              "code": "def return import class self lambda yield assert".split(), "river": list("河水流江湖海波浪"), "mountain": list("山峰岩石峡谷坡岭")}
+
+    def text(topic):
+        words = rng.choices(topics[topic], k=12)
+        if topic in ("river", "mountain"):
+            return "".join(words)
+        words += rng.choices(common, k=30)
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(i, text(t), t) for i, t in enumerate(rng.choices(sorted(topics), k=300))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, topic string")
+    found, domains = mixing.with_posteriors(frame.where("doc_id % 2 = 1"), frame.where("doc_id % 2 = 0"), "topic")
+    got = found.collect()
+    assert domains == sorted(topics)
+    assert sum(r.topic == domains[max(range(5), key=lambda k: r.posterior[k])] for r in got) > 0.95 * len(got)
