@@ -1,10 +1,14 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram ``abc`` is the product of the vectors of its letters,
+Every letter of every script has its own random vector of +1 and -1. A letter trigram ``abc`` is the product of the vectors of its letters,
 those of ``a`` and ``b`` rotated by two and one places, so that order counts. A text is the sum of its trigram
 vectors, a language the sum of its texts (each scaled to one), and a text belongs to the language whose sum has the
 largest cosine with its own.
 
+Unrelated texts have cosines around 0 with a deviation of 1 / sqrt(``DIMENSIONS``), and random letters of a language's alphabet more than
+that. So ``least_scores`` measures which cosines learned texts have when cut to 1, 2, 4, ... trigrams; ``in_some_language``
+keeps texts that reach ``SHARE`` of the low quantile for their length, and ``NOISE`` deviations.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing was
 learned. Of languages with equal cosines the alphabetically first wins. Rows whose language or text is null teach
 nothing; repeated rows count again. Columns named like the results are replaced; all others pass through.
@@ -23,9 +27,14 @@ from pyspark.sql import functions as F
 
 from lakeglass.llm.shared import replacing
 
-DIMENSIONS = 512
-#: 0 is whatever lies between words, 1-26 are a-z, other letters share the rest.
+DIMENSIONS = 2048
+#: 0 is whatever lies between words, 1-26 are a-z. Other letters are their code point and ``SYMBOLS``.
 SYMBOLS = 48
+#: Bits of a letter in the number of a trigram with letters beyond a-z; such numbers are negative.
+LETTER_BITS = 21
+#: Texts, those of the least hashes, on which ``least_scores`` measures.
+MEASURED = 2_000
+QUANTILE, SHARE, NOISE = 0.01, 0.5, 3.0
 UNKNOWN = "und"
 
 
@@ -38,9 +47,9 @@ class LanguageModel:
 @functools.cache
 def _symbols() -> np.ndarray:
     """The symbol of every code point."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([i for i in range(0x110000) if chr(i).isalpha()], np.uint64)
-    table[letters] = 27 + (letters * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SYMBOLS - 27)
+    table = np.zeros(0x110000, np.int32)
+    letters = np.array([i for i in range(0x110000) if chr(i).isalpha()])
+    table[letters] = letters + SYMBOLS
     table[ord("a"):ord("z") + 1] = np.arange(1, 27)
     return table
 
@@ -53,6 +62,14 @@ def _vectors() -> tuple[np.ndarray, np.ndarray]:
     return pairs.reshape(SYMBOLS * SYMBOLS, DIMENSIONS), letters
 
 
+@functools.lru_cache(8192)
+def _letter(symbol: int) -> np.ndarray:
+    """The vector of a symbol; beyond a-z it is seeded by the code point."""
+    if symbol < SYMBOLS:
+        return _vectors()[1][symbol]
+    return np.random.default_rng([20, symbol]).integers(0, 2, DIMENSIONS, dtype=np.int8) * np.int8(2) - np.int8(1)
+
+
 def trigrams(text: str | None) -> np.ndarray:
     """The trigram numbers of a text; runs of anything but letters count as one space."""
     if not text:
@@ -66,17 +83,30 @@ def trigrams(text: str | None) -> np.ndarray:
     keep[1:] |= row[:-1] > 0
     keep[0] = True
     row = row[keep]
-    return (row[:-2] * SYMBOLS + row[1:-1]) * SYMBOLS + row[2:]
+    first, second, third = row[:-2], row[1:-1], row[2:]
+    wide = (first >= SYMBOLS) | (second >= SYMBOLS) | (third >= SYMBOLS)
+    return np.where(wide, ~((first << 2 * LETTER_BITS) | (second << LETTER_BITS) | third), (first * SYMBOLS + second) * SYMBOLS + third)
 
 
 def bundle(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of trigram vectors, each as often as counted; in slices, so that memory does not grow."""
     pairs, letters = _vectors()
     total = np.zeros(DIMENSIONS)
-    for at in range(0, len(numbers), 4096):
-        some = numbers[at:at + 4096]
+    wide = numbers < 0
+    plain, often = numbers[~wide], counts[~wide]
+    for at in range(0, len(plain), 1024):
+        some = plain[at:at + 1024]
         vectors = pairs[some // SYMBOLS] * letters[some % SYMBOLS]
-        total += counts[at:at + 4096].astype(np.float32) @ vectors.astype(np.float32)
+        total += often[at:at + 1024].astype(np.float32) @ vectors.astype(np.float32)
+    packed, often = ~numbers[wide], counts[wide]
+    for at in range(0, len(packed), 1024):
+        some = packed[at:at + 1024]
+        parts = np.stack([some >> 2 * LETTER_BITS, some >> LETTER_BITS, some]) & ((1 << LETTER_BITS) - 1)
+        known, place = np.unique(parts, return_inverse=True)
+        first, second, third = place.reshape(parts.shape)
+        table = np.stack([_letter(int(x)) for x in known])
+        vectors = np.roll(table, 2, axis=1)[first] * np.roll(table, 1, axis=1)[second] * table[third]
+        total += often[at:at + 1024].astype(np.float32) @ vectors.astype(np.float32)
     return total
 
 
@@ -84,25 +114,34 @@ def hypervector(text: str | None) -> np.ndarray | None:
     numbers = trigrams(text)
     if not len(numbers):
         return None
-    counts = np.bincount(numbers, minlength=SYMBOLS**3)
-    present = np.flatnonzero(counts)
-    return bundle(present, counts[present])
+    return bundle(*np.unique(numbers, return_counts=True))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn the prototypes of all languages in ``labelled``. Tasks send one vector per language, never texts."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares: dict[str, np.ndarray] = {}
+        shares: dict[str, dict[int, float]] = {}
+        sums: dict[str, np.ndarray] = {}
+
+        def add(language: str) -> None:
+            held = shares.pop(language)
+            some = bundle(np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), float, len(held)))
+            sums[language] = sums.get(language, 0.0) + some
+
         for batch in batches:
             for words, language in zip(batch["text"], batch["lang"]):
-                numbers = trigrams(words)
+                numbers, counts = np.unique(trigrams(words), return_counts=True)
                 if len(numbers):
-                    total = shares.setdefault(language, np.zeros(SYMBOLS**3))
-                    np.add.at(total, numbers, 1 / len(numbers))
-        for language, total in shares.items():
-            present = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": language, "place": np.arange(DIMENSIONS), "value": bundle(present, total[present])})
+                    total, weight = shares.setdefault(language, {}), 1 / counts.sum()
+                    for x, n in zip(numbers.tolist(), counts.tolist()):
+                        total[x] = total.get(x, 0.0) + n * weight
+                    if len(total) > 100_000:
+                        add(language)
+        for language in list(shares):
+            add(language)
+        for language, total in sums.items():
+            yield pd.DataFrame({"lang": language, "place": np.arange(DIMENSIONS), "value": total})
 
     known = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sums = known.mapInPandas(partial, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -114,6 +153,48 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     return LanguageModel(tuple(wide.index), prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300))
 
 
+def _cosines(model: LanguageModel, numbers: np.ndarray) -> np.ndarray:
+    vector = bundle(*np.unique(numbers, return_counts=True))
+    return model.prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-300)
+
+
+def least_scores(labelled: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """Scores below which a text of at least 1, 2, 4, ... trigrams is in no language of ``model``."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for numbers in map(trigrams, batch["text"]):
+                vector = np.zeros(DIMENSIONS)
+                for k in range(len(numbers).bit_length()):
+                    vector += bundle(*np.unique(numbers[1 << k >> 1:1 << k], return_counts=True))
+                    rows.append((k, float((shared.value.prototypes @ vector).max() / max(float(np.linalg.norm(vector)), 1e-300))))
+            yield pd.DataFrame(rows, columns=["k", "score"])
+
+    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    some = known.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(MEASURED).select("text").repartition(32)
+    found = some.mapInPandas(cut, "k int, score double").groupBy("k").agg(F.percentile_approx("score", QUANTILE, 1000).alias("low")).orderBy("k").collect()
+    least = np.array([SHARE * r["low"] for r in found])
+    return np.maximum(np.maximum.accumulate(least), NOISE / DIMENSIONS**0.5) if len(least) else np.array([NOISE / DIMENSIONS**0.5])
+
+
+def in_some_language(docs: DataFrame, model: LanguageModel, least: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language of ``model``, judged by ``least_scores``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, least))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        model, least = shared.value
+        found = []
+        for numbers in map(trigrams, texts):
+            low = least[min(len(least), len(numbers).bit_length()) - 1]
+            found.append(bool(len(numbers)) and bool(model.prototypes.size) and bool(_cosines(model, numbers).max() >= low))
+        return pd.Series(found, dtype=bool)
+
+    return docs.where(known(F.col(text)))
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the cosine with that language, as 0 where negative."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

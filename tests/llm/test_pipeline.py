@@ -79,3 +79,21 @@ def test_token_files_stage(spark):
 @pytest.mark.parametrize("name", list(STAGES))
 def test_stages_of_no_documents(spark, table, name):
     assert STAGES[name](spark, table("documents").limit(0), SF).count() == 0
+
+
+def test_texts_in_no_language_go(spark, table):
+    """Other scripts and random letters go at any length, short clean texts stay."""
+    rng, clean = random.Random(7), table("documents")
+    scripts = {"cyrillic": [chr(c) for c in range(0x430, 0x450)], "chinese": [chr(c) for c in range(0x4E00, 0x5E00)], "latin": list("abcdefghijklmnopqrstuvwxyz")}
+    rows = []
+    for script, letters in scripts.items():
+        for n in ([30, 300] if script == "latin" else [3, 30, 300]):
+            rows += [(10**6 + len(rows) + k, " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(n)), script) for k in range(40)]
+    short = ["The children went to the house.", "Nous avons une maison dans la ville.", "Das ist nicht die Zeit für mich.", "La casa de los padres está en la ciudad."]
+    rows += [(2 * 10**6 + k, t, "short") for k, t in enumerate(short)]
+    # the ids teach nothing: their labels are null
+    docs = clean.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string"))
+    stay = {r.doc_id for r in STAGES["language_id"](spark, docs, SF).select("doc_id").collect()}
+    kept = {s: sum(i in stay for i, _, x in rows if x == s) / sum(x == s for _, _, x in rows) for s in [*scripts, "short"]}
+    assert kept["short"] == 1 and max(kept[s] for s in scripts) <= 0.02, kept
+    assert sum(r.doc_id not in stay for r in clean.select("doc_id").collect()) == 0
