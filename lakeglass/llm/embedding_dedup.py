@@ -1,24 +1,26 @@
 """Near-duplicate vectors: binary codes by iterative quantisation, multi-index Hamming tables, cosine rerank.
 
-1. Codes are learned on a bounded sample of at most ``SAMPLE`` distinct vectors (those of the least hashes): principal axes, then a rotation that
-   brings the coordinates close to their signs. Two rotations from different starts give ``2 * BITS`` bits a vector.
+1. Codes are learned on a bounded sample of at most ``SAMPLE`` distinct vectors (those of the least hashes): principal axes, then rotations that
+   bring the coordinates close to their signs, each from its own start and with ``BITS`` bits a vector.
 2. Equal vectors form a class, which its smallest id stands for and which counts with its number of vectors.
 3. The code is cut into substrings of ``SUBSTRING`` bits, one table each. Every class looks up its own substring and
-   all that differ in one bit. A pair counts only in the first table that finds it, and only if the whole codes
-   differ in at most ``FARTHEST`` bits, so each candidate comes out of the join once.
+   all that differ in one bit. A pair counts only in the first table that finds it, so each candidate comes out of the join once.
 4. Candidates are compared by cosine of the original vectors in double precision.
 
-Two vectors with cosine 0.9 differ in a bit with probability 0.14 and so share no table with probability 0.05; at
-0.97 with 0.0003. Every row is indexed and every row searches; nothing is capped.
+Codes are signs of differences from the mean, where a cosine of 0.9 may be any angle. So the number of rotations is measured, not
+fixed: pairs of just that cosine are made from the sample, in random directions and towards other vectors of it, and rotations are
+added until the tables find ``RECALL`` of either kind. If ``MOST_ROTATIONS`` do not, as with vectors close around their
+mean, all pairs are compared, block by block. Nothing else is left out: every row is indexed and searches.
 
-Defined results: a vector that is null, empty or zero, holds a null, NaN or infinite component, or is not of the most
-frequent length (of equally frequent ones the shortest) links with nothing and is its own component. Rows that repeat
+Defined results: a vector that is null, empty or zero, or holds a null, NaN or infinite component links with nothing and is
+its own component. Vectors of each length are a matter of their own and link with none of another length. Rows that repeat
 an id count as vectors of their own and share a component. A row without an id keeps its links, has no component
 and is kept. Labels and other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,10 +39,15 @@ SUBSTRING = 16
 SAMPLE = 20_000
 STEPS = 50
 COSINE = 0.9
-FARTHEST = 40
+#: The share of pairs just at the cosine that the tables have to find.
+RECALL = 0.95
+#: Rotations beyond which comparing all pairs is less work; and classes in a block of those.
+MOST_ROTATIONS = 12
+BLOCK = 2048
+PLANTED = 2000
 
 
-def learn_rotations(sample: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotations(sample: np.ndarray, seed: int = 1, rotations: int = ROTATIONS) -> tuple[np.ndarray, np.ndarray]:
     """The centre and one projection to ``BITS`` signs per rotation, from unit vectors in rows."""
     width = sample.shape[1]
     centre = sample.mean(axis=0) if len(sample) else np.zeros(width)
@@ -52,7 +59,7 @@ def learn_rotations(sample: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.n
         base = random.normal(size=(width, BITS))
     flat = (sample - centre) @ base
     projections = []
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         rotation, _ = np.linalg.qr(random.normal(size=(BITS, BITS)))
         for _ in range(STEPS if len(sample) > 1 else 0):
             left, _, right = np.linalg.svd(np.where(flat @ rotation >= 0, 1.0, -1.0).T @ flat)
@@ -67,11 +74,43 @@ def codes(units: np.ndarray, centre: np.ndarray, projections: np.ndarray) -> np.
     return np.packbits(signs, axis=2, bitorder="little").view("<i8")[:, :, 0]
 
 
-def _usable(vectors: DataFrame) -> Column:
+def planted_pairs(sample: np.ndarray, cosine: float, seed: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of just that cosine: vectors of the sample, turned in random directions and towards others of the sample."""
+    random = np.random.default_rng(seed)
+    one, other = sample[random.integers(0, len(sample), PLANTED)], sample[random.integers(0, len(sample), PLANTED)]
+    out = []
+    for towards in (random.normal(size=one.shape), other):
+        across = towards - np.einsum("ij,ij->i", towards, one)[:, None] * one
+        length = np.linalg.norm(across, axis=1)
+        some = length > 1e-9  # a vector drawn twice gives no direction
+        if some.any():
+            out.append((one[some], cosine * one[some] + (1 - cosine**2) ** 0.5 * across[some] / length[some, None]))
+    return out
+
+
+def recall_of(pairs: tuple[np.ndarray, np.ndarray], centre: np.ndarray, projections: np.ndarray) -> float:
+    """The share of pairs that meet in a table, at most one bit apart."""
+    near = codes(pairs[0], centre, projections) ^ codes(pairs[1], centre, projections)
+    apart = np.unpackbits(near.view(np.uint8).reshape(len(near), -1), axis=1).reshape(len(near), -1, SUBSTRING).sum(axis=2)
+    return float((apart <= 1).any(axis=1).mean())
+
+
+def fitted_rotations(sample: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """As many rotations as the tables need to find pairs of that cosine; none if these are too many."""
+    if cosine >= 1 or sample.shape[1] == 1:
+        return learn_rotations(sample)
+    pairs, rotations = planted_pairs(sample, cosine), ROTATIONS
+    while rotations <= MOST_ROTATIONS:
+        centre, projections = learn_rotations(sample, rotations=rotations)
+        if all(recall_of(p, centre, projections) >= RECALL for p in pairs):
+            return centre, projections
+        rotations += 2
+    return None
+
+
+def _usable() -> Column:
     """Which rows hold a vector that can be compared."""
-    whole = F.expr("coalesce(size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0), false)")
-    length = vectors.where(whole).groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return whole & (F.size("embedding") == (length["n"] if length else 0))
+    return F.expr("coalesce(size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0), false)")
 
 
 def _units(column: pd.Series) -> np.ndarray:
@@ -88,47 +127,87 @@ def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
-    spark = vectors.sparkSession
     named = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    can = _usable(named)
-    usable = named.where(can)
+    can = _usable()
+    lengths = [r["n"] for r in named.where(can).select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
+    parts = [_of_one_length(named.where(can & (F.size("embedding") == n)), cosine) for n in lengths]
+    rest = named.where(~can | F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not parts:
+        return _with_kept(rest)
+    rows, classes, links = (functools.reduce(DataFrame.union, some) for some in zip(*parts))
+    counts = links.select(F.col("a").alias("class"), F.col("weight_b").alias("n")).union(links.select("b", "weight_a")).groupBy("class").agg(F.sum("n").alias("n"))
+    degree = classes.join(counts, "class", "left").select("digest", "class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    placed, _ = written(rows.select("vec_id", "digest").join(degree, "digest").select("vec_id", "class", "n_links"), "degrees")
+    own = placed.where("vec_id <> class").select("vec_id", "class").distinct()
+    found = components(links.select("a", "b").union(own))
+    named_found = found.join(found.where("node >= 0").groupBy("component").agg(F.min("node").alias("least")), "component").select(F.col("node").alias("class"), "least")
+    linked = placed.join(named_found, "class", "left").select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
+    return _with_kept(linked.union(rest))
+
+
+def _with_kept(rows: DataFrame) -> DataFrame:
+    both = rows.withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.col("component_id")))
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_one_length(usable: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``vec_id, digest``; ``digest, class, weight``; and ``a, b, weight_a, weight_b``, the links of classes; of vectors of one length."""
+    spark = usable.sparkSession
     chosen = usable.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toPandas()["embedding"]
-    model = spark.sparkContext.broadcast(learn_rotations(_units(chosen)) if len(chosen) else None)
+    fitted = fitted_rotations(_units(chosen), cosine)
+    rotations = len(fitted[1]) if fitted else 0
+    model = spark.sparkContext.broadcast(fitted)
+    names = [f"code{k}" for k in range(rotations)]
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 units = _units(batch["embedding"])
-                found = codes(units, *model.value)
+                found = codes(units, *model.value) if rotations else None
                 yield pd.DataFrame({"vec_id": batch["vec_id"].astype("Int64"), "digest": [hashlib.md5((np.asarray(x, np.float64) + 0.0).tobytes()).digest() for x in batch["embedding"]],
-                                    "unit": [x.tobytes() for x in units], **{f"code{k}": found[:, k] for k in range(ROTATIONS)}})
+                                    "unit": [x.tobytes() for x in units], **{c: found[:, k] for k, c in enumerate(names)}})
 
-    fields = ", ".join(f"code{k} bigint" for k in range(ROTATIONS))
-    rows, _ = written(usable.mapInPandas(coded, f"vec_id bigint, digest binary, unit binary, {fields}"), "codes")
-    names = [f"code{k}" for k in range(ROTATIONS)]
+    fields = "".join(f", {c} bigint" for c in names)
+    rows, _ = written(usable.mapInPandas(coded, f"vec_id bigint, digest binary, unit binary{fields}"), "codes")
     # a class is named by its own number, since its rows may lack ids
     classes, _ = written(rows.groupBy("digest").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id"), *[F.first(c).alias(c) for c in (*names, "unit")])
                          .withColumn("class", F.coalesce("least_id", -F.abs(F.xxhash64("digest")) - 1)), "classes")
-    pairs = _candidates(classes.select("class", *names))
-    left = classes.select(F.col("class").alias("a"), F.col("unit").alias("of_a"), F.col("weight").alias("weight_a"))
-    right = classes.select(F.col("class").alias("b"), F.col("unit").alias("of_b"), F.col("weight").alias("weight_b"))
-    links, _ = written(pairs.join(left, "a").join(right, "b").where(_cosine("of_a", "of_b") >= cosine).select("a", "b", "weight_a", "weight_b"), "links")
-    counts = links.select(F.col("a").alias("class"), F.col("weight_b").alias("n")).union(links.select("b", "weight_a")).groupBy("class").agg(F.sum("n").alias("n"))
-    degree = classes.join(counts, "class", "left").select("digest", "class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    placed, _ = written(rows.select("vec_id", "digest").join(degree, "digest").select("vec_id", "class", "n_links"), "degrees")
-    own = placed.where("vec_id <> class").select("vec_id", "class").distinct()
-    found = components(links.select("a", "b").union(own))
-    named_found = found.join(found.where("node >= 0").groupBy("component").agg(F.min("node").alias("least")), "component").select(F.col("node").alias("class"), "least")
-    linked = placed.join(named_found, "class", "left").select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
-    rest = named.where(~can | F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = linked.union(rest).withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.col("component_id")))
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
+    if rotations:
+        left = classes.select(F.col("class").alias("a"), F.col("unit").alias("of_a"), F.col("weight").alias("weight_a"))
+        right = classes.select(F.col("class").alias("b"), F.col("unit").alias("of_b"), F.col("weight").alias("weight_b"))
+        found = _candidates(classes.select("class", *names), rotations).join(left, "a").join(right, "b").where(_cosine("of_a", "of_b") >= cosine)
+    else:
+        found = _all_pairs(classes, cosine)
+    links, _ = written(found.select("a", "b", "weight_a", "weight_b"), "links")
+    return rows.select("vec_id", "digest"), classes.select("digest", "class", "weight"), links
+
+
+def _all_pairs(classes: DataFrame, cosine: float) -> DataFrame:
+    """``a, b, weight_a, weight_b``: all links, from comparing every two blocks of classes in a task of their own."""
+    blocks = max(1, -(-classes.count() // BLOCK))
+    dealt = classes.select("class", "weight", "unit", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    tasks = dealt.select("*", other).select("class", "weight", "unit", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        group = group.sort_values("class", ignore_index=True)
+        units = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
+        near, block = units @ units.T >= cosine, group["block"].to_numpy()
+        near &= np.triu(np.ones(near.shape, bool), 1)
+        if low != high:
+            near &= block[:, None] != block[None, :]
+        a, b = np.nonzero(near)
+        names, weights = group["class"].to_numpy(), group["weight"].to_numpy()
+        return pd.DataFrame({"a": names[a], "b": names[b], "weight_a": weights[a], "weight_b": weights[b]})
+
+    return tasks.groupBy("low", "high").applyInPandas(links, "a bigint, b bigint, weight_a bigint, weight_b bigint")
+
+
+def _candidates(classes: DataFrame, rotations: int) -> DataFrame:
     """``a, b``: pairs of classes that the tables find, each once."""
     parts = BITS // SUBSTRING
-    tables = ROTATIONS * parts
+    tables = rotations * parts
     mask = (1 << SUBSTRING) - 1
 
     def substring(side: str, t: int) -> str:
@@ -139,8 +218,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(SUBSTRING)])
     probes = index.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
     first = " AND ".join(f"(p.t <= {t} OR bit_count({substring('p.', t)} ^ {substring('i.', t)}) > 1)" for t in range(tables - 1))
-    near = " + ".join(f"bit_count(p.code{k} ^ i.code{k})" for k in range(ROTATIONS))
-    return probes.alias("p").join(index.alias("i"), F.expr(f"p.t = i.t AND p.key = i.key AND p.class < i.class AND {near} <= {FARTHEST} AND {first}")).select(
+    return probes.alias("p").join(index.alias("i"), F.expr(f"p.t = i.t AND p.key = i.key AND p.class < i.class AND {first}")).select(
         F.col("p.class").alias("a"), F.col("i.class").alias("b"))
 
 

@@ -141,3 +141,36 @@ def test_codes(width):
     assert found.shape == (500, 2)
     bits = np.unpackbits(found.view(np.uint8).reshape(500, -1), axis=1).mean(axis=0)
     assert abs(bits.mean() - 0.5) < 0.05
+
+
+@pytest.mark.parametrize("common", [0.0, 0.85, 0.9])
+def test_vectors_around_a_common_mean(spark, common):
+    """Links are found whatever the length of the mean is, in each length of vectors by itself."""
+    rng, rows = np.random.default_rng(11), []
+    for width in (64, 96):
+        mean = np.eye(width)[0] * common
+        for _ in range(250):
+            base = rng.normal(size=width) * ((1 - common**2) / width) ** 0.5 + mean
+            base /= np.linalg.norm(base)
+            for cosine in (1.0, rng.uniform(0.9, 0.93)):
+                across = rng.normal(size=width)
+                across -= (across @ base) * base
+                rows.append((len(rows), cosine * base + (1 - cosine**2) ** 0.5 * across / np.linalg.norm(across)))
+    want = 0
+    for width in (64, 96):
+        table = np.stack([v for _, v in rows if len(v) == width])
+        near = table @ table.T >= 0.9
+        want += near.sum() - len(table)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in embedding_dedup.near_vectors(frame).collect())
+    assert 0.94 * want <= got <= want + 2
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST_ROTATIONS", 0)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rows = vectors()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame).collect()}
+    assert got == {a: sum(a != b and unit[a] @ unit[b] >= 0.9 for b in unit) for a in unit}
