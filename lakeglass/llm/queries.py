@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeglass.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
+from lakeglass.llm import collocations, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
 from lakeglass.llm.settings import TARGETS, TOKENIZER
 from lakeglass.llm.shared import learns, rows_of, written
 from lakeglass.runtime import scratch_path
@@ -87,6 +87,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
-BUILDERS = {f.__name__: f for f in (op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score, op9_language_id, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+BUILDERS = {f.__name__: f for f in (
+    op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score,
+    op9_language_id, op10_mixing, op11_collocations)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
-                           "op5_url_filter": url_filter.ORACLE}
+                           "op5_url_filter": url_filter.ORACLE, "op11_collocations": collocations.ORACLE}
