@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeglass.llm import collocations, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, token_files, url_filter
+from lakeglass.llm import collocations, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, prefix_trie, quality, token_files, url_filter
 from lakeglass.llm.settings import TARGETS, TOKENIZER
 from lakeglass.llm.shared import learns, rows_of, written
 from lakeglass.runtime import scratch_path
@@ -91,8 +91,24 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def with_shared_openings(steps: DataFrame) -> DataFrame:
+    """Conversations that open alike: the first ``h`` turns of a conversation are those of the next smaller id divisible by five."""
+    lengths = steps.groupBy("conv_id").agg(F.max("depth").alias("n"))
+    plan = lengths.selectExpr("conv_id", "conv_id - conv_id % 5 AS base", "crc32(CAST(CAST(conv_id AS STRING) AS BINARY)) % 9 AS h")
+    plan = plan.join(lengths.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n")), "base", "left")
+    opening = steps.where("depth <= 8").withColumnRenamed("conv_id", "base").join(plan, "base").where("depth <= h").select(steps.columns)
+    rest = steps.join(plan, "conv_id").where("depth > h").withColumn("depth", F.expr("depth - h + least(h, coalesce(base_n, 0L))"))
+    return written(opening.union(rest.select(steps.columns)), "steps")[0]
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    steps = with_shared_openings(prefix_trie.numbered(conversations))
+    return prefix_trie.trie(steps, conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("bigint").alias("conv_id")))
+
+
 BUILDERS = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score,
-    op9_language_id, op10_mixing, op11_collocations)} | {"pipeline": corpus_pipeline.run}
+    op9_language_id, op10_mixing, op11_collocations, op13_conversation_trie)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
-                           "op5_url_filter": url_filter.ORACLE, "op11_collocations": collocations.ORACLE}
+                           "op5_url_filter": url_filter.ORACLE, "op11_collocations": collocations.ORACLE, "op13_conversation_trie": prefix_trie.ORACLE}

@@ -39,6 +39,28 @@ def rows_of(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed, column, "left_semi")
 
 
+#: A key with more than this part of all rows is hot.
+HOT_PART = 200
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per key, or nulls. ``rows`` must be a written table, since it is read several times.
+
+    Keys with more than a ``HOT_PART``-th of the rows are fewer than ``HOT_PART``, so the rows of ``table`` for them are broadcast; all
+    others are joined by shuffle. Rows with a null in their key match nothing and are not shuffled.
+    """
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    named = rows.where(whole)
+    hot = named.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * HOT_PART > rows.count()).select(*keys)
+    unnamed = rows.where(f"NOT ({whole})").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in keys])
+    if hot.isEmpty():
+        return named.join(table, keys, "left").select(unnamed.columns).union(unnamed)
+    hot = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)  # fewer than HOT_PART rows
+    wide = named.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, "left")
+    rest = named.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
+    return wide.select(unnamed.columns).union(rest.select(unnamed.columns)).union(unnamed)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that on texts of one byte a character."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
