@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeglass.llm import collocations, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, prefix_trie, quality, token_files, url_filter
+from lakeglass.llm import collocations, decontaminate, embedding_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, pii, prefix_trie, quality, token_files, url_filter
 from lakeglass.llm.settings import TARGETS, TOKENIZER
 from lakeglass.llm.shared import learns, rows_of, written
 from lakeglass.runtime import scratch_path
@@ -91,6 +91,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(documents, pii.fit(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def with_shared_openings(steps: DataFrame) -> DataFrame:
     """Conversations that open alike: the first ``h`` turns of a conversation are those of the next smaller id divisible by five."""
     lengths = steps.groupBy("conv_id").agg(F.max("depth").alias("n"))
@@ -109,6 +115,6 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUILDERS = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_line_dedup, op3_minhash_near_dedup, op4_decontamination, op5_url_filter, op6_token_files, op7_quality, op8_lm_score,
-    op9_language_id, op10_mixing, op11_collocations, op13_conversation_trie)} | {"pipeline": corpus_pipeline.run}
+    op9_language_id, op10_mixing, op11_collocations, op12_pii, op13_conversation_trie)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
                            "op5_url_filter": url_filter.ORACLE, "op11_collocations": collocations.ORACLE, "op13_conversation_trie": prefix_trie.ORACLE}
