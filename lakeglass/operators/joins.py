@@ -52,16 +52,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-#: Doublings of the step at which spans are listed; longer ones are listed with the last.
+#: Doublings of the step at which spans are listed; longer ones go by the ranks of their ends.
 LEVELS = 40
+#: Neighbouring points of a block, and blocks of a run of blocks, when spans are matched by ranks.
+BLOCK, RUN = 64, 4096
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, step: float) -> DataFrame:
     """Pairs where ``start <= at < end``, found by an equality join on cells of the number line.
 
     A span is listed at the level whose cells, ``step`` times a power of two, are at least as long as it, so it touches
-    two cells at most. Spans beyond the last level, such as those with an infinite end, are listed in one cell that every point has. A
-    point has one cell per level that any span uses, and no pair comes twice. NULLs and NaN match nothing.
+    two cells at most. A point has one cell per level that any span uses, and no pair comes twice. Spans beyond the last
+    level, such as those with an infinite end, are matched by ranks instead, as in ``span_overlap_join``, so no cell holds all
+    points. NULLs and NaN match nothing.
     """
     plain_points, point_fields = by_ordinal(points)
     plain_spans, span_fields = by_ordinal(spans)
@@ -70,22 +73,87 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     spans_of = plain_spans.toDF(*[f"s{c}" for c in plain_spans.columns])
     lo, hi = f"s{lo}", f"s{hi}"
     level = f"CAST(greatest(0, ceil(log2(greatest(CAST({hi} - {lo} AS DOUBLE), {step}D) / {step}D))) AS INT)"
-    listed = runtime.query(
-        f"""
-        SELECT *, explode(IF(level > {LEVELS}, array(0L), array_distinct(array(
-                      CAST(floor({lo} / ({step}D * pow(2, level))) AS BIGINT), CAST(floor({hi} / ({step}D * pow(2, level))) AS BIGINT))))) AS cell
-        FROM (SELECT *, IF(abs(CAST({lo} AS DOUBLE)) < {INFINITY} AND abs(CAST({hi} AS DOUBLE)) < {INFINITY}, least({level}, {LEVELS + 1}), {LEVELS + 1}) AS level
-              FROM {{s}} WHERE {lo} < {hi} AND NOT isnan(CAST({hi} AS DOUBLE)))""",
+    sized = runtime.query(
+        f"""SELECT *, IF(abs(CAST({lo} AS DOUBLE)) < {INFINITY} AND abs(CAST({hi} AS DOUBLE)) < {INFINITY}, least({level}, {LEVELS + 1}), {LEVELS + 1}) AS level
+            FROM {{s}} WHERE {lo} < {hi} AND NOT isnan(CAST({hi} AS DOUBLE))""",
         s=spans_of,
     )
-    used = listed.select("level").distinct()
+    used = sorted(r.level for r in sized.select("level").distinct().collect())  # LEVELS + 2 numbers at most
+    listed = runtime.query(
+        f"""SELECT *, explode(array_distinct(array(CAST(floor({lo} / ({step}D * pow(2, level))) AS BIGINT), CAST(floor({hi} / ({step}D * pow(2, level))) AS BIGINT)))) AS cell
+            FROM {{s}} WHERE level <= {LEVELS}""",
+        s=sized,
+    )
+    levels = ", ".join(str(n) for n in used if n <= LEVELS)
+    known = f"{x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE))"
     found = runtime.query(
         f"""
         SELECT p.* EXCEPT (level, cell), s.* EXCEPT (level, cell)
-        FROM (SELECT /*+ BROADCAST(u) */ p.*, u.level, IF(u.level > {LEVELS}, 0L, CAST(floor({x} / ({step}D * pow(2, u.level))) AS BIGINT)) AS cell
-              FROM (SELECT *, explode(sequence(0, {LEVELS + 1})) AS l FROM {{p}} WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE))) AS p
-              JOIN {{u}} AS u ON u.level = p.l) AS p
+        FROM (SELECT *, CAST(floor({x} / ({step}D * pow(2, level))) AS BIGINT) AS cell
+              FROM (SELECT *, explode(CAST(array({levels}) AS ARRAY<INT>)) AS level FROM {{p}} WHERE {known}) AS p) AS p
         JOIN {{s}} AS s ON p.level = s.level AND p.cell = s.cell AND p.{x} >= s.{lo} AND p.{x} < s.{hi}""",
-        p=plain_points, s=listed, u=used,
-    ).drop("l")
+        p=plain_points, s=listed,
+    )
+    if LEVELS + 1 in used:
+        far = sized.where(f"level > {LEVELS}").drop("level")
+        found = found.union(_ranked_join(plain_points.where(known), far, x, lo, hi, False))
     return found.toDF(*points.columns, *spans.columns)
+
+
+def _ranked_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, beyond_start: bool) -> DataFrame:
+    """Pairs where ``lo <= at < hi``, or ``lo < at < hi`` if ``beyond_start``; no column may be NULL or NaN, no name may be on both sides.
+
+    Points and both ends of all spans are sorted together into slices, and counting the points gives each end its rank. A
+    span then matches the points of a range of ranks: all points of the blocks in between, and those of the outermost two
+    that lie in the range. So the rows before the join are bounded by the result, whatever the spans look like,
+    and blocks all have the same number of points.
+    """
+    own = ", ".join(f"`{c}`" for c in points.columns)
+    theirs = ", ".join(f"`{c}`" for c in spans.columns)
+    whole = f"CAST(NULL AS {points.selectExpr(f'struct({own}) AS p').schema['p'].dataType.simpleString()})"
+    # Of rows at one place, ends come first, then starts, then points; starts that exclude their own place come last.
+    events = runtime.query(
+        f"""SELECT {at} AS place, 2 AS turn, struct({own}) AS p, NULL AS s, NULL AS id FROM {{p}}
+            UNION ALL
+            SELECT end.place, end.turn, {whole}, IF(end.turn = 0, NULL, s), id FROM (
+                SELECT explode(array(struct({lo} AS place, {3 if beyond_start else 1} AS turn), struct({hi} AS place, 0 AS turn))) AS end, struct({theirs}) AS s, id
+                FROM (SELECT *, monotonically_increasing_id() AS id FROM {{s}}))""",
+        p=points, s=spans,
+    )
+    placed = sorted_slices(events, ["place", "turn"])
+    ranked = runtime.query(
+        """
+        WITH sizes AS (SELECT slice, coalesce(sum(n) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before
+                       FROM (SELECT slice, count_if(turn = 2) AS n FROM {e} GROUP BY slice))
+        SELECT /*+ BROADCAST(z) */ p, s, id, turn, before + count_if(turn = 2) OVER (PARTITION BY e.slice ORDER BY position ROWS UNBOUNDED PRECEDING) AS rank
+        FROM {e} AS e JOIN sizes AS z ON e.slice = z.slice""",
+        e=placed,
+    )
+    return runtime.query(
+        f"""
+        WITH ranges AS (SELECT max(s) AS s, min(rank) FILTER (WHERE turn <> 0) AS a, min(rank) FILTER (WHERE turn = 0) AS b FROM {{spans}} WHERE turn <> 2 GROUP BY id),
+        runs AS (SELECT s, a, b, explode(sequence(a DIV {BLOCK * RUN}, (b - 1) DIV {BLOCK * RUN})) AS run FROM ranges WHERE a < b),
+        blocks AS (SELECT s, a, b, explode(sequence(greatest(run * {RUN}, a DIV {BLOCK}), least(run * {RUN} + {RUN - 1}, (b - 1) DIV {BLOCK}))) AS block FROM runs),
+        places AS (SELECT p, rank - 1 AS rank, (rank - 1) DIV {BLOCK} AS block FROM {{points}} WHERE turn = 2)
+        SELECT p.*, s.* FROM places JOIN blocks ON places.block = blocks.block AND rank >= a AND rank < b""",
+        spans=ranked, points=ranked,
+    )
+
+
+def span_overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, right_start: str | None = None, right_end: str | None = None) -> DataFrame:
+    """Pairs of spans that share a place: ``left.start < right.end AND right.start < left.end``; ends are exclusive.
+
+    Two spans overlap if one begins within the other, so this is two joins of starts with spans, which by the rank of the
+    ends need no key that long spans share and no step. Empty spans, and those with a NULL or NaN end, overlap nothing. Any
+    type that sorts will do; infinite ends are ends like others.
+    """
+    plain_left, left_fields = by_ordinal(left)
+    plain_right, right_fields = by_ordinal(right)
+    l, r = plain_left.toDF(*[f"l{c}" for c in plain_left.columns]), plain_right.toDF(*[f"r{c}" for c in plain_right.columns])
+    a, b = (next(f"l{f.ref}" for f in left_fields if f.name == n) for n in (start, end))
+    c, d = (next(f"r{f.ref}" for f in right_fields if f.name == n) for n in (right_start or start, right_end or end))
+    l, r = (side.where(f"{x} < {y}" + "".join(f" AND NOT isnan({e})" for e in (x, y) if dict(side.dtypes)[e] in ("double", "float")))
+            for side, x, y in ((l, a, b), (r, c, d)))
+    right_begins = _ranked_join(r, l, c, a, b, False).select(*l.columns, *r.columns)
+    left_begins = _ranked_join(l, r, a, c, d, True).select(*l.columns, *r.columns)
+    return right_begins.union(left_begins).toDF(*left.columns, *right.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.joins import asof_join, range_join
+from ..operators.joins import asof_join, range_join, span_overlap_join
 from ..operators.profile import profile
 from .registry import Tables, register
 from .sqlbox import SqlBox, result_facts
@@ -114,3 +114,15 @@ _SPANS = """SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_reta
     CASE WHEN p_partkey % 97 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN p_partkey % 89 = 0 THEN 1e9 WHEN p_partkey % 10 = 1 THEN p_retailprice * 100 + p_size END AS hi FROM {part}"""
 register("range_join", lambda t: range_join(t.orders.selectExpr("o_orderkey", "IF(o_orderkey % 7 = 0, NULL, o_totalprice) AS `total price`"), t.sql(_SPANS, "part"), "total price", "lo", "hi", 50.0),
     f"""SELECT o_orderkey, o_totalprice AS "total price", p_partkey, lo, hi FROM orders JOIN ({_SPANS.replace('{part}', 'part')}) ON o_totalprice >= lo AND o_totalprice < hi WHERE o_orderkey % 7 <> 0""")
+_HOLDINGS = """SELECT s_suppkey, CASE WHEN s_suppkey % 40 = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN s_suppkey % 41 <> 0 THEN 90000 + s_acctbal * 10 END AS "from",
+    CASE WHEN s_suppkey % 40 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 90000 + s_acctbal * 10 + s_suppkey % 7 * 100 END AS lo FROM supplier"""
+register("span_overlap_join", lambda t: span_overlap_join(t.sql(_SPANS, "part"), t.sql(_HOLDINGS.replace('"', "`").replace("FROM supplier", "FROM {supplier}"), "supplier").withColumnRenamed("lo", "to"),
+                                                          "lo", "hi", "from", "to"),
+    f"""SELECT p.*, s_suppkey, "from", s.lo AS "to" FROM ({_SPANS.replace('{part}', 'part')}) AS p JOIN ({_HOLDINGS}) AS s ON p.lo < s.lo AND "from" < hi WHERE p.lo < hi AND "from" < s.lo""")
+register("span_overlap_join_of_times", lambda t: span_overlap_join(
+    t.sql("SELECT user_id, event_type, min(ts) AS began, max(ts) AS ended FROM {events} GROUP BY user_id, event_type", "events"),
+    t.sql("SELECT date_trunc('DAY', o_orderdate) AS day, date_trunc('DAY', o_orderdate) + INTERVAL '1' DAY AS next_day, count(*) AS n FROM {orders} WHERE o_orderdate >= '1997-01-01' GROUP BY 1, 2", "orders")
+     .selectExpr("day + make_interval(27) AS day", "next_day + make_interval(27) AS next_day", "n"), "began", "ended", "day", "next_day"),
+    """SELECT * FROM (SELECT user_id, event_type, min(ts) AS began, max(ts) AS ended FROM events GROUP BY user_id, event_type)
+       JOIN (SELECT date_trunc('day', o_orderdate) + INTERVAL 27 YEAR AS day, date_trunc('day', o_orderdate) + INTERVAL 1 DAY + INTERVAL 27 YEAR AS next_day, count(*) AS n
+             FROM orders WHERE o_orderdate >= '1997-01-01' GROUP BY 1, 2) ON began < next_day AND day < ended WHERE began < ended""")
