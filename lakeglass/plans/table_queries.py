@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import runtime
-from ..operators import catalog, dbt, filters, ranges, snapshots, table
+from ..functions import kinds
+from ..operators import catalog, dbt, filters, ranges, snapshots, states, table
 from ..operators.profile import by_ordinal, profile
 from ..operators.ranges import Range
 from ..sources import csv, files, tsv
 from ..streaming import refresh
-from .profile_queries import columns_of
+from .profile_queries import columns_of, profile_sql
 from .registry import Tables, duck_text, register
 
 
@@ -289,3 +290,55 @@ _THIRDS = "SELECT *, least(2, CAST(floor(3 * (epoch_us(ts) - lo) / (hi - lo)) AS
 register("stream_reprofiled", _followed, " UNION ALL ".join(
     f"SELECT {n} AS batch, {i} AS ordinal, '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS \"distinct\" FROM ({_THIRDS}) WHERE event_type = 'click' AND third <= {n}"
     for n in range(3) for i, c in enumerate(["event_id", "user_id", "ts", "event_type", "value"])))
+
+
+def _state_facts(merged: DataFrame, whole: DataFrame) -> DataFrame:
+    """A profile from states, its estimates compared with the exact profile of the whole table."""
+    exact = profile(whole).selectExpr("ordinal", "`distinct` AS d", "histogram AS h")
+    off = "aggregate(zip_with(histogram.counts, h.counts, (a, b) -> abs(a - b)), 0L, (s, x) -> greatest(s, x))"
+    return merged.join(exact, "ordinal").selectExpr(
+        "ordinal", "column", "kind", "rows", "nulls", "min", "max", "round(mean, 4) AS mean", "abs(`distinct` - d) <= 0.07 * d + 1 AS distinct_is_close",
+        f"coalesce({off} <= 0.04 * rows + 1, h IS NULL AND histogram IS NULL) AS histogram_is_close")
+
+
+def _merged_states(t: Tables):
+    """States of the parts by line number, each made of its own rows, then merged."""
+    lineitem = t.lineitem
+    kept = runtime.materialize(states.states_of(lineitem, "l_linenumber"), "states")
+    return _state_facts(states.profile_of(states.merge_states(kept, lineitem.schema), lineitem.schema), lineitem)
+
+
+def _state_sql(source: str, columns: list[tuple[str, str]]) -> str:
+    return f"SELECT ordinal, \"column\", kind, rows, nulls, min, max, mean, true AS distinct_is_close, true AS histogram_is_close FROM ({profile_sql(source, columns)})"
+
+
+register("profile_states_merged", _merged_states, _state_sql("lineitem", columns_of("lineitem")))
+
+
+def _followed_states(t: Tables):
+    """The last of the profiles that a stream of the events leaves, batch by batch."""
+    seen = []
+    path = runtime.scratch_path(t.spark, "follow")
+    refresh.follow_states(_closed_stream(t), path, {"event_type": "!=error"}, lambda n, so_far, p: seen.append((so_far, p))).awaitTermination()
+    return _state_facts(seen[-1][1], seen[-1][0])
+
+
+_STATE_COLUMNS = [("event_id", "bigint"), ("user_id", "bigint"), ("ts", "ntz"), ("event_type", "string"), ("value", "double")]
+register("stream_reprofiled_by_states", _followed_states, _state_sql(
+    """(SELECT event_id, user_id, ts, event_type, value FROM events WHERE event_type <> 'error' UNION ALL SELECT NULL, NULL, max(ts) + INTERVAL 2 DAY, NULL, NULL FROM events)""", _STATE_COLUMNS))
+
+
+def _quartile_ranks(t: Tables):
+    """How far each quartile stands from its rank, over all rows: the share of values below it, and up to it."""
+    lineitem = t.lineitem
+    found = states.quartiles_of(states.states_of(lineitem), lineitem.schema)
+    names = [f.name for f in lineitem.schema if kinds.is_numeric(f.dataType)]
+    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in names)
+    cells = lineitem.selectExpr(f"stack({len(names)}, {pairs}) AS (column, x)")
+    ranks = cells.join(F.broadcast(found), "column").groupBy("column").agg(*[
+        F.avg(F.expr(f"IF(x {sign} q{n}, 1D, 0D)")).alias(f"{name}{n}") for n in (25, 50, 75) for name, sign in (("under", "<"), ("upto", "<="))])
+    return ranks.selectExpr("column", *[f"under{n} - 0.02 <= {n} / 100 AND {n} / 100 <= upto{n} + 0.02 AS q{n}_in_bounds" for n in (25, 50, 75)])
+
+
+register("quartiles_from_states", _quartile_ranks, " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", true AS q25_in_bounds, true AS q50_in_bounds, true AS q75_in_bounds" for c, k in columns_of("lineitem") if k in ("bigint", "int", "double")))

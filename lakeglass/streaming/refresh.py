@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import runtime
 from ..operators.filters import Boxes, filter_rows
 from ..operators.joins import quoted
 from ..operators.profile import profile
+from ..operators.states import StateStore, profile_of
 
 # Fixed value: the quiet time that ends a burst of changes.
 QUIET_SECONDS = 0.75
@@ -50,6 +52,36 @@ def follow(stream: DataFrame, folder: str, boxes: Boxes, on_refresh: Callable[[i
     )
 
 
+def follow_states(stream: DataFrame, folder: str, boxes: Boxes, on_refresh: Callable[[int, DataFrame, DataFrame], None], **trigger) -> StreamingQuery:
+    """As ``follow``, but a batch costs its own rows: its profile state is merged with that of the batches before it.
+
+    Distinct counts and histograms are then estimates, as ``operators.states`` says. ``on_refresh(batch_id, table, profile)`` gets the
+    table of all batches so far, which is read only if it is used.
+    """
+    spark, part = stream.sparkSession, "__batch"
+    matched = filter_rows(stream, boxes)
+    store = StateStore(spark, f"{folder}/states", matched.schema)
+    columns = T.StructType([*by_ordinal_schema(matched.schema), T.StructField(part, T.IntegerType())])
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/rows/{part}={batch_id}"
+        batch.toDF(*columns.names[:-1]).write.mode("overwrite").parquet(path)
+        own = spark.read.schema(T.StructType(columns.fields[:-1])).parquet(path).toDF(*matched.columns)
+        state = store.add(batch_id, own)
+        so_far = spark.read.schema(columns).parquet(f"{folder}/rows").where(F.col(part) <= batch_id).drop(part).toDF(*matched.columns)
+        on_refresh(batch_id, so_far, profile_of(state, matched.schema))
+
+    return (
+        matched.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def by_ordinal_schema(schema: T.StructType) -> list[T.StructField]:
+    """Fields by position, so that no name clashes with that of the batch."""
+    return [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)]
+
+
 def _slots(events: DataFrame, key: str, at: str, quiet_seconds: float) -> str:
     """SQL over ``{events}``: one row per key and slot of the quiet time, with its burst's start.
 
@@ -61,7 +93,7 @@ def _slots(events: DataFrame, key: str, at: str, quiet_seconds: float) -> str:
         SELECT k, slot, first_at, last_at, n, last_value(opening, true) OVER (PARTITION BY k ORDER BY slot) AS burst_start
         FROM (SELECT *, IF(first_at <= lag(last_at) OVER (PARTITION BY k ORDER BY slot) + {quiet}L, NULL, first_at) AS opening
               FROM (SELECT k, slot, min(micros) AS first_at, max(micros) AS last_at, count(*) AS n
-                    FROM (SELECT {quoted(key)} AS k, unix_micros({quoted(at)}) AS micros, unix_micros({quoted(at)}) DIV {quiet}L AS slot FROM {{events}} WHERE {quoted(at)} IS NOT NULL)
+                    FROM (SELECT {quoted(key)} AS k, unix_micros({quoted(at)}) AS micros, (unix_micros({quoted(at)}) - pmod(unix_micros({quoted(at)}), {quiet}L)) DIV {quiet}L AS slot FROM {{events}} WHERE {quoted(at)} IS NOT NULL)
                     GROUP BY k, slot))"""
 
 
