@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,28 +15,23 @@ DEFAULT_SCHEMA = "default"
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "sys")
 
 RELATION_COLUMNS = "schema string, name string, type string, approx_rows bigint"
-_ROW_STATISTIC = re.compile(r"(\d+) rows")
-
-
-def _approx_rows(spark: SparkSession, schema: str, name: str) -> int | None:
-    """Row count from stored statistics; no scan, and None where nothing is stored."""
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED `{schema}`.`{name}`").where("col_name = 'Statistics'").head()
-    found = _ROW_STATISTIC.search(described.data_type) if described else None
-    return int(found[1]) if found else None
+_STATISTICS = r"(?m)^Statistics: \d+ bytes, (\d+) rows$"
 
 
 def session_relations(spark: SparkSession) -> DataFrame:
-    """Tables and views of every schema of the session, from catalog metadata alone."""
-    rows = []
-    for database in spark.catalog.listDatabases():
-        if database.name in SYSTEM_SCHEMAS:
-            continue
-        for t in spark.catalog.listTables(database.name):
-            if t.isTemporary and database.name != DEFAULT_SCHEMA:
-                continue
-            view = t.tableType in ("VIEW", "TEMPORARY")
-            rows.append((database.name, t.name, "view" if view else "table", None if view else _approx_rows(spark, database.name, t.name)))
-    return spark.createDataFrame(rows, RELATION_COLUMNS)
+    """Tables and views of every schema of the session, from catalog metadata alone: one command per schema.
+
+    Row counts are those of stored statistics; no table is scanned, and a relation without statistics has none.
+    """
+    schemas = [r[0] for r in spark.sql("SHOW SCHEMAS").collect() if r[0] not in SYSTEM_SCHEMAS]
+    parts = []
+    for schema in schemas:
+        listed = spark.sql(f"SHOW TABLE EXTENDED IN `{schema.replace('`', '``')}` LIKE '*'")
+        temporary = "true" if schema == DEFAULT_SCHEMA else "NOT isTemporary"  # every schema lists them
+        parts.append(listed.where(temporary).selectExpr(
+            f"{literal(schema)} AS schema", "tableName AS name", r"IF(isTemporary OR information RLIKE r'(?m)^Type: VIEW$', 'view', 'table') AS type",
+            f"TRY_CAST(nullif(regexp_extract(information, r'{_STATISTICS}', 1), '') AS BIGINT) AS approx_rows"))
+    return reduce(DataFrame.union, parts)
 
 
 def relations(found: DataFrame, default_schema: str = DEFAULT_SCHEMA) -> DataFrame:

@@ -95,8 +95,8 @@ def _is_summarised(f: Field) -> bool:
     return kinds.kind_of(f.dtype) not in (kinds.OTHER, kinds.EMPTY)
 
 
-def _totals(df: DataFrame, fields: list[Field], exact: bool, ts_style: str) -> str:
-    """``ordinal, rows, nulls, estimate, min, max, mean, lo, hi`` from one ungrouped aggregate a scan: only partial results are shuffled."""
+def _totals(df: DataFrame, fields: list[Field], ts_style: str) -> str:
+    """``ordinal, rows, nulls, min, max, mean, lo, hi`` from one ungrouped aggregate a scan: only partial results are shuffled."""
     parts = []
     for group in scan_groups(fields):
         aggregates, rows = ["count(*) AS total"], []
@@ -112,12 +112,8 @@ def _totals(df: DataFrame, fields: list[Field], exact: bool, ts_style: str) -> s
             if kinds.is_numeric(f.dtype):
                 aggregates += [f"avg(CAST({number} AS DOUBLE)) AS m{i}"]
                 lo, hi, mean = f"CAST(a{i} AS DOUBLE)", f"CAST(z{i} AS DOUBLE)", finite(f"m{i}")
-            estimate = "CAST(NULL AS BIGINT)"
-            if not exact and _is_summarised(f):
-                aggregates.append(f"approx_count_distinct({f.ref}) AS d{i}")
-                estimate = f"d{i}"
-            rows.append(f"{i}, total, total - k{i}, {estimate}, {low}, {high}, {mean}, {lo}, {hi}")
-        parts.append(f"""SELECT stack({len(group)}, {', '.join(rows)}) AS (ordinal, rows, nulls, estimate, min, max, mean, lo, hi)
+            rows.append(f"{i}, total, total - k{i}, {low}, {high}, {mean}, {lo}, {hi}")
+        parts.append(f"""SELECT stack({len(group)}, {', '.join(rows)}) AS (ordinal, rows, nulls, min, max, mean, lo, hi)
                          FROM (SELECT {', '.join(aggregates)} FROM {{df}})""")
     return " UNION ALL ".join(parts)
 
@@ -144,6 +140,16 @@ def _distinct(fields: list[Field]) -> str:
     return f"SELECT ordinal, sum(d) AS d FROM ({' UNION ALL '.join(parts)}) GROUP BY ordinal" if parts else "SELECT 0 AS ordinal, 0L AS d WHERE false"
 
 
+def _estimates(fields: list[Field]) -> str:
+    """``ordinal, d``: estimated distinct counts. The sketches have an aggregate of their own: next to the totals it would be too wide to compile."""
+    parts = []
+    for group in scan_groups([f for f in fields if _is_summarised(f)]):
+        stack = ", ".join(f"{f.ordinal}, d{f.ordinal}" for f in group)
+        aggregates = ", ".join(f"approx_count_distinct({f.ref}) AS d{f.ordinal}" for f in group)
+        parts.append(f"SELECT stack({len(group)}, {stack}) AS (ordinal, d) FROM (SELECT {aggregates} FROM {{df}})")
+    return " UNION ALL ".join(parts) or "SELECT 0 AS ordinal, 0L AS d WHERE false"
+
+
 def _numbers(fields: list[Field]) -> str:
     """Numeric cells as rows ``ordinal, n, x``."""
     parts = []
@@ -157,7 +163,7 @@ def profile(df: DataFrame, *, bins: int = hist.BINS, distinct: str = "exact", ts
     """Profile every column of ``df`` over all of its rows.
 
     One scan gives all totals and extremes, one more the histograms, whose layout follows from them. ``distinct`` is
-    ``"exact"``, which needs the values themselves, or ``"approx"``, which adds a sketch per column to the first scan.
+    ``"exact"``, which needs the values themselves, or ``"approx"``, which makes a sketch per column and shuffles no values.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
@@ -165,15 +171,14 @@ def profile(df: DataFrame, *, bins: int = hist.BINS, distinct: str = "exact", ts
     exact = distinct == "exact"
     integers = _ordinals(fields, lambda f: kinds.kind_of(f.dtype) == kinds.INTEGER)
     ranges = f"SELECT ordinal, {integers} AS is_integer, lo, hi FROM totals WHERE lo IS NOT NULL"
-    counts = f"distincts AS ({_distinct(fields)})," if exact else ""
     stats = runtime.query(
         f"""
-        WITH totals AS ({_totals(plain, fields, exact, ts_style)}), {counts}
+        WITH totals AS ({_totals(plain, fields, ts_style)}), distincts AS ({_distinct(fields) if exact else _estimates(fields)}),
         layout AS ({hist.layout_sql(ranges, bins)}),
         histograms AS ({hist.histograms_sql(f"({_numbers(fields)})", 'x', 'layout', bins)})
-        SELECT /*+ BROADCAST(histograms){', BROADCAST(distincts)' if exact else ''} */ ordinal, rows, nulls, {'coalesce(d, 0L)' if exact else 'estimate'} AS `distinct`,
+        SELECT /*+ BROADCAST(histograms), BROADCAST(distincts) */ ordinal, rows, nulls, coalesce(d, 0L) AS `distinct`,
                min, max, mean, histogram, CAST(NULL AS STRING) AS found_kind
-        FROM totals {'LEFT JOIN distincts USING (ordinal)' if exact else ''} LEFT JOIN histograms USING (ordinal)""",
+        FROM totals LEFT JOIN distincts USING (ordinal) LEFT JOIN histograms USING (ordinal)""",
         df=plain,
     )
     return _finish(describe_columns(df), stats)
@@ -186,7 +191,8 @@ def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
     """Profile of text columns, or of VARIANT columns when ``given_kind`` names a value's class.
 
     Whole texts are classified and turned into numbers and instants before anything is grouped. Grouped are spellings of numbers,
-    days and truth values, and digests of long texts. Extremes of texts come from an ungrouped aggregate of their own.
+    days and truth values, and digests of long texts. Extremes of texts come from an ungrouped aggregate of their own, which
+    need not classify anything: they are shown of columns that hold texts alone.
     """
     scans, text_parts = [], []
     plain, fields = by_ordinal(df)
@@ -196,19 +202,15 @@ def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
             texts = {f: (f"IF({given_kind(f.ref)} = 'other', NULL, CAST({f.ref} AS STRING))", given_kind(f.ref)) for f in group}
             rows = ", ".join(f"{f.ordinal}, {t}, {tag}" for f, (t, tag) in texts.items())
             cells = f"SELECT stack({n}, {rows}) AS (ordinal, s, shape) FROM {{df}}"
-            of_kind = {f: (t, f"{tag} = 'text'") for f, (t, tag) in texts.items()}
+            whole = {f: t for f, (t, _) in texts.items()}
         else:
             rows = ", ".join(f"{f.ordinal}, {display_text(f.ref, f.dtype)}" for f in group)
             cells = f"""SELECT ordinal, s, {inference.text_shape('s')} AS shape
                         FROM (SELECT ordinal, nullif({trim_blanks('raw')}, '') AS s FROM (SELECT stack({n}, {rows}) AS (ordinal, raw) FROM {{df}}))"""
-            of_kind = {}
-            for f in group:
-                t = f"nullif({trim_blanks(f't{f.ordinal}')}, '')"
-                impossible = f"({inference.text_shape(t)} = 'date' AND {inference.epoch_millis(t, inference.clock_of(t), inference.zone_of(t))} IS NULL)"
-                of_kind[f] = (t, f"({inference.text_shape(t)} = 'text' OR {impossible})")
+            whole = {f: f"nullif({trim_blanks(f't{f.ordinal}')}, '')" for f in group}
         scans.append(cells)
         source = "{df}" if given_kind else "(SELECT " + ", ".join(f"{display_text(f.ref, f.dtype)} AS t{f.ordinal}" for f in group) + " FROM {df})"
-        aggregates = ", ".join(f"min(IF({test}, {t}, NULL)) AS a{f.ordinal}, max(IF({test}, {t}, NULL)) AS z{f.ordinal}" for f, (t, test) in of_kind.items())
+        aggregates = ", ".join(f"min({t}) AS a{f.ordinal}, max({t}) AS z{f.ordinal}" for f, t in whole.items())
         pairs = ", ".join(f"{f.ordinal}, a{f.ordinal}, z{f.ordinal}" for f in group)
         text_parts.append(f"SELECT stack({n}, {pairs}) AS (ordinal, a, z) FROM (SELECT {aggregates} FROM {source})")
     # Each LATERAL VIEW evaluates its expressions once, where a plain projection would be copied

@@ -14,13 +14,18 @@ READ_COMMANDS = {
     "DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "DescribeNamespace", "DescribeFunction",
     "DescribeFunctionCommand", "DescribeRelationJsonCommand", "ExplainCommand", "SubqueryAlias",
 }
-# Plain words that write, set or load although they are no command node in the parsed plan.
-WRITE_NODES = {
-    "InsertIntoStatement", "InsertIntoDir", "UnresolvedExecuteImmediate", "ExecuteImmediate", "CompoundBody", "CacheTable",
-    "CacheTableAsSelect", "UncacheTable", "ScriptTransformation", "DeleteFromTable", "UpdateTable", "MergeIntoTable",
+# Plan nodes of queries, as Spark's parser makes them. Any other node is refused, known or not.
+READ_NODES = {
+    "Project", "Filter", "Aggregate", "UnresolvedHaving", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Sample", "Distinct", "Deduplicate",
+    "Join", "LateralJoin", "AsOfJoin", "Union", "Intersect", "Except", "Generate", "Pivot", "Unpivot", "Window", "WithWindowDefinition", "Expand",
+    "UnresolvedWith", "UnresolvedHint", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "PipeOperator", "RepartitionByExpression", "Repartition",
+    "OneRowRelation", "LocalRelation", "Range", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedTableValuedFunction", "RelationTimeTravel",
+    "PlanWithUnresolvedIdentifier", "UnresolvedTableOrView", "UnresolvedNamespace", "CurrentNamespace", "UnresolvedFunctionName", "UnresolvedIdentifier",
+    "ParameterizedQuery", "NameParameterizedQuery", "PosParameterizedQuery", "UnionLoop", "UnionLoopRef", "TransposeRelation", "UnresolvedTVFAliases", "UnresolvedTableValuedFunctionWithAlias",
 }
 # Functions that call arbitrary JVM code.
 REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
+REFUSED_CLASSES = {"CallMethodViaReflection", "TryReflect"}
 
 READS = "This box answers questions and changes nothing: it takes SELECT, WITH, FROM, VALUES, SHOW, DESCRIBE, SUMMARIZE, PIVOT and EXPLAIN."
 ANALYZE = "ANALYZE would execute what is explained; a plain EXPLAIN shows the plan alone."
@@ -67,9 +72,16 @@ def check_statement(spark: SparkSession, text: str) -> None:
     plan = parser.parsePlan(text)
     for node in _nodes(plan):
         name = node.getClass().getSimpleName().rstrip("$")
-        if name in WRITE_NODES or (_is_command(spark, node) and name not in READ_COMMANDS):
+        if name not in (READ_COMMANDS if _is_command(spark, node) else READ_COMMANDS | READ_NODES):
             raise RefusedQuery(refusal(name))
-    for name in _called_functions(plan):
+    _check_functions(_called_functions(plan))
+    if not _is_command(spark, plan):
+        # names can also come from IDENTIFIER(...), views and SQL functions: what they stand for is seen once they are resolved
+        _check_functions(_resolved_functions(spark._jsparkSession.sessionState().analyzer().execute(plan)))
+
+
+def _check_functions(names) -> None:
+    for name in names:
         if name in REFUSED_FUNCTIONS:
             raise RefusedQuery(f"{READS} Not taken: the function {name}.")
 
@@ -79,15 +91,29 @@ def _each(sequence):
         yield sequence.apply(i)
 
 
-def _called_functions(plan):
-    """The last part of the name of every function called anywhere in a parsed plan, in lower case."""
+def _expressions(plan):
+    """Every expression anywhere in a plan."""
     for node in _nodes(plan):
         waiting = list(_each(node.expressions()))
         while waiting:
             expression = waiting.pop()
             waiting += _each(expression.children())
-            if expression.getClass().getSimpleName() == "UnresolvedFunction":
-                yield expression.nameParts().last().lower()
+            yield expression
+
+
+def _called_functions(plan):
+    """The last part of the name of every function called anywhere in a parsed plan, in lower case."""
+    for expression in _expressions(plan):
+        if expression.getClass().getSimpleName() == "UnresolvedFunction":
+            yield expression.nameParts().last().lower()
+
+
+def _resolved_functions(plan):
+    """The names under which the functions of an analysed plan are known, in lower case."""
+    for expression in _expressions(plan):
+        yield expression.prettyName().lower()
+        if expression.getClass().getSimpleName() in REFUSED_CLASSES:
+            yield "reflect"
 
 
 _PIECE = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;|[^;'"`/-]+|.""", re.DOTALL)

@@ -66,6 +66,10 @@ guarded("patterns_and_dates", "SELECT event_id, regexp_extract(props, '([0-9]+)'
         "SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k, regexp_matches(props, '[13579]}$') AS odd, CAST(ts AS DATE) AS day, strftime(ts, '%Y-%m') AS month FROM events")
 guarded("last_statement_wins", "SELECT count(*) FROM orders; -- ;\nSELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
         "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+register("sql_tablesample_share", lambda t: _box(t).query(
+    """SELECT n, abs(s - 0.2D * n) <= 6 * sqrt(0.16D * n) AS share_is_right
+       FROM (SELECT count(*) AS s, (SELECT count(*) FROM lineitem) AS n FROM lineitem TABLESAMPLE (20 PERCENT) REPEATABLE (7))"""),
+    "SELECT count(*) AS n, true AS share_is_right FROM lineitem")
 register("sql_tablesample", lambda t: _box(t).query("SELECT * FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (7)"))
 
 

@@ -13,6 +13,7 @@ from ..functions import kinds
 from ..operators import catalog, dbt, filters, ranges, snapshots, states, table
 from ..operators.profile import by_ordinal, profile
 from ..operators.ranges import Range
+from ..operators.summarize import summarize
 from ..sources import csv, files, tsv
 from ..streaming import refresh
 from .profile_queries import columns_of, profile_sql
@@ -90,6 +91,29 @@ register("tsv_written_and_read", lambda t: (lambda p: (tsv.write_tsv(t.conversat
 # --- catalog -------------------------------------------------------------------------------------------
 _ID = "CASE WHEN schema = 'default' THEN name ELSE schema || '.' || name END"
 register("catalog_listing", lambda t: catalog.relations(_file_relations(t)), f"SELECT schema, name, type, approx_rows, {_ID} AS id FROM ({_FILE_RELATIONS})")
+
+
+def _session_catalog(t: Tables):
+    """Tables of two schemas of the session, with and without statistics, and a view; they are listed and dropped again."""
+    spark, schemas = t.spark, ("lakeglass_probe_a", "lakeglass_probe_b")
+    for schema in schemas:
+        spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
+        spark.sql(f"CREATE SCHEMA {schema}")
+    for schema, name in zip(schemas * 2, ("nation", "supplier", "region", "customer")):
+        getattr(t, name).write.saveAsTable(f"{schema}.{name}")
+        if name != "region":
+            spark.sql(f"ANALYZE TABLE {schema}.{name} COMPUTE STATISTICS")
+    spark.sql("CREATE VIEW lakeglass_probe_a.asia AS SELECT * FROM lakeglass_probe_a.region WHERE r_name = 'ASIA'")
+    found = runtime.materialize(catalog.relations(catalog.session_relations(spark)).where("startswith(schema, 'lakeglass_probe')"), "catalog")
+    for schema in schemas:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
+    return found
+
+
+register("catalog_of_session", _session_catalog, " UNION ALL ".join(
+    f"SELECT 'lakeglass_probe_{s}' AS schema, '{n}' AS name, '{k}' AS type, {'count(*)' if rows else 'NULL::BIGINT'} AS approx_rows, 'lakeglass_probe_{s}.{n}' AS id FROM {src}"
+    for s, n, k, rows, src in (("a", "nation", "table", 1, "nation"), ("b", "supplier", "table", 1, "supplier"), ("a", "region", "table", 0, "(SELECT 1)"),
+                               ("b", "customer", "table", 1, "customer"), ("a", "asia", "view", 0, "(SELECT 1)"))))
 register("catalog_search", lambda t: catalog.search(_file_relations(t), " ER "), f"SELECT schema, name, type, approx_rows, {_ID} AS id FROM ({_FILE_RELATIONS}) WHERE contains(lower({_ID}), 'er')")
 register("catalog_search_counts", lambda t: catalog.search_counts(t.sql("SELECT c_mktsegment AS schema, c_name AS name, 'table' AS type, c_custkey AS approx_rows FROM {customer}", "customer"), "#00000001"),
          "SELECT c_mktsegment AS schema, count(*) AS matches FROM customer WHERE contains(lower(c_mktsegment || '.' || c_name), '#00000001') GROUP BY 1")
@@ -328,17 +352,20 @@ register("stream_reprofiled_by_states", _followed_states, _state_sql(
     """(SELECT event_id, user_id, ts, event_type, value FROM events WHERE event_type <> 'error' UNION ALL SELECT NULL, NULL, max(ts) + INTERVAL 2 DAY, NULL, NULL FROM events)""", _STATE_COLUMNS))
 
 
-def _quartile_ranks(t: Tables):
-    """How far each quartile stands from its rank, over all rows: the share of values below it, and up to it."""
-    lineitem = t.lineitem
-    found = states.quartiles_of(states.states_of(lineitem), lineitem.schema)
-    names = [f.name for f in lineitem.schema if kinds.is_numeric(f.dataType)]
+def _quartile_ranks(df: DataFrame, found: DataFrame, slack: float):
+    """Whether each quartile of ``column, q25, q50, q75`` stands within ``slack`` of its rank, over all rows: between the shares of values below it and up to it."""
+    names = [f.name for f in df.schema if kinds.is_numeric(f.dataType)]
     pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in names)
-    cells = lineitem.selectExpr(f"stack({len(names)}, {pairs}) AS (column, x)")
+    cells = df.selectExpr(f"stack({len(names)}, {pairs}) AS (column, x)")
     ranks = cells.join(F.broadcast(found), "column").groupBy("column").agg(*[
         F.avg(F.expr(f"IF(x {sign} q{n}, 1D, 0D)")).alias(f"{name}{n}") for n in (25, 50, 75) for name, sign in (("under", "<"), ("upto", "<="))])
-    return ranks.selectExpr("column", *[f"under{n} - 0.02 <= {n} / 100 AND {n} / 100 <= upto{n} + 0.02 AS q{n}_in_bounds" for n in (25, 50, 75)])
+    return ranks.selectExpr("column", *[f"under{n} - {slack} <= {n} / 100 AND {n} / 100 <= upto{n} + {slack} AS q{n}_in_bounds" for n in (25, 50, 75)])
 
 
-register("quartiles_from_states", _quartile_ranks, " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", true AS q25_in_bounds, true AS q50_in_bounds, true AS q75_in_bounds" for c, k in columns_of("lineitem") if k in ("bigint", "int", "double")))
+_IN_BOUNDS = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", true AS q25_in_bounds, true AS q50_in_bounds, true AS q75_in_bounds" for c, k in columns_of("lineitem") if k in ("bigint", "int", "double"))
+register("quartiles_from_states", lambda t: _quartile_ranks(t.lineitem, states.quartiles_of(states.states_of(t.lineitem), t.lineitem.schema), 0.02), _IN_BOUNDS)
+register("summarize_quartile_ranks", lambda t: _quartile_ranks(t.lineitem, summarize(t.lineitem).where("q50 IS NOT NULL").selectExpr("column_name AS column", "q25", "q50", "q75"), 0.001), _IN_BOUNDS)
+register("summarize_distinct_counts", lambda t: summarize(t.lineitem).join(profile(t.lineitem).selectExpr("column AS column_name", "`distinct` AS exact"), "column_name").selectExpr(
+    "column_name", "`count`", "exact", "abs(approx_unique - exact) <= 0.15 * exact + 1 AS estimate_is_close"),
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS \"count\", count(DISTINCT {c}) AS exact, true AS estimate_is_close FROM lineitem" for c, _ in columns_of("lineitem")))

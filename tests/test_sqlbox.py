@@ -43,6 +43,22 @@ def test_calls_of_foreign_code_are_refused(box, call):
         assert error and "Not taken: the function" in error, (sql, error)
 
 
+def test_functions_named_another_way_are_refused(box, spark):
+    """By IDENTIFIER, by a view, by a SQL function: what a name stands for counts."""
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW box_foreign AS SELECT reflect('java.lang.System', 'nanoTime') AS a")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION box_foreign() RETURNS STRING RETURN java_method('java.lang.System', 'nanoTime')")
+    for sql in ("SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime') AS a", "WITH w AS (SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'nanoTime') AS x) SELECT x FROM w",
+                "SELECT a FROM box_foreign", "SELECT (SELECT max(a) FROM box_foreign) AS a", "SELECT box_foreign() AS a", "SUMMARIZE SELECT IDENTIFIER('java_method')('java.lang.System', 'nanoTime') AS a"):
+        error = box.run(sql, 10).error
+        assert error and "Not taken: the function" in error, (sql, error)
+    assert box.run("SELECT IDENTIFIER('abs')(IDENTIFIER('id')) AS a FROM IDENTIFIER('box_orders')", 10).error is None
+
+
+@pytest.mark.parametrize("sql", ["CALL x()", "CALL system.procedure(1)", "MERGE INTO box_orders USING box_orders AS b ON true WHEN MATCHED THEN DELETE", "DECLARE never INT", "SET VAR never = 1"])
+def test_what_is_not_listed_is_refused(box, sql):
+    assert "Not taken" in box.run(sql, 10).error
+
+
 def test_explaining_by_running_is_refused(box):
     for sql in ("EXPLAIN ANALYZE SELECT 1", "explain /* x */ analyse select 1", "EXPLAIN (ANALYZE) SELECT 1"):
         assert "ANALYZE" in box.run(sql, 10).error
