@@ -2,7 +2,7 @@
 
 1. Codes are learned on a bounded sample of at most ``SAMPLE`` distinct vectors (those of the least hashes): principal axes, then rotations that
    bring the coordinates close to their signs, each from its own start and with ``BITS`` bits a vector.
-2. Equal vectors form a class, which its smallest id stands for and which counts with its number of vectors.
+2. Equal vectors form a class, which has a number of its own and counts with its number of vectors.
 3. The code is cut into substrings of ``SUBSTRING`` bits, one table each. Every class looks up its own substring and
    all that differ in one bit. A pair counts only in the first table that finds it, so each candidate comes out of the join once.
 4. Candidates are compared by cosine of the original vectors in double precision.
@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeglass.llm.components import components
-from lakeglass.llm.shared import written
+from lakeglass.llm.shared import looked_up, written
 
 BITS = 64
 ROTATIONS = 2
 SUBSTRING = 16
 SAMPLE = 20_000
 STEPS = 50
+#: Numbers that the classes of one length may have: those of 32,768 tasks. As many lengths fit into a long.
+CLASSES = 1 << 48
 COSINE = 0.9
 #: The share of pairs just at the cosine that the tables have to find.
 RECALL = 0.95
@@ -130,7 +132,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     named = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     can = _usable()
     lengths = [r["n"] for r in named.where(can).select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
-    parts = [_of_one_length(named.where(can & (F.size("embedding") == n)), cosine) for n in lengths]
+    parts = [_of_one_length(named.where(can & (F.size("embedding") == n)), cosine, k) for k, n in enumerate(lengths)]
     rest = named.where(~can | F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not parts:
         return _with_kept(rest)
@@ -138,10 +140,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     counts = links.select(F.col("a").alias("class"), F.col("weight_b").alias("n")).union(links.select("b", "weight_a")).groupBy("class").agg(F.sum("n").alias("n"))
     degree = classes.join(counts, "class", "left").select("digest", "class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     placed, _ = written(rows.select("vec_id", "digest").join(degree, "digest").select("vec_id", "class", "n_links"), "degrees")
-    own = placed.where("vec_id <> class").select("vec_id", "class").distinct()
+    # rows of one id may have several vectors: their classes are linked by the id itself
+    several = placed.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last")
+    own = placed.join(several, "vec_id").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
     found = components(links.select("a", "b").union(own))
-    named_found = found.join(found.where("node >= 0").groupBy("component").agg(F.min("node").alias("least")), "component").select(F.col("node").alias("class"), "least")
-    linked = placed.join(named_found, "class", "left").select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
+    members, _ = written(classes.select("class", "least_id").join(found.withColumnRenamed("node", "class"), "class", "left")
+                         .select("class", "least_id", F.coalesce("component", "class").alias("component")), "members")
+    least = members.groupBy("component").agg(F.min("least_id").alias("least"))
+    named_classes, _ = written(looked_up(members.select("class", "component"), least, ["component"]).select("class", "least"), "named")
+    linked = looked_up(placed, named_classes, ["class"]).select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
     return _with_kept(linked.union(rest))
 
 
@@ -150,8 +157,8 @@ def _with_kept(rows: DataFrame) -> DataFrame:
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _of_one_length(usable: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``vec_id, digest``; ``digest, class, weight``; and ``a, b, weight_a, weight_b``, the links of classes; of vectors of one length."""
+def _of_one_length(usable: DataFrame, cosine: float, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``vec_id, digest``; ``digest, class, weight, least_id``; and ``a, b, weight_a, weight_b``, the links of classes; of vectors of one length."""
     spark = usable.sparkSession
     chosen = usable.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toPandas()["embedding"]
     fitted = fitted_rotations(_units(chosen), cosine)
@@ -169,9 +176,9 @@ def _of_one_length(usable: DataFrame, cosine: float) -> tuple[DataFrame, DataFra
 
     fields = "".join(f", {c} bigint" for c in names)
     rows, _ = written(usable.mapInPandas(coded, f"vec_id bigint, digest binary, unit binary{fields}"), "codes")
-    # a class is named by its own number, since its rows may lack ids
+    # a class has a number of its own, since its rows may lack ids or share them with other classes
     classes, _ = written(rows.groupBy("digest").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id"), *[F.first(c).alias(c) for c in (*names, "unit")])
-                         .withColumn("class", F.coalesce("least_id", -F.abs(F.xxhash64("digest")) - 1)), "classes")
+                         .withColumn("class", F.monotonically_increasing_id() + F.lit(number * CLASSES)), "classes")
     if rotations:
         left = classes.select(F.col("class").alias("a"), F.col("unit").alias("of_a"), F.col("weight").alias("weight_a"))
         right = classes.select(F.col("class").alias("b"), F.col("unit").alias("of_b"), F.col("weight").alias("weight_b"))
@@ -179,7 +186,7 @@ def _of_one_length(usable: DataFrame, cosine: float) -> tuple[DataFrame, DataFra
     else:
         found = _all_pairs(classes, cosine)
     links, _ = written(found.select("a", "b", "weight_a", "weight_b"), "links")
-    return rows.select("vec_id", "digest"), classes.select("digest", "class", "weight"), links
+    return rows.select("vec_id", "digest"), classes.select("digest", "class", "weight", "least_id"), links
 
 
 def _all_pairs(classes: DataFrame, cosine: float) -> DataFrame:

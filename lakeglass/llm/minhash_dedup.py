@@ -6,7 +6,7 @@ five words; a shorter text is one run. Two documents are linked when ``100 * |A
 1. Every text becomes the digest of its set, the minima of ``BANDS * rows`` universal hashes, and a key per band.
    ``rows`` follows from the similarity: a pair at the threshold shares no key with a probability of ``MISSED`` at most,
    which is (1 - 0.85**7)**32 at 85 and (1 - 0.8**5)**32 at 80.
-2. Documents of one digest are one class; its smallest id stands for it from here on.
+2. Documents of one digest are one class; its smallest id stands for it from here on, or a number of its own if another class has that id too.
 3. Classes that share a band key are a bucket; buckets with the same members count once. All pairs of a bucket are
    compared within its task, first by their minima: members that agree with no other in enough of them (4.5 standard deviations below
    the threshold) leave the bucket before full sets are made for the rest. Then the sizes of intersections decide. A bucket answers with just enough links to connect
@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lakeglass.llm.components import components
 from lakeglass.llm.shared import BROADCAST_IDS, discard, written
@@ -228,18 +229,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sketches, sketches_path = written(texts.mapInPandas(lambda b: _sketches(b, rows), "doc_id bigint, n_shingles bigint, digest binary, minima binary, bands array<bigint>"), "sketches")
     named = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes, classes_path = written(named.groupBy("digest").agg(F.min(F.struct("doc_id", "minima", "bands")).alias("least"))
-                                    .selectExpr("digest", "least.*"), "classes")
+                                    .selectExpr("digest", "least.doc_id AS text_id", "least.minima", "least.bands"), "classes")
+    classes, names_path = written(_with_names(classes), "classes")
     links, scratch = _class_links(texts, classes, percent)
     # rows of one id may have several sets: their classes are linked by the id itself
     own = named.select("doc_id", "digest").join(classes.select("digest", F.col("doc_id").alias("class_id")), "digest").select("doc_id", "class_id")
     found = components(links.union(own))
     result, result_path = written(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "components")
-    discard(spark, classes_path, *scratch)
+    discard(spark, classes_path, names_path, *scratch)
     return (sketches.select("doc_id", "n_shingles").join(result, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _with_names(classes: DataFrame) -> DataFrame:
+    """``classes`` with a number of their own as ``doc_id``: the smallest id of their rows, ``text_id``, or, where several classes have that in common, a number above all ids."""
+    repeated = classes.groupBy("text_id").agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1")
+    if repeated.isEmpty():
+        return classes.withColumn("doc_id", F.col("text_id"))
+    above = classes.agg(F.max("text_id")).first()[0] + 1
+    others = classes.join(repeated, "text_id").where("digest <> first").select("digest").orderBy("digest")
+    numbered, _ = written(others.withColumn("number", F.monotonically_increasing_id()), "names")
+    return classes.join(numbered, "digest", "left").withColumn("doc_id", F.coalesce(F.col("number") + F.lit(above), "text_id")).drop("number")
+
+
 def _class_links(texts: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     """Confirmed links between classes, enough of them to connect all that are connected; and tables to delete later."""
     keys = classes.select("doc_id", F.explode("bands").alias("bucket"))
@@ -261,15 +274,16 @@ def _compared(tasks: DataFrame, texts: DataFrame, classes: DataFrame, scratch: l
     rows = tasks.join(classes.select("doc_id", "minima"), "doc_id").select("task", "side", "doc_id", "minima")
     fields = "task string, side int, doc_id bigint, minima binary"
     likely, path = written(rows.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, lambda r: _likely_members(r, percent)), fields), "likely")
-    needed = likely.select("doc_id").distinct()
-    side = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    made = texts.join(side, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").dropDuplicates(["doc_id", "shingles"])
-    # rows of one id may have several sets; the class has that of its minima
-    own = classes.select("doc_id", "digest").join(F.broadcast(needed) if side is not needed else needed, "doc_id", "left_semi")
-    sets, sets_path = written(made.join(own, "doc_id").where("unhex(md5(shingles)) = digest").drop("digest"), "sets")
+    # a text belongs to the class whose digest its set has, since rows of one id may have several sets
+    needed, needed_path = written(classes.select("doc_id", "text_id", "digest").join(likely.select("doc_id").distinct(), "doc_id", "left_semi"), "needed")
+    ids = needed.select(F.col("text_id").alias("doc_id")).distinct()
+    side = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    made = texts.join(side, "doc_id").mapInPandas(_sets, "doc_id bigint, shingles binary").withColumn("digest", F.unhex(F.md5("shingles")))
+    own = made.withColumnRenamed("doc_id", "text_id").join(needed, ["text_id", "digest"]).dropDuplicates(["doc_id"])
+    sets, sets_path = written(own.select("doc_id", "shingles"), "sets")
     full = likely.join(sets, "doc_id").select("task", "side", "doc_id", "minima", "shingles")
     links, links_path = written(full.repartition("task").sortWithinPartitions("task").mapInPandas(lambda b: _by_task(b, lambda r: _links_of(r, percent)), "a bigint, b bigint"), "links")
-    scratch += [path, sets_path, links_path]
+    scratch += [path, needed_path, sets_path, links_path]
     return links
 
 
@@ -300,12 +314,21 @@ def _large_links(large: DataFrame, texts: DataFrame, classes: DataFrame, scratch
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component those with its smallest id, one row per id. Rows without an id stay."""
+    """The rows of ``docs`` that stay: of every component one row of its smallest id, and all rows without an id.
+
+    Of several rows of that id the one with the smallest text stays, null first, then by a hash of the other columns.
+    """
     found = near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     rows, _ = written(found.select(F.col("doc_id").alias("_id"), "kept", "n"), "kept")
     listed = rows.where("kept").select("_id")
     side = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
     kept = docs.join(side, F.col(doc_id).cast("bigint") == F.col("_id"), "left_semi")
-    if rows.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
+    repeated = rows.where("kept AND n > 1").select("_id")
+    if not repeated.isEmpty():
+        plain = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])
+        key, body = (F.col(f"c{kept.columns.index(name)}") for name in (doc_id, text))
+        hashed = F.xxhash64(*[F.col(f"c{i}") for i, f in enumerate(kept.schema) if not isinstance(f.dataType, MapType)])
+        several = plain.join(repeated, key.cast("bigint") == F.col("_id"), "left_semi")
+        one = several.groupBy(key.alias("id")).agg(F.min_by(F.struct(*plain.columns), F.struct(body, hashed)).alias("row")).select("row.*")
+        kept = plain.join(repeated, key.cast("bigint") == F.col("_id"), "left_anti").union(one).toDF(*kept.columns)
     return kept.union(docs.where(F.col(doc_id).isNull()))

@@ -94,6 +94,31 @@ def test_minhash_of_odd_rows(spark):
     assert minhash_dedup.dedup(docs.where("doc_id = 7")).count() == 1
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    """Every text of an id keeps its links: copies of its second text are found too, in buckets of their own."""
+    rng, rows = random.Random(21), []
+    for k in range(40):
+        for own, near in ((0, 1000 + 2 * k), (1, 1001 + 2 * k)):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+            rows += [(k, " ".join(words)), (near, " ".join(words[:-1] + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {k: k for k in range(40)} | {1000 + i: i // 2 for i in range(80)}
+    stay = sorted(tuple(r) for r in minhash_dedup.dedup(docs).collect())
+    assert stay == sorted((k, min(t for i, t in rows if i == k)) for k in range(40))
+    assert stay == sorted(tuple(r) for r in minhash_dedup.dedup(docs.repartition(5)).collect())
+
+
+def test_vectors_of_negative_and_repeated_ids(spark):
+    """Components are named by the smallest id, whatever its sign; an id with two vectors links what is near either."""
+    v, w, x = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5], [0.0, -5.0, 1.0]
+    frame = spark.createDataFrame([(-5, v), (3, [1.0, 2.0, 3.001]), (-7, w), (-8, w), (None, [3.0, -1.0, 0.501]), (20, v), (20, x), (21, [0.0, -5.0, 1.001]), (9, [1.0] * 4), (-9, [1.0, 1.0, 1.0, 1.001])],
+                                  "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(frame).collect()), key=repr)
+    assert got == sorted([(-5, 2, -5, True), (3, 2, -5, False), (20, 2, -5, False), (20, 1, -5, False), (21, 1, -5, False), (-7, 2, -8, False), (-8, 2, -8, True), (None, 2, None, True),
+                          (9, 1, -9, False), (-9, 1, -9, True)], key=repr)
+
+
 def vectors():
     rng = np.random.default_rng(4)
     rows, n = [], 0
