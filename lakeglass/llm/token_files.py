@@ -15,6 +15,7 @@ written. A single text is never split over blocks.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -33,7 +34,8 @@ SINGLE = 14  # one id of up to 60 bits
 END_ID = 2
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
-CACHED_WORDS = 500_000
+#: Parts of texts whose ids a task keeps at a time, of either kind; some 30 MB.
+CACHED_WORDS = 150_000
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, start bigint, n_ids bigint, words binary, offsets array<bigint>"
 
 
@@ -140,6 +142,13 @@ _LETTERS = "a-zªµºß-öø-ž"
 _DIGITS = "0-9²³¹¼-¾"
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^ \t\n\r\x0b\x0c{_LETTERS}{_DIGITS}]+")
 _END = np.array([END_ID], "<u4").tobytes()
+# The steps of tokenizer files whose texts may be encoded word by word. Texts of any other file are encoded whole.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 class _Ids(dict):
@@ -159,17 +168,21 @@ class _Ids(dict):
 class WordEncoder:
     """Encodes texts through caches of their parts, whose size does not depend on the input.
 
-    The tokenizer splits at white space and normalises it away, so the ids of a text are those of its words in order.
-    Latin texts are cut into the tokenizer's own pieces, which go to its model at once; all others are cut at white space
-    only.
+    A tokenizer that splits at white space and normalises it away gives a text the ids of its words in order. Latin texts
+    are then cut into the tokenizer's own pieces, which go to its model at once; all others are cut at white space only.
+    With any other tokenizer texts are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_word = all(steps.get(k) == v for k, v in _BY_WORD.items()) and all(t["content"].startswith("<|") for t in steps["added_tokens"])
         self.pieces = _Ids(self._model_ids)
         self.words = _Ids(self._ids)
 
     def encode(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.array([*self._ids(text), END_ID], "<u4")
         if _is_latin(text):
             found = map(self.pieces.__getitem__, _PIECES.findall(text.lower()))
         else:
@@ -233,8 +246,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             yield _block(part, number, start, keys, arrays)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.withColumn("part", F.spark_partition_id()).mapInPandas(encode, FORMAT).write.parquet(path)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of ids are cut by the ids alone: one aggregate that reads no text, one number per task
+    cuts = docs.agg(F.percentile_approx(F.col(doc_id).cast("bigint"), [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(cuts))]).cast("array<bigint>")
+    place = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
+    placed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
+    ordered = placed.repartitionById(parts, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered.mapInPandas(encode, FORMAT).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

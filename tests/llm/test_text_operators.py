@@ -6,6 +6,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,14 @@ def test_pieces_give_the_ids_of_the_text(text):
     assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x17F), st.sampled_from(list(" \n'sdtÉ́<|>."))), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_other_tokenizers_encode_whole_texts(text):
+    encoder = token_files._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encoder.by_word and token_files._encoder(TOKENIZER).by_word
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 50)
     docs = [(9, "The end"), (None, "first"), (3, None), (3, "x y"), (3, "x y"), (2, ""), (5, "word " * 50_000), (4, "<|endoftext|> É")]
