@@ -34,8 +34,8 @@ SINGLE = 14  # one id of up to 60 bits
 END_ID = 2
 BLOCK_IDS = 1 << 17
 STRIDE = 1024
-#: Parts of texts whose ids a task keeps at a time, of either kind; some 30 MB.
-CACHED_WORDS = 150_000
+#: Parts of texts whose ids a worker keeps at a time, of either kind; some 150 MB.
+CACHED_WORDS = 700_000
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, start bigint, n_ids bigint, words binary, offsets array<bigint>"
 
 
