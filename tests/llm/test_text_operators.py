@@ -180,7 +180,7 @@ def test_simple8b_size():
     assert token_files.unpack(part[token_files.STRIDE:]).tolist()[:50] == list(range(start, start + 50))
 
 
-@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x17F), st.characters(), st.sampled_from(list(" \n'sdtÉ́<|>."))), max_size=40))
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x17F), st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \n'sdtÉ́<|>."))), max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_the_ids_of_the_text(text):
     encoder = token_files._encoder(TOKENIZER)
