@@ -71,6 +71,16 @@ def test_infinite_spans_fall_into_no_single_key(spark):
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 
+def test_blocks_of_spans_are_not_broadcast(spark):
+    """Few spans cover very many blocks, which must not meet in the driver."""
+    points = spark.range(3000).selectExpr("id", "CAST(id % 700 AS DOUBLE) AS at")
+    ends = spark.range(5).selectExpr("id AS s", "CAST('-Infinity' AS DOUBLE) AS lo", "CAST('Infinity' AS DOUBLE) AS hi")
+    for joined, rows in ((joins.range_join(points, ends, "at", "lo", "hi", 1.0), 15000), (joins.span_overlap_join(ends, ends.toDF("t", "lo", "hi"), "lo", "hi"), 25)):
+        assert len(joined.collect()) == rows
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
+
+
 def test_points_in_spans_of_all_lengths(spark):
     rng = random.Random(8)
     points = [(i, float(rng.randrange(60))) for i in range(150)]
