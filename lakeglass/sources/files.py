@@ -26,9 +26,23 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> list[str]:
-    """Paths of the data files of a folder: names only, no contents."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return sorted(r.path for r in found.select("path").toLocalIterator())
+    """Paths of the tables of a folder, those of its partitions too: names only, no contents.
+
+    A table is a file, or a folder of files such as Spark writes; what is in such a folder is no table of its own.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    wanted, found, open_folders = hadoop.GlobFilter(pattern), [], [hadoop.Path(folder)]
+    while open_folders:
+        place = open_folders.pop()
+        for entry in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place):
+            path, name = entry.getPath(), entry.getPath().getName()
+            if name.startswith(".") or name.startswith("_") and "=" not in name:
+                continue
+            if wanted.accept(path):
+                found.append(path.toString())
+            elif entry.isDirectory() and "=" in name:
+                open_folders.append(path)
+    return sorted(found)
 
 
 def create_views(spark: SparkSession, paths: list[str]) -> dict[str, str]:

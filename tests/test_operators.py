@@ -230,6 +230,15 @@ def test_files_views_and_tsv(spark, tmp_path):
     assert list(views) == ["typed"] and spark.table("typed").dtypes == [("i", "int"), ("d", "double")]
 
 
+def test_folders_of_files_are_tables(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).repartition(2).write.parquet(str(tmp_path / "day=1" / "more.parquet"))
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "_hidden.parquet"))
+    (tmp_path / "other").mkdir()
+    listed = files.list_files(spark, str(tmp_path))
+    assert [(files.view_name(p), spark.read.parquet(p).count()) for p in listed] == [("more", 4), ("many", 3)]
+
+
 def test_summarize(spark):
     rows = {r.column_name: r for r in summarize(spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "c")], "n int, s string")).collect()}
     assert rows["n"].avg == 2.5 and rows["n"].q50 == 2.0 and math.isclose(rows["n"].std, 1.2909944487358056)
