@@ -17,7 +17,8 @@ def snapshot_deltas(log: DataFrame) -> DataFrame:
     """Each ``(relation, at, rows)`` snapshot with the one before it and the change as text.
 
     The log is sorted into balanced slices; only the last snapshot of each slice and relation
-    crosses slices, so a relation that fills the log is no single task.
+    crosses slices, so a relation that fills the log is no single task. Snapshots of a relation at one instant follow each
+    other by their rows, NULL first.
     """
     return runtime.query(
         f"""
@@ -27,7 +28,7 @@ def snapshot_deltas(log: DataFrame) -> DataFrame:
         SELECT relation, at, previous_rows, rows, rows - previous_rows AS delta, {delta_text('previous_rows', 'rows')} AS summary
         FROM (SELECT i.relation, i.at, i.rows, coalesce(i.earlier, o.before) AS previous_rows
               FROM inside AS i JOIN opening AS o ON o.slice = i.slice AND o.relation <=> i.relation)""",
-        placed=sorted_slices(log.select("relation", "at", "rows"), ["relation", "at"]),
+        placed=sorted_slices(log.select("relation", "at", "rows"), ["relation", "at", "rows"]),
     )
 
 

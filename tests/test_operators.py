@@ -239,6 +239,18 @@ def test_folders_of_files_are_tables(spark, tmp_path):
     assert [(files.view_name(p), spark.read.parquet(p).count()) for p in listed] == [("more", 4), ("many", 3)]
 
 
+def test_snapshots_at_one_instant_follow_their_rows(spark):
+    start = datetime(2024, 1, 1)
+    log = [("a" if i % 2 else None, start + timedelta(hours=i // 8), i * 7 % 11) for i in range(64)]
+    want = []
+    for name in ("a", None):
+        own = sorted((at, n) for relation, at, n in log if relation == name)
+        want += [(name, at, before, n) for (at, n), before in zip(own, [None, *[n for _, n in own]])]
+    for rows in (log, log[::-1], log[1::2] + log[::2]):
+        got = snapshots.snapshot_deltas(spark.createDataFrame(rows, "relation string, at timestamp, rows bigint")).collect()
+        assert sorted(((r.relation, r.at, r.previous_rows, r.rows) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_summarize(spark):
     rows = {r.column_name: r for r in summarize(spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "c")], "n int, s string")).collect()}
     assert rows["n"].avg == 2.5 and rows["n"].q50 == 2.0 and math.isclose(rows["n"].std, 1.2909944487358056)
