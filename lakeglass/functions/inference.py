@@ -84,13 +84,18 @@ def text_shape(s: str) -> str:
         ELSE 'text' END"""
 
 
-def variant_kind(v: str) -> str:
-    """Kind of one VARIANT value by how it is stored."""
-    return f"""CASE split_part(split_part(schema_of_variant({v}), '(', 1), '<', 1)
+def variant_class(v: str) -> str:
+    """Class of one VARIANT value by how it is stored, without its parts; NULL if there is no value."""
+    return f"IF({v} IS NULL, NULL, split_part(split_part(schema_of_variant({v}), '(', 1), '<', 1))"
+
+
+def variant_kind(c: str) -> str:
+    """Kind of a VARIANT value by its class."""
+    return f"""CASE {c}
         WHEN 'BIGINT' THEN 'integer'
         WHEN 'DECIMAL' THEN 'float' WHEN 'DOUBLE' THEN 'float' WHEN 'FLOAT' THEN 'float'
         WHEN 'STRING' THEN 'text'
         WHEN 'BOOLEAN' THEN 'boolean'
         WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'date' WHEN 'TIMESTAMP_NTZ' THEN 'date'
         WHEN 'VOID' THEN NULL
-        ELSE IF({v} IS NULL, NULL, 'other') END"""
+        ELSE IF({c} IS NULL, NULL, 'other') END"""

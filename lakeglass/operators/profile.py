@@ -187,8 +187,8 @@ def profile(df: DataFrame, *, bins: int = hist.BINS, distinct: str = "exact", ts
 # --- tables whose kinds come from the values -------------------------------------------------
 
 
-def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
-    """Profile of text columns, or of VARIANT columns when ``given_kind`` names a value's class.
+def _profile_tagged(df: DataFrame, bins: int, stored: bool = False) -> DataFrame:
+    """Profile of text columns, or of VARIANT columns if their kinds are those ``stored`` with the values.
 
     Whole texts are classified and turned into numbers and instants before anything is grouped. Grouped are spellings of numbers,
     days and truth values, and digests of long texts. Extremes of texts come from an ungrouped aggregate of their own, which
@@ -198,18 +198,24 @@ def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
     plain, fields = by_ordinal(df)
     for group in scan_groups(fields):
         n = len(group)
-        if given_kind:
-            texts = {f: (f"IF({given_kind(f.ref)} = 'other', NULL, CAST({f.ref} AS STRING))", given_kind(f.ref)) for f in group}
-            rows = ", ".join(f"{f.ordinal}, {t}, {tag}" for f, (t, tag) in texts.items())
-            cells = f"SELECT stack({n}, {rows}) AS (ordinal, s, shape) FROM {{df}}"
-            whole = {f: t for f, (t, _) in texts.items()}
+        if stored:
+            # The class of a value is found once; what it means is read from the class.
+            rows = ", ".join(f"{f.ordinal}, {f.ref}" for f in group)
+            cells = f"""SELECT ordinal, IF(shape = 'other', NULL, CAST(v AS STRING)) AS s, shape
+                        FROM (SELECT stack({n}, {rows}) AS (ordinal, v) FROM {{df}})
+                        LATERAL VIEW inline(array(struct({inference.variant_class('v')}))) AS class
+                        LATERAL VIEW inline(array(struct({inference.variant_kind('class')}))) AS shape"""
+            whole = {f: f"t{f.ordinal}" for f in group}
+            found = ", ".join(inference.variant_class(f.ref) for f in group)
+            shown = ", ".join(f"IF(k{f.ordinal} = 'STRING', CAST({f.ref} AS STRING), NULL) AS t{f.ordinal}" for f in group)
+            source = f"(SELECT {shown} FROM {{df}} LATERAL VIEW inline(array(struct({found}))) AS {', '.join(f'k{f.ordinal}' for f in group)})"
         else:
             rows = ", ".join(f"{f.ordinal}, {display_text(f.ref, f.dtype)}" for f in group)
             cells = f"""SELECT ordinal, s, {inference.text_shape('s')} AS shape
                         FROM (SELECT ordinal, nullif({trim_blanks('raw')}, '') AS s FROM (SELECT stack({n}, {rows}) AS (ordinal, raw) FROM {{df}}))"""
             whole = {f: f"nullif({trim_blanks(f't{f.ordinal}')}, '')" for f in group}
+            source = "(SELECT " + ", ".join(f"{display_text(f.ref, f.dtype)} AS t{f.ordinal}" for f in group) + " FROM {df})"
         scans.append(cells)
-        source = "{df}" if given_kind else "(SELECT " + ", ".join(f"{display_text(f.ref, f.dtype)} AS t{f.ordinal}" for f in group) + " FROM {df})"
         aggregates = ", ".join(f"min({t}) AS a{f.ordinal}, max({t}) AS z{f.ordinal}" for f, t in whole.items())
         pairs = ", ".join(f"{f.ordinal}, a{f.ordinal}, z{f.ordinal}" for f in group)
         text_parts.append(f"SELECT stack({n}, {pairs}) AS (ordinal, a, z) FROM (SELECT {aggregates} FROM {source})")
@@ -258,7 +264,7 @@ def _profile_tagged(df: DataFrame, bins: int, given_kind=None) -> DataFrame:
         GROUP BY v.ordinal"""
     texts = " UNION ALL ".join(text_parts)
     ranges = "SELECT ordinal, kind = 'integer' AS is_integer, lo, hi FROM resolved WHERE kind IN ('integer', 'float')"
-    low, high = (f"IF(kind = 'float', {double_text(x)}, {c})" if given_kind else c for c, x in (("low", "lo"), ("high", "hi")))
+    low, high = (f"IF(kind = 'float', {double_text(x)}, {c})" if stored else c for c, x in (("low", "lo"), ("high", "hi")))
     stats = runtime.query(
         f"""
         WITH cells AS ({values}), keys AS ({keys}), totals AS ({totals}), resolved AS ({resolved}),
@@ -289,7 +295,7 @@ def profile_text(df: DataFrame, *, bins: int = hist.BINS) -> DataFrame:
 
 def profile_variant(df: DataFrame, *, bins: int = hist.BINS) -> DataFrame:
     """Profile dynamically typed columns by how each VARIANT value is stored."""
-    return _profile_tagged(df, bins, inference.variant_kind)
+    return _profile_tagged(df, bins, stored=True)
 
 
 # --- from statistics to the profile ---------------------------------------------------------

@@ -169,3 +169,9 @@ def test_stage_count_does_not_grow_with_columns(spark):
     assert plan(4).count("Exchange") >= plan(30).count("Exchange") - 60
     wide = profile(spark.range(50).selectExpr(*[f"id % {i + 1} AS c{i}" for i in range(130)])).collect()
     assert [r.distinct for r in wide][:60] == [min(i + 1, 50) for i in range(60)]
+
+
+def test_classes_of_variants_are_found_once(spark):
+    df = spark.range(5).selectExpr("parse_json(CAST(id AS STRING)) AS a", "parse_json('\"x\"') AS b")
+    plan = profile_variant(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant") <= 3 * plan.count("stack(2, 0, c0") + 6
