@@ -67,6 +67,8 @@ _AS_LONG = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
     T.DateType, T.TimestampType, T.TimestampNTZType,
 )
+#: Doubles below this are told apart by their hundredths if they have no finer part.
+_HUNDREDTHS_BELOW = "1e13D"
 _NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -122,7 +124,8 @@ def _distinct(fields: list[Field]) -> str:
     """``ordinal, d``: exact counts. Values become rows of one scan a family, and are told apart on the map side before they are shuffled.
 
     Whole numbers, days and times travel as bitmaps: one word of 64 bits stands for 64 neighbouring values, so keys that are
-    dense take a small part of the rows they would take as values, and no column takes more rows than it has values.
+    dense take a small part of the rows they would take as values, and no column takes more rows than it has values. So do
+    doubles that are the nearest to a number of hundredths, such as prices; other doubles travel as values.
     """
     families: dict[str, list[Field]] = {}
     for f in filter(_is_summarised, fields):
@@ -135,6 +138,12 @@ def _distinct(fields: list[Field]) -> str:
             if family == "bigint":
                 words = f"SELECT ordinal, bit_or(shiftleft(1L, CAST(v & 63L AS INT))) AS bits FROM {cells} GROUP BY ordinal, shiftright(v, 6)"
                 parts.append(f"SELECT ordinal, sum(bit_count(bits)) AS d FROM ({words}) GROUP BY ordinal")
+            elif family == "double":
+                hundredths = f"SELECT ordinal, v, IF(abs(v) < {_HUNDREDTHS_BELOW}, CAST(rint(v * 100D) AS BIGINT), NULL) AS h FROM {cells}"
+                placed = f"SELECT ordinal, IF(h / 100D = v, NULL, v) AS v, IF(h / 100D = v, h, NULL) AS h FROM ({hundredths})"
+                words = f"""SELECT ordinal, bit_or(IF(h IS NULL, 1L, shiftleft(1L, CAST(h & 63L AS INT)))) AS bits
+                            FROM ({placed}) GROUP BY ordinal, shiftright(h, 6), v"""
+                parts.append(f"SELECT ordinal, sum(bit_count(bits)) AS d FROM ({words}) GROUP BY ordinal")
             else:
                 parts.append(f"SELECT ordinal, count(*) AS d FROM (SELECT ordinal, v FROM {cells} GROUP BY ordinal, v) GROUP BY ordinal")
     return f"SELECT ordinal, sum(d) AS d FROM ({' UNION ALL '.join(parts)}) GROUP BY ordinal" if parts else "SELECT 0 AS ordinal, 0L AS d WHERE false"

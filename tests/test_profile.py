@@ -171,6 +171,21 @@ def test_stage_count_does_not_grow_with_columns(spark):
     assert [r.distinct for r in wide][:60] == [min(i + 1, 50) for i in range(60)]
 
 
+def test_distinct_doubles_as_hundredths(spark):
+    """Prices are shuffled as words of 64 neighbours; nothing that differs is taken for the same."""
+    rng = random.Random(4)
+    odd = [0.0, -0.0, 0.1, 0.1 + 0.2, 0.3, -0.01, 1e13, 1e13 + 0.01, 9.99e12, 1e300, -1e300, 5e-324, math.nan, math.inf, -math.inf, 1 / 3, 0.125, None]
+    values = odd + [rng.randrange(-10**6, 10**6) / 100 for _ in range(500)] + [rng.uniform(-5, 5) for _ in range(200)] + [math.nextafter(i / 100, 9e9) for i in range(50)] + [i / 100 for i in range(50)]
+    df = spark.createDataFrame([(x, None if x is None else float(i % 7)) for i, x in enumerate(values)], "x double, y double")
+    got = by_name(profile(df))
+    assert got["x"].distinct == len({x for x in values if x is not None and not math.isnan(x)}) + 1 and got["y"].distinct == 7
+    prices = spark.range(20000).selectExpr("CAST(id % 6400 AS DOUBLE) / 100 AS price").coalesce(1)
+    counted = profile(prices)
+    assert by_name(counted)["price"].distinct == 6400
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in plan and "bit_count" in plan
+
+
 def test_classes_of_variants_are_found_once(spark):
     df = spark.range(5).selectExpr("parse_json(CAST(id AS STRING)) AS a", "parse_json('\"x\"') AS b")
     plan = profile_variant(df)._jdf.queryExecution().analyzed().toString()
