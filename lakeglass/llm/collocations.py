@@ -44,7 +44,7 @@ PER_GROUP = 2000
 #: The bitmap of a semi-join has 2**28 bits, that is 32 MB.
 BITS = 28
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 #: Parts into which a language is split before its phrases are ranked.
 SALTS = 64
 
