@@ -17,6 +17,8 @@ nothing; repeated rows count again. Columns named like the results are replaced;
 from __future__ import annotations
 
 import functools
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +34,8 @@ DIMENSIONS = 2048
 SYMBOLS = 48
 #: Bits of a letter in the number of a trigram with letters beyond a-z; such numbers are negative.
 LETTER_BITS = 21
-#: Texts, those of the least hashes, on which ``least_scores`` measures.
-MEASURED = 2_000
+#: Steps of a cosine of one in which ``least_scores`` counts.
+STEPS = 10_000
 QUANTILE, SHARE, NOISE = 0.01, 0.5, 3.0
 UNKNOWN = "und"
 
@@ -159,22 +161,26 @@ def _cosines(model: LanguageModel, numbers: np.ndarray) -> np.ndarray:
 
 
 def least_scores(labelled: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> np.ndarray:
-    """Scores below which a text of at least 1, 2, 4, ... trigrams is in no language of ``model``."""
+    """Scores below which a text of at least 1, 2, 4, ... trigrams is in no language of ``model``, measured on all learned texts.
+
+    Tasks send how many texts reach which step, so what is shuffled and sorted does not grow with the texts.
+    """
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reached: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            rows = []
             for numbers in map(trigrams, batch["text"]):
                 vector = np.zeros(DIMENSIONS)
                 for k in range(len(numbers).bit_length()):
                     vector += bundle(*np.unique(numbers[1 << k >> 1:1 << k], return_counts=True))
-                    rows.append((k, float((shared.value.prototypes @ vector).max() / max(float(np.linalg.norm(vector)), 1e-300))))
-            yield pd.DataFrame(rows, columns=["k", "score"])
+                    cosine = (shared.value.prototypes @ vector).max() / max(float(np.linalg.norm(vector)), 1e-300)
+                    reached[k, math.floor(cosine * STEPS)] += 1
+        yield pd.DataFrame([(k, step, n) for (k, step), n in reached.items()], columns=["k", "step", "n"])
 
-    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    some = known.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(MEASURED).select("text").repartition(32)
-    found = some.mapInPandas(cut, "k int, score double").groupBy("k").agg(F.percentile_approx("score", QUANTILE, 1000).alias("low")).orderBy("k").collect()
+    known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL").select("text")
+    steps = known.mapInPandas(cut, "k int, step int, n bigint").groupBy("k", "step").agg(F.sum("n").alias("n"))
+    found = steps.groupBy("k").agg((F.percentile("step", QUANTILE, F.col("n")) / STEPS).alias("low")).orderBy("k").collect()
     least = np.array([SHARE * r["low"] for r in found])
     return np.maximum(np.maximum.accumulate(least), NOISE / DIMENSIONS**0.5) if len(least) else np.array([NOISE / DIMENSIONS**0.5])
 

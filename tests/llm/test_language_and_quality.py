@@ -48,6 +48,20 @@ def test_language_held_out_accuracy(spark, table):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
 
 
+def test_least_scores_come_from_all_texts(spark):
+    """Two in a hundred texts are unlike the others, and no choice of some texts may miss them."""
+    plain = "the children went to the house"
+    other = [f"{a}{b}{a}q" for a in "xzjkvw" for b in "bcdfgh"]
+    # the odd text has a greater hash than the plain one, so an order by hash has it last
+    odd = spark.createDataFrame([(t, plain) for t in other], "t string, p string").where("xxhash64(t) > xxhash64(p)").first().t
+    docs = spark.createDataFrame([(plain, "en")] * 2940 + [(odd, "en")] * 60, "text string, lang string")
+    model = language_id.fit(docs.where(F.col("text") == plain))
+    least = language_id.least_scores(docs, model)
+    floor = language_id.NOISE / language_id.DIMENSIONS**0.5
+    assert (least[:3] == floor).all() and least[-1] > floor
+    assert language_id.least_scores(docs.where(F.col("text") == plain), model)[0] > floor
+
+
 def test_statistics():
     assert quality.statistics_of(None) == quality.statistics_of("") == [0.0] * len(quality.STATISTICS)
     found = dict(zip(quality.STATISTICS, quality.statistics_of("AB AB 1\nx.")))
