@@ -97,3 +97,13 @@ def test_texts_in_no_language_go(spark, table):
     kept = {s: sum(i in stay for i, _, x in rows if x == s) / sum(x == s for _, _, x in rows) for s in [*scripts, "short"]}
     assert kept["short"] == 1 and max(kept[s] for s in scripts) <= 0.02, kept
     assert sum(r.doc_id not in stay for r in clean.select("doc_id").collect()) == 0
+
+
+def test_stages_give_python_small_batches(spark):
+    for stage in STAGES.values():
+        own = spark.newSession()
+        docs = frame(own, [(i, f"some words of text {i} " * 200) for i in range(3000)]).coalesce(1)
+        stage(own, docs.limit(0), SF)
+        sizes = [r.n for r in docs.mapInPandas(lambda batches: (b[["text"]].sum().map(len).to_frame("n") for b in batches), "n long").collect()]
+        assert sum(sizes) == sum(len(f"some words of text {i} ") * 200 for i in range(3000))
+        assert max(sizes) <= 1.1 * corpus_pipeline.BATCH_BYTES
