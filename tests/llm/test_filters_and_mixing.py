@@ -1,5 +1,7 @@
 import datetime as dt
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +167,35 @@ def test_mixing_of_other_domains(spark):
     got = found.collect()
     assert domains == sorted(topics)
     assert sum(r.topic == domains[max(range(5), key=lambda k: r.posterior[k])] for r in got) > 0.95 * len(got)
+
+
+def test_words_of_every_sign(spark):
+    """Latin texts have a pattern of their own; words and tokens are those of the definition for every sign."""
+    alone = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]")
+
+    def by_hand(text):
+        words, word = [], ""
+        for sign in text:
+            inside = unicodedata.category(sign)[0] in "LMN"
+            word += sign if inside else ""
+            if not inside or alone.match(sign):
+                words, word = words + [word], ""
+        return [w for w in words + [word] if w]
+
+    later = "\u0301\u0142\u03b1\u0660\u2019\u2014\u2003\u3000\u3001\u0e01\u1000\u1780\u3042\u30fc\u4e00\U00020000\U0001f600"
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}" for c in range(256)] + [f"\u00e9{s}b 1{s}{s}2 {s}" for s in later] + ["", " ", " a", "a ", "\n\n", "don\u2019t \u4e2d\u6587x", "x" * 9 + " -- \u00bd"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i long, text string")
+    got = {r.i: r for r in frame.select("i", mixing._words(F.col("text")).alias("words"), mixing._tokens(F.col("text")).alias("tokens")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].words == by_hand(text), text
+        assert got[i].tokens == len(re.findall(r"[^ \t\n\x0b\f\r]+", text)), text
+    assert got[len(texts)].words is None and got[len(texts)].tokens == 0
+
+
+def test_latin_texts_take_the_fast_pattern(spark):
+    """No text goes through the pattern that looks behind each sign unless a sign asks for it, and tokens are counted without a match object each."""
+    frame = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate([("the then", "en"), ("ni\u00f1o", "es")] * 3)], "doc_id long, text string, domain string")
+    found, _ = mixing.with_posteriors(frame, frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+    assert re.search(r"CASE WHEN .*RLIKE.* THEN split\(", plan)
