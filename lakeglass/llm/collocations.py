@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm.shared import discard, written
+from lakeglass.llm.shared import batches_of, discard, written
 from lakeglass.runtime import query
 
 LEAST = 30
@@ -44,7 +44,9 @@ PER_GROUP = 2000
 #: The bitmap of a semi-join has 2**28 bits, that is 32 MB.
 BITS = 28
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
+#: Bytes of texts or chunks that Spark gives to Python at once. A task would else hold all of its texts or chunks, several times.
+BATCH_BYTES = 1 << 21
 #: Parts into which a language is split before its phrases are ranked.
 SALTS = 64
 
@@ -53,7 +55,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 _PLAIN = bytes(ord(",") if b in ENDS else ord(" ") if b in BLANKS else b for b in range(256))
 
-CHUNKS = "lang string, words array<binary>, hashes array<bigint>, n array<bigint>, codes array<int>"
+CHUNKS = "lang string, words array<binary>, hashes array<bigint>, n array<bigint>, codes binary"  # codes: 32-bit numbers, one after another
 
 
 def _hash(lang: bytes, word: bytes, seed: int) -> int:
@@ -72,8 +74,8 @@ def _chunk(lang: str, texts: list[bytes], hash_of: Callable[[bytes, bytes], int]
     code[b","] = 0
     codes = np.fromiter(map(code.__getitem__, tokens), np.int32, len(tokens))
     name = lang.encode()
-    row = [[lang], [list(counts)], [[hash_of(name, word) for word in counts]], [list(counts.values())], [codes]]
-    types = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    row = [[lang], [list(counts)], [[hash_of(name, word) for word in counts]], [list(counts.values())], [codes.tobytes()]]
+    types = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["lang", "words", "hashes", "n", "codes"])
 
 
@@ -160,11 +162,12 @@ def _pruned(relation: DataFrame, k: int, bits: np.ndarray, label: str) -> tuple[
     def semi_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hashes, codes in zip(batch.column(0), batch.column(1)):
-                kept = _stretches(codes.values.to_numpy(), hashes.values.to_numpy(), k, sent.value)
+                kept = _stretches(np.frombuffer(codes.as_buffer(), np.int32), hashes.values.to_numpy(), k, sent.value)
                 if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in (hashes.values, pa.array(kept, pa.int32()))], ["hashes", "codes"])
+                    own = pa.ListArray.from_arrays([0, len(hashes.values)], hashes.values)
+                    yield pa.RecordBatch.from_arrays([own, pa.array([kept.tobytes()], pa.binary())], ["hashes", "codes"])
 
-    return written(relation.mapInArrow(semi_join, "hashes array<bigint>, codes array<int>"), label)
+    return written(relation.mapInArrow(semi_join, "hashes array<bigint>, codes binary"), label, large_rows=True)
 
 
 def _counted(relation: DataFrame, k: int, least: int) -> DataFrame:
@@ -175,7 +178,7 @@ def _counted(relation: DataFrame, k: int, least: int) -> DataFrame:
         for batch in batches:
             for hashes, codes in zip(batch.column(0), batch.column(1)):
                 hashes = hashes.values.to_numpy()
-                spelled, counts = _extended(codes.values.to_numpy(), len(hashes), k)
+                spelled, counts = _extended(np.frombuffer(codes.as_buffer(), np.int32), len(hashes), k)
                 if len(counts):
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[s - 1]) for s in spelled] + [pa.array(counts)], [*names, "f"])
 
@@ -188,7 +191,7 @@ def _words(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, list[str
     seed = 0
     while True:
         hash_of = functools.partial(_hash, seed=seed)
-        chunks, path = written(texts.mapInArrow(functools.partial(_chunks, hash_of=hash_of, most=CHUNK_BYTES), CHUNKS), "chunks")
+        chunks, path = written(texts.mapInArrow(functools.partial(_chunks, hash_of=hash_of, most=CHUNK_BYTES), CHUNKS), "chunks", large_rows=True)
         listed = chunks.select("lang", F.explode(F.arrays_zip("words", "hashes", "n")).alias("x")).select("lang", "x.*")
         counted = listed.groupBy("lang", "words", "hashes").agg(F.sum("n").alias("f"))
         words, words_path = written(counted.select("lang", F.col("words").cast("string").alias("word"), F.col("hashes").alias("hash"), "f"), "words")
@@ -203,16 +206,17 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """``k, w1 .. w<longest>, f``, all frequent runs of up to ``longest`` words with 0 for the words that shorter ones lack, and ``lang, word, hash, f`` of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
-    relation, words, (path, _) = _words(texts.where("text IS NOT NULL"), least)
-    level = words.where(f"f >= {least}").select(F.col("hash").alias("w1"), "f")
-    levels = [level]
-    for k in range(2, longest + 1):
-        relation, next_path = _pruned(relation, k - 1, _frequent_bits(level, k - 1), f"places-{k - 1}")
+    with batches_of(spark, BATCH_BYTES):  # every step here is written at once
+        relation, words, (path, _) = _words(texts.where("text IS NOT NULL"), least)
+        level = words.where(f"f >= {least}").select(F.col("hash").alias("w1"), "f")
+        levels = [level]
+        for k in range(2, longest + 1):
+            relation, next_path = _pruned(relation, k - 1, _frequent_bits(level, k - 1), f"places-{k - 1}")
+            discard(spark, path)
+            path = next_path
+            level, _ = written(_counted(relation, k, least), f"phrases-{k}")
+            levels.append(level)
         discard(spark, path)
-        path = next_path
-        level, _ = written(_counted(relation, k, least), f"phrases-{k}")
-        levels.append(level)
-    discard(spark, path)
     wide = [f"w{j}" for j in range(1, longest + 1)]
     found = None
     for k, level in enumerate(levels, 1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,14 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` under the shared scratch folder; the table read back, and its path."""
+def written(df: DataFrame, label: str, large_rows: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` under the shared scratch folder; the table read back, and its path.
+
+    ``large_rows``: a page of a column ends at the usual 1 MB even if it has few rows. Else sizes are looked at after 100 rows only, and a page is
+    compressed, held and decompressed whole.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.page.size.row.check.min": 1} if large_rows else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -29,6 +35,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Spark gives Python batches of about ``size`` bytes, or of one row that is larger, not of its own 64 MB or 10,000 rows. Holds for what runs inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Ids up to which a list of them is broadcast, about 16 MB.
 BROADCAST_IDS = 1_000_000
 

@@ -95,3 +95,25 @@ def test_exact_beyond_64_bits(spark):
     a, part = 2**62 - 1, 2**62
     made = spark.sql(f"SELECT CAST({a}L AS DECIMAL(20, 0)) * 2000000 DIV (CAST({part}L AS DECIMAL(20, 0)) + {part}L) AS s").first().s
     assert made == 2000000 * a // (2 * part)
+
+
+def test_tasks_hold_few_texts_and_chunks(spark, monkeypatch):
+    """Python gets texts and chunks in batches of bounded size, whatever a partition has; the session is left as it was."""
+    texts = [("en", " ".join(f"w{(i * j) % 997}" for j in range(2000)) + ".") for i in range(600)]
+    frame = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(collocations, "BATCH_BYTES", 200_000, raising=False)
+    plain = type(frame).mapInArrow
+
+    def watched(self, func, *schema):
+        def bounded(batches):
+            for batch in batches:
+                assert batch.nbytes < 600_000, f"a batch of {batch.nbytes} bytes"
+                yield batch
+
+        return plain(self, lambda batches: func(bounded(batches)), *schema)
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    assert mined(frame) == by_brute_force(texts, 30, 4, 2000)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
