@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lakeglass.llm import embedding_dedup, minhash_dedup
@@ -199,3 +200,51 @@ def test_all_pairs_in_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame).collect()}
     assert got == {a: sum(a != b and unit[a] @ unit[b] >= 0.9 for b in unit) for a in unit}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_links_of_buckets(monkeypatch, blocks):
+    """Buckets bring out what all pairs that meet in a table give, each pair once, however a bucket is cut or looked through; a class has one row a bucket."""
+    rng = np.random.default_rng(6)
+    units = np.concatenate([base + rng.normal(size=(n, 64)) * 0.04 for base, n in zip(rng.normal(size=(40, 64)), [1, 2, 3, 30] * 10)])
+    units = np.concatenate([units, rng.normal(size=(60, 64))]).astype(np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    n, weight = len(units), rng.integers(1, 4, len(units))
+    found = embedding_dedup.codes(units, *embedding_dedup.learn_rotations(units))
+    pieces = found.view("<u2")
+    meets = (np.bitwise_count(pieces[:, None] ^ pieces[None]) <= 1).any(axis=2) & (units @ units.T >= 0.9) & ~np.eye(n, dtype=bool)
+    rows = pd.DataFrame({"class": np.arange(n) * 7, "weight": weight, "vector": [u.tobytes() for u in units], "block": np.arange(n) % blocks, "code0": found[:, 0], "code1": found[:, 1]})
+    for small, at_once in ((10**6, 10**6), (5, 40)):
+        monkeypatch.setattr(embedding_dedup, "SMALL", small)
+        monkeypatch.setattr(embedding_dedup, "AT_ONCE", at_once)
+        links = embedding_dedup._links(0.9, ["code0", "code1"], np.float64)
+        total, edges = np.zeros(n, int), []
+        for copy in range(16):
+            for low in range(blocks):
+                for high in range(low, blocks):
+                    halves = (pieces[:, copy // 2] >> 8 * (copy % 2)) & 7  # buckets of several halves
+                    for half in np.unique(halves):
+                        group = rows[(halves == half) & rows["block"].isin([low, high])].assign(copy=copy, low=low, high=high)
+                        if len(group):
+                            got = links(group.reset_index(drop=True))
+                            assert got["a"].is_unique
+                            total[got["a"] // 7] += got["n"]
+                            edges += zip(got["a"] // 7, got["b"] // 7)
+        assert total.tolist() == (meets @ weight).tolist()
+        assert groups(range(n), edges) == groups(range(n), list(zip(*np.nonzero(meets))))
+
+
+def test_near_vectors_write_rows_not_pairs(spark, monkeypatch):
+    """300 near vectors have 44,850 links, but no table of them is written."""
+    rng, written, sizes = np.random.default_rng(8), embedding_dedup.written, []
+
+    def seen(df, label):
+        table, path = written(df, label)
+        sizes.append((label, table.count()))
+        return table, path
+
+    monkeypatch.setattr(embedding_dedup, "written", seen)
+    base = rng.normal(size=64)
+    frame = spark.createDataFrame([(i, (base + rng.normal(size=64) * 0.01).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    assert embedding_dedup.near_vectors(frame).selectExpr("sum(n_links)", "max(component_id)").first()[:] == (300 * 299, 0)
+    assert max(n for _, n in sizes) <= 16 * 300
