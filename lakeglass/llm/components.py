@@ -9,9 +9,12 @@ from lakeglass.llm.shared import discard, written
 
 
 def _joined_to_least(edges: DataFrame) -> DataFrame:
-    """``u, v, least``: every edge with the smallest of ``u`` and all its neighbours. Minima combine on the map side."""
+    """``u, v, least``: every edge with the smallest of ``u`` and all its neighbours. Minima combine on the map side.
+
+    Edges are small when written, so Spark takes them for fewer than they are: the join is told not to broadcast.
+    """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return edges.join(least, "u")
+    return edges.join(least.hint("merge"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

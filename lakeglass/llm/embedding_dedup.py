@@ -141,19 +141,20 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         rest = named.where(~can | F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
         if not parts:
             return _with_kept(rest)
+        # Written tables are smaller than what a broadcast of them takes in the driver, so no join here may choose one.
         rows, classes, links = (functools.reduce(DataFrame.union, some) for some in zip(*parts))
         counts = links.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-        degree = classes.join(counts, "class", "left").select("digest", "class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-        placed, _ = written(rows.join(degree, "digest").select("vec_id", "class", "n_links"), "degrees")
+        degree = classes.join(counts.hint("merge"), "class", "left").select("digest", "class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        placed, _ = written(rows.join(degree.hint("merge"), "digest").select("vec_id", "class", "n_links"), "degrees")
         # rows of one id may have several vectors: their classes are linked by the id itself
         several = placed.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last")
-        own = placed.join(several, "vec_id").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+        own = placed.join(several.hint("merge"), "vec_id").where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
         found = components(links.select("a", "b").union(own))
-        members, _ = written(classes.select("class", "least_id").join(found.withColumnRenamed("node", "class"), "class", "left")
+        members, _ = written(classes.select("class", "least_id").join(found.withColumnRenamed("node", "class").hint("merge"), "class", "left")
                              .select("class", "least_id", F.coalesce("component", "class").alias("component")), "members")
         least = members.groupBy("component").agg(F.min("least_id").alias("least"))
-        named_classes, _ = written(looked_up(members.select("class", "component"), least, ["component"]).select("class", "least"), "named")
-        linked = looked_up(placed, named_classes, ["class"]).select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
+        named_classes, _ = written(looked_up(members.select("class", "component"), least.hint("merge"), ["component"]).select("class", "least"), "named")
+        linked = looked_up(placed, named_classes.hint("merge"), ["class"]).select("vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"))
     return _with_kept(linked.union(rest))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lakeglass.llm import embedding_dedup, minhash_dedup
+from lakeglass.llm import components as components_module, embedding_dedup, minhash_dedup
 from lakeglass.llm.components import components
 
 
@@ -248,3 +248,17 @@ def test_near_vectors_write_rows_not_pairs(spark, monkeypatch):
     frame = spark.createDataFrame([(i, (base + rng.normal(size=64) * 0.01).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_vectors(frame).selectExpr("sum(n_links)", "max(component_id)").first()[:] == (300 * 299, 0)
     assert max(n for _, n in sizes) <= 16 * 300
+
+
+def test_near_vectors_broadcast_no_table(spark, monkeypatch):
+    """A table of few bytes may be many rows, so no join of tables that grow is left to the estimate of their size."""
+    plans = []
+    for module in (embedding_dedup, components_module):
+        def seen(df, label, written=module.written):
+            if label != "named":  # there the few keys of many rows are broadcast
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return written(df, label)
+
+        monkeypatch.setattr(module, "written", seen)
+    assert embedding_dedup.near_vectors(spark.createDataFrame(vectors(), "vec_id long, embedding array<double>")).count() == len(vectors())
+    assert len(plans) > 6 and not [p for p in plans if "BroadcastHashJoin" in p]
