@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeglass.llm.components import components
-from lakeglass.llm.shared import discard, looked_up, shuffles_dropped, written
+from lakeglass.llm.shared import discard, looked_up, written
+from lakeglass.runtime import shuffles_dropped
 
 BITS = 64
 ROTATIONS = 2

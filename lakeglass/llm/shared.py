@@ -47,18 +47,6 @@ def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark drops the shuffle files of a job that writes or collects as soon as it ends, not when the driver happens to collect its garbage. Holds for what runs inside."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 #: Ids up to which a list of them is broadcast, about 16 MB.
 BROADCAST_IDS = 1_000_000
 

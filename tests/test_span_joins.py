@@ -87,3 +87,27 @@ def test_points_in_spans_of_all_lengths(spark):
     held = [(i, float(lo := rng.randrange(60)), lo + rng.choice([1.0, 5.5, 1e6, 1e300, INF])) for i in range(40)] + [(90, -INF, 5.0), (91, -INF, INF), (92, -1e300, 1e300)]
     got = joins.range_join(spark.createDataFrame(points, "p int, at double"), spark.createDataFrame(held, "s int, lo double, hi double"), "at", "lo", "hi", 2)
     assert sorted((r.p, r.s) for r in got.collect()) == sorted((p, s) for p, at in points for s, lo, hi in held if lo <= at < hi)
+
+
+def test_long_spans_have_few_rows_before_the_join(spark, monkeypatch):
+    """Ranges of ranks are cut into blocks of several sizes: whole, none twice, little beyond the ends, and far fewer than there are smallest blocks."""
+    rng, n = random.Random(4), 3_000_000
+    ranges = [(0, n), (5, 6), (63, 65), (64, 128), (1000, 1_000_000)] + [(a := rng.randrange(n), rng.randrange(a + 1, n + 1)) for _ in range(40)]
+    cut = spark.createDataFrame(ranges, "a long, b long").selectExpr("a", "b", f"filter({joins._pieces(n)}, p -> p.first < p.end) AS pieces").collect()
+    for r in cut:
+        sizes = [joins.BLOCK * joins.RUN**p.level for p in r.pieces]
+        blocks = sorted((p.first * size, p.end * size) for p, size in zip(r.pieces, sizes))
+        assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+        assert 0 <= r.a - blocks[0][0] < joins.BLOCK and 0 <= blocks[-1][1] - r.b < joins.BLOCK
+        assert sum(p.end - p.first for p in r.pieces) <= 2 * 15 * 2 + 200 and max(sizes) <= n // 64
+
+
+@pytest.mark.parametrize(("block", "run"), [(2, 4), (4, 2)])
+def test_blocks_of_several_sizes(spark, monkeypatch, block, run):
+    for name, value in (("BLOCK", block), ("RUN", run), ("MOST_BLOCKS", 2)):
+        monkeypatch.setattr(joins, name, value)
+    points = spark.range(900).selectExpr("id", "CAST(id % 450 AS DOUBLE) AS at")
+    held = [(i, float(lo), float(hi)) for i, (lo, hi) in enumerate([(-INF, INF), (3, 400), (0, 450), (17, 18), (100, 260), (449, INF), (-INF, 1)])]
+    got = joins.range_join(points, spark.createDataFrame(held, "s int, lo double, hi double"), "at", "lo", "hi", 0.5)
+    assert sorted((r.id, r.s) for r in got.collect()) == sorted((i, s) for i in range(900) for s, lo, hi in held if lo <= i % 450 < hi)
+    assert sorted(r.id for r in joins._ranked_join(points, spark.createDataFrame(held[:1], "s int, lo double, hi double"), "at", "lo", "hi", False).collect()) == list(range(900))
