@@ -111,3 +111,13 @@ def test_blocks_of_several_sizes(spark, monkeypatch, block, run):
     got = joins.range_join(points, spark.createDataFrame(held, "s int, lo double, hi double"), "at", "lo", "hi", 0.5)
     assert sorted((r.id, r.s) for r in got.collect()) == sorted((i, s) for i in range(900) for s, lo, hi in held if lo <= i % 450 < hi)
     assert sorted(r.id for r in joins._ranked_join(points, spark.createDataFrame(held[:1], "s int, lo double, hi double"), "at", "lo", "hi", False).collect()) == list(range(900))
+
+
+def test_long_spans_share_no_cell_of_all_points(spark):
+    """A span with an end, but far longer than where the points are, is matched by ranks like one without."""
+    points = spark.range(3000).selectExpr("id", "CAST(id % 700 AS DOUBLE) AS at")
+    ends = spark.createDataFrame([(1, 0.0, 1e9), (2, 350.0, 1e9), (3, 5.0, 6.0), (4, 0.0, 600.0)], "s int, lo double, hi double")
+    joined = joins.range_join(points, ends, "at", "lo", "hi", 1.0)
+    assert sorted((r.id, r.s) for r in joined.collect()) == sorted((i, s) for i in range(3000) for s, lo, hi in [(1, 0, 1e9), (2, 350, 1e9), (3, 5, 6), (4, 0, 600)] if lo <= i % 700 < hi)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan and "array(0)" in plan.replace("[0]", "array(0)")
